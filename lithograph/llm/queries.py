@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from lithograph.llm.licenses import op8_licenses
 from lithograph.llm.mixing import OP3_SQL, op3_mixing
 from lithograph.llm.packing import op7_packing
+from lithograph.llm.quality_rules import op2_quality_rules
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op7_packing": op7_packing,
+    "op8_licenses": op8_licenses,
 }
 
 SQL = {"op3_mixing": OP3_SQL}

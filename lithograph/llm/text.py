@@ -12,3 +12,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def text_batches(batches, size: int = 256):
+    """(record batch of at most size rows, its texts as UTF-8 bytes, None for null) from Arrow batches with a text column."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, size):
+            part = batch.slice(start, size)
+            yield part, part.column("text").cast(pa.binary()).to_pylist()
