@@ -6,10 +6,12 @@ from lithograph.llm.licenses import op8_licenses
 from lithograph.llm.mixing import OP3_SQL, op3_mixing
 from lithograph.llm.packing import op7_packing
 from lithograph.llm.quality_rules import op2_quality_rules
+from lithograph.llm.simhash import op4_simhash
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
+    "op4_simhash": op4_simhash,
     "op7_packing": op7_packing,
     "op8_licenses": op8_licenses,
 }
