@@ -5,7 +5,9 @@ from __future__ import annotations
 from lithograph.llm.licenses import op8_licenses
 from lithograph.llm.mixing import OP3_SQL, op3_mixing
 from lithograph.llm.packing import op7_packing
+from lithograph.llm.quality_classifier import op9_quality_classifier
 from lithograph.llm.quality_rules import op2_quality_rules
+from lithograph.llm.repeats import op10_suffix_array_dedup
 from lithograph.llm.simhash import op4_simhash
 
 QUERIES = {
@@ -14,6 +16,8 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op7_packing": op7_packing,
     "op8_licenses": op8_licenses,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 SQL = {"op3_mixing": OP3_SQL}
