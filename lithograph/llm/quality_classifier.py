@@ -34,7 +34,7 @@ _UPPER = bytes(range(65, 91))
 
 
 def ratio_features(text: bytes, words: int, distinct: int) -> list[bytes]:
-    """Names of the buckets that the text's ratios fall in."""
+    """The constant feature, and the names of the buckets that the text's ratios fall in."""
     n = max(1, len(text))
     lines = [x for x in text.split(b"\n") if x]
     ratios = {
@@ -46,7 +46,7 @@ def ratio_features(text: bytes, words: int, distinct: int) -> list[bytes]:
         b"mean": len(text) / max(1, words),
         b"variety:%d" % math.log2(words + 1): distinct / max(1, words) * 20,
     }
-    return [b"%s=%d" % (k, min(20, math.ceil(v))) for k, v in ratios.items()]
+    return [b"="] + [b"%s=%d" % (k, min(20, math.ceil(v))) for k, v in ratios.items()]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -74,7 +74,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def fit_ordinal(slots: list[np.ndarray], grades: np.ndarray, rounds: int = 12, batch: int = 32, rate: float = 0.1, ridge: float = 1e-5, least_rows: int = 8, least_z: float = 4.0, seed: int = 42) -> OrdinalModel:
+def fit_ordinal(slots: list[np.ndarray], grades: np.ndarray, steps: int = 6000, batch: int = 32, rate: float = 0.1, ridge: float = 1e-5, least_rows: int = 8, least_z: float = 4.0, seed: int = 42) -> OrdinalModel:
     """Cumulative-link regression by AdaGrad; thresholds are kept in order.
 
     Features are screened first: only those whose rows differ from the rest in mean grade by least_z standard errors
@@ -83,12 +83,12 @@ def fit_ordinal(slots: list[np.ndarray], grades: np.ndarray, rounds: int = 12, b
     rng = np.random.default_rng(seed)
     flat, value = np.concatenate([*slots, np.zeros(0, dtype=np.int32)]), np.repeat(grades, [len(s) for s in slots])
     rows, above = np.bincount(flat, minlength=SLOTS), np.bincount(flat, value - (grades.mean() if len(grades) else 0.0), minlength=SLOTS)
+    rows[slot(b"=")] = 0
     seen = (rows >= least_rows) & (np.abs(above) >= least_z * (grades.std() if len(grades) else 1.0) * np.sqrt(rows))
-    slots = [s[seen[s]] for s in slots]
-    slots, grades = [s for s in slots if len(s)], grades[[len(s) > 0 for s in slots]]
+    slots = [np.append(s[seen[s]], slot(b"=")) for s in slots]  # every row keeps at least the constant feature
     weights, squares = np.zeros(SLOTS), np.full(SLOTS, 1e-2)
     theta, theta_squares = np.linspace(-1.0, 0.0, GRADES - 1), np.full(GRADES - 1, 1e-2)
-    for _ in range(rounds if len(slots) else 0):
+    for _ in range(-(-steps * batch // len(slots)) if len(slots) else 0):
         order = rng.permutation(len(slots))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
@@ -99,7 +99,7 @@ def fit_ordinal(slots: list[np.ndarray], grades: np.ndarray, rounds: int = 12, b
             pick = np.arange(len(rows))
             chance = np.maximum(up[pick, y] - up[pick, y + 1], 1e-9)
             slope = up * (1 - up)
-            d_score = -(slope[pick, y] - slope[pick, y + 1]) / chance
+            d_score = up[pick, y] + up[pick, y + 1] - 1
             d_theta = np.zeros(GRADES - 1)
             np.add.at(d_theta, y[y > 0] - 1, (slope[pick, y] / chance)[y > 0])
             np.add.at(d_theta, y[y < GRADES - 1], -(slope[pick, y + 1] / chance)[y < GRADES - 1])
@@ -108,7 +108,8 @@ def fit_ordinal(slots: list[np.ndarray], grades: np.ndarray, rounds: int = 12, b
             np.add.at(weights, flat, -rate * grad / np.sqrt(squares[flat]))
             d_theta /= len(rows)
             theta_squares += d_theta**2
-            theta = np.maximum.accumulate(theta - rate * d_theta / np.sqrt(theta_squares) + np.arange(GRADES - 1) * 1e-6)
+            apart = np.arange(GRADES - 1) * 0.2
+            theta = np.maximum.accumulate(theta - rate * d_theta / np.sqrt(theta_squares) - apart) + apart
     return OrdinalModel(weights, theta)
 
 
