@@ -9,8 +9,10 @@ from lithograph.llm.quality_classifier import op9_quality_classifier
 from lithograph.llm.quality_rules import op2_quality_rules
 from lithograph.llm.repeats import op10_suffix_array_dedup
 from lithograph.llm.simhash import op4_simhash
+from lithograph.llm.topk import OP1_SQL, op1_topk
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
@@ -20,4 +22,4 @@ QUERIES = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
-SQL = {"op3_mixing": OP3_SQL}
+SQL = {"op1_topk": OP1_SQL, "op3_mixing": OP3_SQL}
