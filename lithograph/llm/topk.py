@@ -148,7 +148,7 @@ def _pack_blocks(size: int):
     return run
 
 
-def _pack_group(key, table: pa.Table) -> pa.Table:
+def _pack_group(key, table):
     made = pa.Table.from_batches(_pack_blocks(max(1, table.num_rows))([table.combine_chunks().to_batches()[0]]))
     return made.add_column(0, "q", pa.array([key[0].as_py()] * made.num_rows, pa.int32()))
 
