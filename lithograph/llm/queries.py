@@ -5,6 +5,7 @@ from __future__ import annotations
 from lithograph.llm.licenses import op8_licenses
 from lithograph.llm.mixing import OP3_SQL, op3_mixing
 from lithograph.llm.packing import op7_packing
+from lithograph.llm.ppm import op5_language_model
 from lithograph.llm.quality_classifier import op9_quality_classifier
 from lithograph.llm.quality_rules import op2_quality_rules
 from lithograph.llm.repeats import op10_suffix_array_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
+    "op5_language_model": op5_language_model,
     "op7_packing": op7_packing,
     "op8_licenses": op8_licenses,
     "op9_quality_classifier": op9_quality_classifier,
