@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lithograph.llm.html_text import op6_html_extraction
 from lithograph.llm.licenses import op8_licenses
 from lithograph.llm.mixing import OP3_SQL, op3_mixing
 from lithograph.llm.packing import op7_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_language_model": op5_language_model,
+    "op6_html_extraction": op6_html_extraction,
     "op7_packing": op7_packing,
     "op8_licenses": op8_licenses,
     "op9_quality_classifier": op9_quality_classifier,
