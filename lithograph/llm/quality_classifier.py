@@ -77,14 +77,18 @@ class OrdinalModel:
 def fit_ordinal(slots: list[np.ndarray], grades: np.ndarray, steps: int = 6000, batch: int = 32, rate: float = 0.1, ridge: float = 1e-5, least_rows: int = 8, least_z: float = 4.0, seed: int = 42) -> OrdinalModel:
     """Cumulative-link regression by AdaGrad; thresholds are kept in order.
 
-    Features are screened first: only those whose rows differ from the rest in mean grade by least_z standard errors
-    get a weight, since words of one document would only be learned by heart.
+    Features are screened first: only those get a weight whose rows hold some grade more or less often, by least_z
+    standard errors, than all rows do, since words of one document would only be learned by heart.
     """
     rng = np.random.default_rng(seed)
     flat, value = np.concatenate([*slots, np.zeros(0, dtype=np.int32)]), np.repeat(grades, [len(s) for s in slots])
-    rows, above = np.bincount(flat, minlength=SLOTS), np.bincount(flat, value - (grades.mean() if len(grades) else 0.0), minlength=SLOTS)
-    rows[slot(b"=")] = 0
-    seen = (rows >= least_rows) & (np.abs(above) >= least_z * (grades.std() if len(grades) else 1.0) * np.sqrt(rows))
+    rows, seen = np.bincount(flat, minlength=SLOTS), np.zeros(SLOTS, dtype=bool)
+    for grade in range(GRADES):
+        share = float((grades == grade).mean()) if len(grades) else 0.0
+        off = np.abs(np.bincount(flat[value == grade], minlength=SLOTS) - rows * share)
+        seen |= (off > 0) & (off >= least_z * np.sqrt(rows * share * (1 - share)))
+    seen &= rows >= least_rows
+    seen[slot(b"=")] = False
     slots = [np.append(s[seen[s]], slot(b"=")) for s in slots]  # every row keeps at least the constant feature
     weights, squares = np.zeros(SLOTS), np.full(SLOTS, 1e-2)
     theta, theta_squares = np.linspace(-1.0, 0.0, GRADES - 1), np.full(GRADES - 1, 1e-2)
