@@ -85,7 +85,11 @@ def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     picked = anchor[at]
     first = np.flatnonzero(np.concatenate([[True], (picked[1:] != picked[:-1]) | (at[1:] != at[:-1] + 1)]))
     low, last, anchor = at[first], at[np.concatenate([first[1:], [len(at)]]) - 1], picked[first]
-    whole = grams[low] * _M[1] + grams[low + GRAM] * _M[2] + grams[last] * _M[3] + grams[last + LENGTH - GRAM] * _M[0]
+    # grams that cover the first window and the last one, which overlap or touch
+    covered = (low, low + SPAN // 2, low + LENGTH - GRAM, last, last + SPAN // 2, last + LENGTH - GRAM)
+    whole = np.zeros(len(low), dtype=np.uint64)
+    for at in covered:
+        whole = _mix(whole * _M[2] + grams[at])
     whole = _mix(whole ^ ((anchor - low).astype(np.uint64) << np.uint64(8)) ^ (last - low).astype(np.uint64))
     piece = np.searchsorted(starts, low, side="right") - 1
     return grams[anchor], whole, piece, (low - starts[piece]).astype(np.int32), (last - low).astype(np.uint8)
@@ -217,7 +221,7 @@ def _contexts_of_task(buckets: int):
                         pieces, size = [], 0
                     pieces.append((k, at, piece))
                     size += len(piece)
-            if count > 1_000_000:
+            if count > 300_000:
                 yield flush()
                 held, count = [], 0
         if pieces:
