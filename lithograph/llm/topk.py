@@ -14,7 +14,7 @@ rows per query, and a window per query keeps the best k of all.
 
 Defined cases: rows without vec_id, with a null vector, or with null or non-finite components take no part; short vectors
 count as if filled with zeros; of query rows with one vec_id the least vector counts, and rows of the query's own vec_id
-are no candidates; other repeated rows are candidates each; an empty table gives no rows; extra columns are ignored.
+are no candidates; other repeated rows are candidates each; scores must fit a long (products of larger ones wrap); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,0 +1,444 @@
+"""Training-data operators against brute force on small tables, with nulls, empty and long texts, ties and repeated rows."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lithograph.llm import html_text, licenses, mixing, packing, ppm, quality_classifier, quality_rules, repeats, simhash, topk
+
+DOCS = "doc_id long, text string, source string, expected_grade string, k int"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def words(t):
+    return WORD.findall(t or "")
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Texts with every odd case, and columns whose names clash with the operators' own."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)] + ["É", "naïve", "日本", "A", "Zed", "#tag"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(3, 120))) for _ in range(40)]
+    texts += [texts[0], texts[0], texts[1] + " one more", None, "", " \n\t ", "one", "one two", "x" * 5000, "ab " * 3000, "line a b c\n" * 30]
+    texts += ["Released under the MIT License. " + texts[3], "SPDX-License-Identifier: (MIT OR GPL-2.0) AND Apache-2.0", "nbsp is no space here"]
+    sources = ["s1", "s2", None, "s10", "S"]
+    return [(i, t, sources[i % 5] if i % 3 else "s1", "x", 1) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# --- quality rules
+
+
+def test_rule_counts(docs, rows, none):
+    got = {r.doc_id: r for r in quality_rules.quality_posterior(docs).collect()}
+    for i, t, *_ in rows:
+        w, r = words(t), got[i]
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        grams = collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+        covered = {p for j in range(len(w) - 4) if grams[tuple(w[j : j + 5])] > 1 for p in range(j, j + 5)}
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(covered))
+        assert r.n_dup_lines == len(lines) - len(set(lines))
+        assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
+        assert not (r.base_failed and r.kept) and 0 <= r.quality <= 1
+    assert quality_rules.quality_posterior(none).count() == 0
+
+
+def test_em_finds_accuracies():
+    rng = np.random.default_rng(0)
+    truth = np.where(rng.random(20000) < 0.8, 1, -1)
+    right = np.array([0.95, 0.8, 0.7, 0.9])
+    votes = np.where(rng.random((20000, 4)) < right, truth[:, None], -truth[:, None]) * (rng.random((20000, 4)) < 0.7)
+    good, found = quality_rules.fit_votes(votes.astype(int), np.ones(20000))
+    assert abs(good - 0.8) < 0.05 and np.abs(found - right).max() < 0.07
+
+
+# --- quality classifier
+
+
+def test_classifier_learns_held_out_grades(spark):
+    rng = random.Random(1)
+    plain, rude = [f"p{i}" for i in range(200)], ["rude", "nasty"]
+    data = []
+    for i in range(1500):
+        w = rng.choices(plain, k=60)
+        grade = i % 3
+        if grade == 1:
+            w[rng.randrange(60)] = rng.choice(rude)
+        if grade == 0:
+            w = [x + "###" for x in w]
+        data.append((i, " ".join(w), int(grade > 0), int(grade == 1)))
+    docs = spark.createDataFrame([d[:2] for d in data] + [(9000, None), (9001, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(d[0], d[2], d[3]) for d in data[:1000]] + [(5, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.train(docs, labels)
+    assert list(model.thresholds) == sorted(model.thresholds)
+    got = {r.doc_id: r for r in quality_classifier.grade_documents(docs, model).collect()}
+    right = sum(got[i].kept == (i % 3 == 2) for i in range(1000, 1500))
+    assert right > 480
+    order = [np.mean([got[i].expected_grade for i in range(1000, 1500) if i % 3 == g]) for g in range(3)]
+    assert order == sorted(order) and set(got) >= {9000, 9001}
+
+
+def test_classifier_without_labels(docs, none, spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    kept = quality_classifier.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert quality_classifier.keep_good(none, labels).count() == 0
+
+
+# --- mixing
+
+
+def test_mix_budgets(docs, rows, none, spark):
+    got = mixing.mix(docs).collect()
+    again = {r.doc_id: r.taken for r in mixing.mix(docs.repartition(7)).collect()}
+    assert {r.doc_id: r.taken for r in got} == again
+    size = {i: len(words(t)) for i, t, *_ in rows}
+    own = collections.Counter()
+    for i, _, s, *_ in rows:
+        own[s] += size[i]
+    order = sorted(own, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[n % 3] for n, s in enumerate(order)}
+    target, open_ = {}, set(order)
+    left = 1.5 * sum(own.values())
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 2 * own[s]}
+        if not full:
+            target |= share
+            break
+        for s in full:
+            target[s] = 2.0 * own[s]
+            left -= target[s]
+        open_ -= full
+    source = {i: s for i, _, s, *_ in rows}
+    taken = collections.Counter()
+    for r in got:
+        s = source[r.doc_id]
+        assert (r.size, r.source_size) == (size[r.doc_id], own[s]) and r.taken <= 2 * r.size
+        assert r.target == pytest.approx(target[s], abs=1e-4)
+        taken[s] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 1 for s in order)
+    assert mixing.mix(none).count() == 0
+    only = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
+    assert [r.taken for r in mixing.mix(only).collect()] == [0, 0]
+
+
+def test_mix_prefers_heavier_weights():
+    # exponential keys: the chance to come first is in proportion to the weight
+    rng = np.random.default_rng(0)
+    u = rng.random((20000, 2))
+    assert abs((-np.log(u[:, 0]) / 3 < -np.log(u[:, 1]) / 1).mean() - 0.75) < 0.02
+
+
+def test_mixed_documents(docs, none):
+    out = mixing.mix_documents(docs)
+    assert out.columns == docs.columns and out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+    assert mixing.mix_documents(none).count() == 0
+
+
+def test_mix_repeated_rows_share_a_cut(spark):
+    df = spark.createDataFrame([(1, "a b c", "s")] * 4 + [(2, "d " * 40, "t")], "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert len(got) == 5 and len({r.taken for r in got if r.doc_id == 1}) == 1
+
+
+# --- SimHash
+
+
+def slow_print(t):
+    w = words(lower(t))
+    shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    ones = [sum(xxhash.xxh64(s.encode(), seed=42).intdigest() >> b & 1 for s in shingles) for b in range(64)]
+    return sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles))
+
+
+def components(ids, linked):
+    up = {i: i for i in ids}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in linked:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    return {i: root(i) for i in ids}
+
+
+def test_simhash_against_all_pairs(docs, rows, none):
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    prints = {i: slow_print(t) for i, t, *_ in rows}
+    assert all(got[i].fp % 2**64 == prints[i] for i in prints)
+    want = components(prints, [(a, b) for a, b in itertools.combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 3])
+    assert {i: r.component_id for i, r in got.items()} == want
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(want.values()))
+    assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(docs.union(docs)).count() == len(set(want.values()))
+
+
+@pytest.mark.parametrize("chunk", [5, 1000])
+def test_links_in_dense_groups(spark, chunk):
+    rng = random.Random(2)
+    codes = {rng.getrandbits(64) for _ in range(60)}
+    for _ in range(400):
+        codes.add(rng.choice(sorted(codes)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    centre = rng.getrandbits(64)
+    codes |= {centre ^ rng.getrandbits(6) for _ in range(60)}
+    codes = sorted(codes)
+    signed = [(c - 2**64 if c >= 2**63 else c, i) for i, c in enumerate(codes)]
+    found = simhash.links(spark.createDataFrame(signed, "fp long, rep long"), chunk).collect()
+    assert all((codes[a] ^ codes[b]).bit_count() >= 0 for a, b in found)
+    want = components(range(len(codes)), [(a, b) for a, b in itertools.combinations(range(len(codes)), 2) if (codes[a] ^ codes[b]).bit_count() <= 3])
+    assert components(range(len(codes)), [(r.a, r.b) for r in found]) == want
+
+
+def test_gray_rank_neighbours_differ_by_a_bit():
+    codes = np.arange(256, dtype=np.uint64)
+    by_rank = codes[np.argsort(simhash.gray_rank(codes))]
+    assert (np.bitwise_count(by_rank[1:] ^ by_rank[:-1]) == 1).all()
+
+
+# --- repeats
+
+
+def slow_repeats(rows):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 99):
+            if b[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(b[s : s + 100])
+        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        out[i] = (len(b), sum(gone), sum(1 for j, g in enumerate(gone) if g and (not j or not gone[j - 1])), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot", [256, 3])
+def test_repeats_against_all_windows(spark, rows, docs, none, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(2000))
+    data = [(r[0], r[1]) for r in rows]
+    for i in range(100, 260):
+        a = rng.randrange(1800)
+        data.append((i, "".join(rng.choice("xyz ") for _ in range(rng.randrange(120))) + base[a : a + rng.randrange(400)] + (base[100:230] if i % 2 else "é" * rng.randrange(90))))
+    got = {r[0]: tuple(r[1:]) for r in repeats.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()}
+    assert got == slow_repeats(data)
+    if hot == 3:
+        assert repeats.remove_repeats(none).count() == 0
+        out = repeats.without_repeats(docs)
+        assert out.columns == docs.columns and out.filter("doc_id = 40").count() == 0
+
+
+def test_earlier_copy_is_the_previous_factor():
+    rng = np.random.default_rng(0)
+    data = np.frombuffer(bytes(rng.choice(list(b"ab"), 300)) * 2, dtype=np.uint8)
+    starts = np.arange(len(data) - 99)
+    got = repeats.earlier_copy(data, starts, starts)
+    text = data.tobytes()
+    assert got.tolist() == [text.find(text[s : s + 100]) < s for s in starts.tolist()]
+
+
+# --- language model
+
+
+def test_unigrams(docs, rows, none):
+    got = {r.doc_id: r for r in ppm.score_documents(docs, blocks=4).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
+    count = collections.Counter(w for i, t, *_ in rows if not held[i] for w in [*words(lower(t)), None])
+    n, v = sum(count.values()), len(count)
+    for i, t, *_ in rows:
+        w = [*words(lower(t)), None]
+        assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held[i], len(w), sum(count[x] > 0 for x in w), n)
+        assert got[i].base_score == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w))
+        assert got[i].score < 0
+    assert ppm.score_documents(none).count() == 0
+
+
+def slow_ppm(train, texts, least):
+    streams = lambda t: [256] * ppm.ORDER + list(ppm.plain(t)) + [256]
+    count = collections.Counter(tuple(s[i - o : i + 1]) for s in map(streams, train) for i in range(ppm.ORDER, len(s)) for o in range(ppm.ORDER + 1))
+    count = {k: n for k, n in count.items() if n >= least}
+    follow = collections.defaultdict(dict)
+    for k, n in count.items():
+        follow[k[:-1]][k[-1]] = n
+    out = []
+    for s in map(streams, texts):
+        total = 0.0
+        for i in range(ppm.ORDER, len(s)):
+            excluded = set()
+            for o in range(ppm.ORDER, -1, -1):
+                context = tuple(s[i - o : i])
+                here = {x: n for x, n in follow.get(context, {}).items() if x not in excluded}
+                if not here:
+                    continue
+                whole = sum(follow[context].values())
+                rare = max(count.get(context, whole), whole) - whole if context else 0
+                escape = len(here) + rare
+                if s[i] in here:
+                    total += math.log10(here[s[i]] / (sum(here.values()) + escape))
+                    break
+                total += math.log10(escape / (sum(here.values()) + escape))
+                excluded |= set(follow[context])
+            else:
+                total -= math.log10(257 - len(excluded))
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_partial_matching_against_a_plain_trie(rows, least):
+    train, texts = [(t or "").encode() for _, t, *_ in rows[:30]], [(t or "").encode() for _, t, *_ in rows[30:45]] + [b"\xff\x00zz"]
+    keys, n = ppm.count_keys(ppm.gram_keys([ppm.plain(t) for t in train])[0])
+    levels = []
+    for order in range(ppm.ORDER, -1, -1):
+        keys, n = ppm.count_keys(keys & ppm._low(order), n)
+        levels.append((keys[n >= least], n[n >= least]))
+    got = ppm.Scorer(*ppm.build(levels[::-1])).texts(texts)
+    assert np.allclose(got, slow_ppm(train, texts, least))
+
+
+# --- licences
+
+
+def test_license_places(docs, rows, none):
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    for i, t, *_ in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        at = [(p, label) for phrase, label in licenses.BASE_PHRASES.items() for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split()]
+        r = got[i]
+        assert (r.n_words, r.n_base) == (len(w), len(at)) and r.base_labels == ",".join(sorted({x for _, x in at}))
+        assert (r.first_word, r.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    assert licenses.scan_licenses(none).count() == 0
+
+
+def test_expressions():
+    assert licenses.to_postfix("MIT OR GPL-2.0 AND Apache-2.0") == ["MIT", "GPL-2.0", "Apache-2.0", "and", "or"]
+    assert licenses.to_postfix("(MIT OR GPL-2.0) AND Apache-2.0") == ["MIT", "GPL-2.0", "or", "Apache-2.0", "and"]
+    assert licenses.to_postfix("GPL-2.0 WITH Classpath-exception-2.0 OR MIT") == ["GPL-2.0", "Classpath-exception-2.0", "with", "MIT", "or"]
+    assert licenses.to_postfix("MIT This is") == ["MIT"] and licenses.to_postfix("(MIT OR") == [] and licenses.to_postfix("AND") == []
+    assert licenses.evaluate(licenses.to_postfix("MIT OR AGPL-3.0-only")) == ({"mit", "agpl"}, 0.95)
+    assert licenses.evaluate(licenses.to_postfix("MIT AND AGPL-3.0-only")) == ({"mit", "agpl"}, 0.4)
+    assert licenses.evaluate([]) == (set(), 1.0)
+    finder = licenses.automaton()
+    assert licenses.scan_text(b"under the mit license under the mit license", finder)[:4] == (8, 2, 0, 4)
+    assert licenses.scan_text(b"cc by nc", finder)[1:6] == (1, 0, 0, "cc-by-nc", "cc-by-nc")
+
+
+# --- HTML
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="home"><header><h1>Site</h1><a href=/>home</a></header>
+<div class="cookie-notice">We use cookies</div><div id="content"><h1>Title &amp; more</h1><p>First para with some words in it.</p>
+<div class="ad"><p>Buy now a lot of things today!</p></div><p>Second para is here <a href=x>link</a> and&#10;goes on.</p>
+<form><label>Name</label><input></form></div><aside><p>Side text with many words about nothing</p></aside>
+<section class="comments"><p>I like this article very much, thanks</p></section><script>var a = "<p>no</p>";</script><footer>c</footer>"""
+
+
+def test_main_text(spark):
+    want = "Title & more\nFirst para with some words in it.\nSecond para is here link and goes on."
+    cases = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p>open <b>never"), (5, "u", "a < b and c"), (6, "u", "<script>x"), (7, "u", "<p>" * 2000 + "deep words here now")]
+    got = {r.page_id: r for r in html_text.extract_text(spark.createDataFrame(cases, "page_id long, url string, html string")).collect()}
+    assert got[1].text == want and got[2].text == got[3].text == got[6].text == ""
+    assert got[7].text == "deep words here now" and all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_cut_is_minimal():
+    rng = random.Random(0)
+    for _ in range(200):
+        n = rng.randrange(1, 8)
+        s = [rng.uniform(-3, 3) for _ in range(n)]
+        e = [(a, b, rng.random() * 2) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.5]
+        cost = lambda l: sum(-min(0, x) if k else max(0, x) for x, k in zip(s, l, strict=True)) + sum(w for a, b, w in e if l[a] != l[b])  # noqa: E731, B023
+        best = min(cost(l) for l in itertools.product((False, True), repeat=n))
+        assert cost(html_text.min_cut(s, e)) == pytest.approx(best)
+
+
+# --- packing
+
+
+def test_packing_is_whole(docs, rows, none):
+    got = packing.pack_documents(docs, group_rows=20).collect()
+    bins, per = collections.defaultdict(list), collections.Counter()
+    for r in got:
+        bins[r.bin_group, r.bin].append(r)
+        per[r.doc_id] += r.n_tokens
+    assert {i: n for i, n in per.items()} == {i: len(words(t)) for i, t, *_ in rows if words(t)}
+    for held in bins.values():
+        held.sort(key=lambda r: r.bin_offset)
+        used = sum(r.n_tokens for r in held)
+        assert [r.bin_offset for r in held] == list(itertools.accumulate([0] + [r.n_tokens for r in held[:-1]]))
+        assert held[0].bin_length == next(c for c in packing.LENGTHS if c >= used)
+    assert packing.pack_documents(none).count() == 0
+
+
+def test_packing_picks_the_cheapest_policy():
+    sizes = sorted([300, 200, 12, 500, 512, 4096, 1500, 600, 20], reverse=True)
+    where, offset, fitted = packing.pack(sizes)
+    used = [sum(n for n, w in zip(sizes, where, strict=True) if w == b) for b in range(len(fitted))]
+    assert all(u <= f for u, f in zip(used, fitted, strict=True)) and sum(fitted) < 1.3 * sum(sizes)
+    assert packing.pack([]) == ([], [], [])
+
+
+# --- top-k
+
+
+def slow_topk(data, k=10):
+    v = {}
+    for i, e in data:
+        if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e):
+            v[i] = [math.floor(1024 * x) for x in e]
+    out = {}
+    for q in (i for i in v if i % 100 == 0):
+        best = sorted((-sum(a * b for a, b in zip(v[q], e, strict=False)), i) for i, e in v.items() if i != q)[:k]
+        out |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("spread", [0.01, 1.0, 1e4])
+def test_topk_against_all_pairs(spark, spread):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(6, 5)) * spread * 4
+    data = [(i, [float(x) for x in np.float32(centres[i % 6] + rng.normal(size=5) * spread)]) for i in range(330)]
+    data += [(400 + i, data[i][1]) for i in range(20)] + [(901, None), (902, [1.0, None]), (903, [float("nan")] * 5), (904, [float("inf")] * 5), (None, [1.0] * 5), (500, [0.0] * 5)]
+    df = spark.createDataFrame([(i, e, 1) for i, e in data], "vec_id long, embedding array<float>, rank int").repartition(4)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, block=64, query_block=3).collect()}
+    assert got == slow_topk(data)
+    assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.filter("vec_id < 3")).count() == 2
+
+
+def test_cover_tree_covers():
+    points = np.random.default_rng(2).normal(size=(500, 3))
+    stack = [topk.cover_tree(points)]
+    assert sorted(stack[0].members) == list(range(500))
+    while stack:
+        node = stack.pop()
+        assert np.linalg.norm(points[node.members] - node.centre, axis=1).max() <= node.radius + 1e-9
+        assert not node.children or sorted(np.concatenate([c.members for c in node.children])) == sorted(node.members)
+        stack += node.children
