@@ -113,16 +113,13 @@ def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
 
 def mix_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     """The mixed corpus: docs' own columns, a document once for each copy taken; one cut to under half is left out."""
-    rows = keyed(docs, seed)
-    cuts = materialize(source_cuts(*_light(rows)), "mix-cuts")
-    joined = join_cuts(rows, cuts)
-    copies = F.round(taken_words() / F.greatest(F.col("mix_size"), F.lit(1))).cast("int")
-    return joined.withColumn("mix_copies", copies).filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
-
-
-def _light(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    held = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", "text")
+    rows = keyed(held, seed).select("doc", "source", "mix_size", "mix_key")
     light = materialize(rows.select("source", "mix_size", "mix_key"), "mix-sizes")
-    return light, source_targets(light)
+    cuts = materialize(source_cuts(light, source_targets(light)), "mix-cuts")
+    copies = F.round(taken_words() / F.greatest(F.col("mix_size"), F.lit(1))).cast("int")
+    taken = join_cuts(rows, cuts).withColumn("copies", copies).filter("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

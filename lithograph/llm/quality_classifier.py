@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from lithograph.llm.text import text_batches
 
@@ -147,7 +148,7 @@ class _Weights(dict):
 
 
 def grade_documents(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5) -> DataFrame:
-    """docs with expected_grade, tail_probability and kept; needs a text column."""
+    """docs, which hold text and none of these names, with expected_grade, tail_probability and kept."""
     sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
 
     def score(batches):
@@ -166,15 +167,15 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.
             added = [pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= least_tail)]
             yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, "expected_grade", "tail_probability", "kept"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{fields}, expected_grade double, tail_probability double, kept boolean")
+    added = [StructField("expected_grade", DoubleType()), StructField("tail_probability", DoubleType()), StructField("kept", BooleanType())]
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, *added]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs' own columns, without the documents that the classifier rejects."""
-    plain = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns if c in ("expected_grade", "tail_probability", "kept")})
-    kept = grade_documents(plain, train(docs, labels)).filter("kept").select(*plain.columns)
-    return kept.toDF(*docs.columns)
+    held = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), "text")
+    kept = grade_documents(held, train(docs, labels)).filter("kept")
+    return kept.select(*(F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 LENGTH, GRAM = 100, 48
 SPAN = LENGTH - GRAM + 1  # grams in a window
@@ -400,8 +401,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """docs' own columns with repeats cut out of text (n_chars follows); documents of which nothing stays are left out."""
     held = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("held"), _key(docs), "text")
     joined = held.join(removed_ranges(docs.select(_key(docs), "text")), "k", "left").select("held", "text", "ranges")
-    kind = held.schema["held"].dataType.simpleString()
-    out = joined.mapInArrow(_apply, f"held {kind}, {_ADDED}").filter("n_removed = 0 OR kept <> ''")
+    out = joined.mapInArrow(_apply, StructType([held.schema["held"], *StructType.fromDDL(_ADDED).fields])).filter("n_removed = 0 OR kept <> ''")
     value = {c: F.col(f"held.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("kept")}
     if "n_chars" in value:
         value["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(value["n_chars"])

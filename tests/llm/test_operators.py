@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lithograph.llm import html_text, licenses, mixing, packing, ppm, quality_classifier, quality_rules, repeats, simhash, topk
 
-DOCS = "doc_id long, text string, source string, expected_grade string, k int"
+DOCS = "doc_id long, text string, source string, expected_grade string, k int, target int, kept int, doc string, held int, mix_size int, size int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -36,7 +36,7 @@ def rows():
     texts += [texts[0], texts[0], texts[1] + " one more", None, "", " \n\t ", "one", "one two", "x" * 5000, "ab " * 3000, "line a b c\n" * 30]
     texts += ["Released under the MIT License. " + texts[3], "SPDX-License-Identifier: (MIT OR GPL-2.0) AND Apache-2.0", "nbsp is no space here"]
     sources = ["s1", "s2", None, "s10", "S"]
-    return [(i, t, sources[i % 5] if i % 3 else "s1", "x", 1) for i, t in enumerate(texts)]
+    return [(i, t, sources[i % 5] if i % 3 else "s1", "x", 1, 2, 3, "y", 4, 5, 6) for i, t in enumerate(texts)]
 
 
 @pytest.fixture(scope="module")
