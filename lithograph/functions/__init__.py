@@ -1,0 +1 @@
+"""Column functions on chips, positions and labels."""

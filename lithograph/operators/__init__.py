@@ -1,0 +1 @@
+"""DataFrame operators: catalogue, raster, sampling, statistics, evaluation, embedding losses, learning and graphs."""

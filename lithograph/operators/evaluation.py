@@ -33,7 +33,6 @@ def align_labels(ct: DataFrame, most: int = 8) -> DataFrame:
     spark = ct.sparkSession
     rows = ct.collect()  # one row per pair of labels
     gts, preds = sorted({r["gt"] for r in rows}), sorted({r["pred"] for r in rows})
-    schema = "pred int, gt int"
     if not rows:
         return spark.createDataFrame([], "pred int, gt int, n long")
     if len(gts) <= most and len(preds) <= most:
@@ -47,7 +46,7 @@ def align_labels(ct: DataFrame, most: int = 8) -> DataFrame:
         return scored.join(F.broadcast(best), "way").filter("gt IS NOT NULL").select("pred", "gt", F.col("n").cast("long").alias("n"))
     count = {(r["pred"], r["gt"]): r["n"] for r in rows}
     chosen = _assign([[count.get((p, g), 0) for g in gts] for p in preds])
-    pairs = spark.createDataFrame([(preds[i], gts[j]) for i, j in chosen], schema)
+    pairs = spark.createDataFrame([(preds[i], gts[j]) for i, j in chosen], "pred int, gt int")
     return pairs.join(ct, ["pred", "gt"], "left").select("pred", "gt", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

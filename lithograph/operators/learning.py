@@ -130,7 +130,7 @@ def cluster(df: DataFrame, k: int = 4, method: str = "kmeans", col: str = "embed
         rows = reduced.select("id", array_to_vector("pcs").alias("features"))
         return GaussianMixture(k=k, seed=seed, predictionCol="cluster").fit(rows).transform(rows).select("id", "cluster")
     if method == "spectral":
-        edges = knn_edges(df, options.get("neighbours", 10), col=col)
+        edges = knn_edges(df, options.pop("neighbours", 10), col=col, **options)
         both = edges.select(F.least("id", "neighbour").alias("src"), F.greatest("id", "neighbour").alias("dst")).distinct().withColumn("weight", F.lit(1.0))
         return PowerIterationClustering(k=k, maxIter=20, initMode="degree", weightCol="weight").assignClusters(both).select("id", "cluster")
     return ward_clusters(rows, k, seed, options.get("micro", 200))
@@ -171,31 +171,39 @@ def _block_pairs(df: DataFrame, col: str, blocks: int) -> DataFrame:
     return left.join(right, ["i", "j"]).filter("id <> neighbour").select("id", "neighbour", _distance("v", "v2").alias("distance"))
 
 
+def _lsh_pairs(df: DataFrame, col: str, radius: float, bucket: float, tables: int, seed: int) -> DataFrame:
+    """Ordered pairs of different rows within radius that share a bucket of random projections."""
+    rows = df.select("id", array_to_vector(F.transform(col, lambda x: x.cast("double"))).alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
+    pairs = model.approxSimilarityJoin(rows, rows, radius, distCol="distance")
+    return pairs.select(F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("neighbour"), "distance").filter("id <> neighbour")
+
+
 def knn_edges(df: DataFrame, k: int, mode: str = "exact", col: str = "embedding", blocks: int = 8, bucket: float = 1.0, tables: int = 5, radius: float = 2.0, seed: int = 42) -> DataFrame:
     """id, neighbour, distance, rank of the k nearest neighbours (ties to the smaller id).
 
     exact compares all pairs, block by block, for reference; lsh joins by random projections within `radius`, which is
     the way for many rows, and may miss some.
     """
-    if mode == "exact":
-        pairs = _block_pairs(df, col, blocks)
-    elif mode == "lsh":
-        rows = df.select("id", array_to_vector(F.transform(col, lambda x: x.cast("double"))).alias("features"))
-        model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
-        pairs = model.approxSimilarityJoin(rows, rows, radius, distCol="distance").select(F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("neighbour"), "distance").filter("id <> neighbour")
-    else:
+    if mode not in ("exact", "lsh"):
         raise ValueError(f"mode is exact or lsh, not {mode!r}")
+    pairs = _block_pairs(df, col, blocks) if mode == "exact" else _lsh_pairs(df, col, radius, bucket, tables, seed)
     best = Window.partitionBy("id").orderBy("distance", "neighbour")
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def density_clusters(df: DataFrame, col: str = "embedding", min_size: int = 10, min_samples: int = 10, radius: float | None = None) -> DataFrame:
+def density_clusters(df: DataFrame, col: str = "embedding", min_size: int = 10, min_samples: int = 10, radius: float | None = None, mode: str = "exact", bucket: float = 1.0, tables: int = 5, seed: int = 42) -> DataFrame:
     """(id, cluster): core points have min_samples rows within radius (themselves included); cores within radius of each
     other join, other rows within radius of a core take the nearest one's cluster, and groups below min_size are noise (-1).
 
-    radius defaults to the median distance to the min_samples-th neighbour.
+    radius defaults to the median distance to the min_samples-th neighbour. mode is as for knn_edges; lsh needs a radius.
     """
-    pairs = materialize(_block_pairs(df, col, 8), "density-pairs")
+    if mode == "lsh":
+        if radius is None:
+            raise ValueError("lsh needs a radius")
+        pairs = materialize(_lsh_pairs(df, col, radius, bucket, tables, seed), "density-pairs")
+    else:
+        pairs = materialize(_block_pairs(df, col, 8), "density-pairs")
     if radius is None:
         order = Window.partitionBy("id").orderBy("distance")
         kth = pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") == max(1, min_samples - 1))

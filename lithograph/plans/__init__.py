@@ -1,0 +1 @@
+"""Derived tables and the registered queries over them."""

@@ -1,0 +1 @@
+"""Column functions of lithograph.functions are stateless and take streaming DataFrames as they are."""

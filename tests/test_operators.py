@@ -180,6 +180,14 @@ def test_neighbours_by_lsh_are_near(blobs):
     assert len(exact & lsh) / len(exact) > 0.9
 
 
+def test_density_by_lsh(blobs):
+    with pytest.raises(ValueError):
+        learning.cluster(blobs, method="density", mode="lsh")
+    found = learning.cluster(blobs, method="density", mode="lsh", radius=3.0, bucket=4.0, tables=8)
+    rows = found.select(F.col("cluster").alias("pred"), (F.col("id") % 3).cast("int").alias("gt"))
+    assert evaluation.adjusted_rand(evaluation.contingency(rows)).first()[0] > 0.95
+
+
 def test_channel_stats_edges(spark):
     flat = spark.createDataFrame([(0, 1, 2, [7, 7])], "id int, h int, w int, px array<int>")
     assert stats.channel_stats(flat).first()[1:3] == (7.0, 0.0)
