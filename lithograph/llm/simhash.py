@@ -180,11 +180,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs' own columns, for the document of the smallest doc_id in each component."""
-    kept = near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    kept = materialize(kept, "simhash-kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    return out.dropDuplicates(["doc_id"]) if kept.filter("copies > 1").take(1) else out
+    """docs' own columns, for the document of the smallest doc_id in each component; rows without doc_id stay.
+
+    The documents that go are far fewer than those that stay, so it is their ids that docs are joined with.
+    """
+    found = materialize(near_duplicates(docs).select("doc_id", "component_id"), "simhash-classes")
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    out = docs.join(materialize(gone, "simhash-gone"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
+    return out.dropDuplicates(["doc_id"]) if repeated.take(1) else out
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
