@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 FIXTURES = {
     "catalog": """SELECT concat('C-', cast(o_orderkey AS varchar(20))) AS crater_id, cast((o_orderkey * 37) % 18000 AS double) / 100 - 90 AS lat,
         cast((o_custkey * 97 + o_orderkey) % 36000 AS double) / 100 AS lon, cast(o_orderkey % 2000 + 50 AS double) / 100 AS diam_km FROM orders""",
-    "ids": "SELECT concat('C-', cast(o_orderkey AS varchar(20))) AS crater_id FROM orders WHERE o_orderkey % 7 = 0",
+    "ids": "SELECT concat('C-', cast(c_custkey AS varchar(20))) AS crater_id FROM customer",
     "chips": "SELECT vec_id AS id, 1 AS c, 8 AS h, 8 AS w, MAP(embedding, x, cast(floor((cast(x AS double) + 1) * 127.5) AS int)) AS px FROM embeddings",
     "tiles": "SELECT cast(floor(id / 20.0) AS bigint) AS tile_row, cast(id % 20 AS bigint) AS tile_col, px FROM chips",
     "geo": """SELECT cast(-80000 AS double) AS x0, cast(40000 AS double) AS y0, cast(1000 AS double) AS xres, cast(80000 AS double) / cast((max(tile_row) + 1) * 8 AS double) AS yres,
         cast(160 AS bigint) AS width, cast((max(tile_row) + 1) * 8 AS bigint) AS height, 8 AS tile FROM tiles""",
     "windows": """SELECT vec_id AS id, cast((vec_id * 13) % 190 AS bigint) AS r0, cast((vec_id * 7) % 150 AS bigint) AS c0, cast(10 AS bigint) AS h, cast(10 AS bigint) AS w
-        FROM embeddings WHERE vec_id % 10 = 0""",
+        FROM embeddings""",
     "latents": "SELECT vec_id AS id, embedding FROM embeddings",
     "states": "SELECT vec_id AS id, cast(label % 4 + 1 AS int) AS state FROM embeddings",
     "assignments": "SELECT vec_id AS id, cast(CASE WHEN vec_id % 10 < 7 THEN (label % 4 + 2) % 4 ELSE vec_id % 4 END AS int) AS pred FROM embeddings",
