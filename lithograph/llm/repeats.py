@@ -93,7 +93,8 @@ def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
         whole = _mix(whole * _M[2] + grams[at])
     whole = _mix(whole ^ ((anchor - low).astype(np.uint64) << np.uint64(8)) ^ (last - low).astype(np.uint64))
     piece = np.searchsorted(starts, low, side="right") - 1
-    return grams[anchor], whole, piece, (low - starts[piece]).astype(np.int32), (last - low).astype(np.uint8)
+    # least hashes are small, so they are mixed again before buckets are cut by their upper bits
+    return _mix(grams[anchor]), whole, piece, (low - starts[piece]).astype(np.int32), (last - low).astype(np.uint8)
 
 
 def earlier_copy(data: np.ndarray, starts: np.ndarray, places: np.ndarray) -> np.ndarray:
