@@ -342,12 +342,12 @@ def _compare_bytes(batches):
 def removed_ranges(docs: DataFrame) -> DataFrame:
     """(k, ranges): for each document key, the ranges [low, last] of window starts that have an earlier copy.
 
-    docs: (k, text).
+    docs: (k, text) and what else the caller joins ranges with, so that both joins can share one shuffle of it.
     """
     buckets = buckets_of(docs.sparkSession)
-    packed = docs.mapInArrow(_contexts_of_task(buckets), PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    packed = docs.select("k", "text").mapInArrow(_contexts_of_task(buckets), PACKED).repartition("bucket").sortWithinPartitions("bucket")
     places = packed.mapInArrow(_compare_contexts, PLACES).groupBy("k").agg(F.collect_list(F.struct("kind", "low", "last", "h")).alias("places"))
-    fetched = docs.join(places, "k").select("k", "text", "places").mapInArrow(_fetch_bytes(buckets), PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    fetched = docs.join(places, "k").mapInArrow(_fetch_bytes(buckets), PACKED).repartition("bucket").sortWithinPartitions("bucket")
     return fetched.mapInArrow(_compare_bytes, "k long, low int, last int").groupBy("k").agg(F.collect_list(F.struct("low", "last")).alias("ranges"))
 
 
@@ -401,7 +401,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs' own columns with repeats cut out of text (n_chars follows); documents of which nothing stays are left out."""
     held = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("held"), _key(docs), "text")
-    joined = held.join(removed_ranges(docs.select(_key(docs), "text")), "k", "left").select("held", "text", "ranges")
+    joined = held.join(removed_ranges(held), "k", "left").select("held", "text", "ranges")
     out = joined.mapInArrow(_apply, StructType([held.schema["held"], *StructType.fromDDL(_ADDED).fields])).filter("n_removed = 0 OR kept <> ''")
     value = {c: F.col(f"held.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("kept")}
     if "n_chars" in value:
