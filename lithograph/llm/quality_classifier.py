@@ -158,7 +158,7 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.
                 distinct = set(words)
                 total = sum(map(known.__getitem__, distinct)) + sum(map(known.__getitem__, ratio_features(text or b"", len(words), len(distinct))))
                 scores.append(total)
-            if len(known) > 1_000_000:
+            if len(known) > 200_000:
                 known.clear()
             tails = model.tails(np.array(scores))
             added = [pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= least_tail)]
