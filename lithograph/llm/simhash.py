@@ -35,6 +35,7 @@ from lithograph.session import materialize
 BITS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 FAN = 16
+TID = "xxhash64(text IS NULL, text)"
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -57,12 +58,12 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
 def _fingerprints(batches):
     for part, texts in text_batches(batches):
         prints = np.array([fingerprint(t or b"") for t in texts], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tid"), pa.array(prints)], ["doc_id", "tid", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long)."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, tid (a hash of the text) and fp (the fingerprint's 64 bits as a signed long)."""
+    return docs.select("doc_id", F.expr(TID).alias("tid"), "text").mapInArrow(_fingerprints, "doc_id long, tid long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -179,16 +180,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _print_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, tid, component_id for the rows with doc_id; a component is that of fingerprints, whatever ids texts share."""
+    rows = materialize(fingerprints(docs.filter("doc_id IS NOT NULL")), "simhash")
+    nodes = materialize(rows.select("fp").distinct().withColumn("rep", F.col("fp")), "simhash-nodes")
+    found = connected_components(links(nodes)).withColumnRenamed("id", "fp")
+    return rows.join(found, "fp", "left").select("doc_id", "tid", F.coalesce("component", "fp").alias("component_id"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs' own columns, for the document of the smallest doc_id in each component; rows without doc_id stay.
+    """docs' own columns, for the text of the smallest (doc_id, hash of text) in each component; rows without doc_id stay.
 
-    The documents that go are far fewer than those that stay, so it is their ids that docs are joined with.
+    Rows that share a doc_id but not a text are documents of their own. Of rows with the same doc_id and text the one
+    whose columns come first as JSON stays. The documents that go are far fewer than those that stay, so it is their ids
+    that docs are joined with.
     """
-    found = materialize(near_duplicates(docs).select("doc_id", "component_id"), "simhash-classes")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    out = docs.join(materialize(gone, "simhash-gone"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
-    return out.dropDuplicates(["doc_id"]) if repeated.take(1) else out
+    found = materialize(_print_classes(docs).groupBy("doc_id", "tid", "component_id").count(), "simhash-classes")
+    least = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "tid")).alias("least"))
+    gone = found.join(least, "component_id").filter("doc_id <> least.doc_id OR tid <> least.tid OR count > 1")
+    gone = materialize(gone.select("doc_id", "tid", F.expr("doc_id = least.doc_id AND tid = least.tid").alias("stays")), "simhash-gone")
+    at = lambda rows: (rows["doc_id"] == gone["doc_id"]) & (F.expr(TID) == gone["tid"])
+    out = docs.join(gone, at(docs), "left_anti").select(*docs.columns)
+    again = gone.filter("stays").select(F.col("doc_id").alias("same_id"), F.col("tid").alias("same_tid"))
+    if not again.take(1):
+        return out
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("same_id"), F.expr(TID).alias("same_tid"))
+    first = rows.join(again, ["same_id", "same_tid"], "left_semi").groupBy("same_id", "same_tid").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return out.union(first.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -199,6 +199,13 @@ def test_simhash_against_all_pairs(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(docs.union(docs)).count() == len(set(want.values()))
 
 
+def test_keep_one_holds_rows_without_id_and_texts_of_a_shared_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a, 2), (1, a, 1), (1, b, 3), (2, a, 4), (3, c, 5), (3, b, 6), (None, d, 7), (None, a, 8), (None, None, 9)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    assert sorted(got.collect(), key=lambda r: r.n) == [(1, a, 1), (1, b, 3), (3, c, 5), (None, d, 7), (None, a, 8), (None, None, 9)]
+
+
 @pytest.mark.parametrize("chunk", [5, 1000])
 def test_links_in_dense_groups(spark, chunk):
     rng = random.Random(2)
