@@ -206,6 +206,32 @@ def test_keep_one_holds_rows_without_id_and_texts_of_a_shared_id(spark):
     assert sorted(got.collect(), key=lambda r: r.n) == [(1, a, 1), (1, b, 3), (3, c, 5), (None, d, 7), (None, a, 8), (None, None, 9)]
 
 
+@pytest.mark.parametrize("chunk", (200, 3))
+def test_similar_classes_against_all_pairs(spark, chunk):
+    rng = random.Random(3)
+    texts = [None, "", "one", "One", "one two"]
+    for _ in range(6):
+        base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        for n in range(12):
+            copy = base[:]
+            for _ in range(n % 8):
+                copy[rng.randrange(150)] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := words(lower(t))) else set() for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = sorted((root[i], root[j]))
+            root = [a if x == b else x for x in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = collections.defaultdict(list)
+    for r in simhash._similar_classes(docs, 5, 0.8, chunk).collect():
+        found[r.component_id].append(r.doc_id)
+    assert sorted(map(sorted, found.values())) == sorted([i for i, x in enumerate(root) if x == y] for y in set(root))
+    if chunk == 200:
+        assert len(simhash.keep_one(docs).collect()) > len(set(root)) == simhash.keep_one(docs, 5, 0.8).count()
+
+
 @pytest.mark.parametrize("chunk", [5, 1000])
 def test_links_in_dense_groups(spark, chunk):
     rng = random.Random(2)
