@@ -139,18 +139,19 @@ def v_measure(ct: DataFrame) -> DataFrame:
     return out.withColumn("v_measure", F.when(both > 0, 2 * F.col("homogeneity") * F.col("completeness") / both).otherwise(0.0))
 
 
-def silhouette(df: DataFrame, label: str, coords: tuple[str, str] = ("x1", "x2"), most: int | None = 20000, blocks: int = 16) -> DataFrame:
+def silhouette(df: DataFrame, label: str, coords: tuple[str, str] = ("x1", "x2"), most: int | None = None, blocks: int | None = None) -> DataFrame:
     """One row: the mean exact Euclidean silhouette; 0 for a point alone in its cluster, null for fewer than two clusters.
 
     Points meet in pairs of blocks (an equi-join on the pair's key), and each block pair sums distances by (point,
-    cluster). The work is the square of the rows: above `most` rows a seeded sample stands in (most=None: never);
-    silhouette_squared takes any number of rows.
+    cluster); unless given, blocks hold about 4000 points, 16 at least. The work is the square of the rows. Only if asked
+    for does a seeded sample of `most` rows stand in for more; silhouette_squared is linear.
     """
     from lithograph.operators.sampling import subset_n
 
     rows = df.select("id", F.col(label).alias("l"), *(F.col(c).alias(n) for c, n in zip(coords, ("p", "q"), strict=True)))
     if most is not None and rows.count() > most:
         rows = subset_n(rows, most)
+    blocks = blocks or max(16, -(-rows.count() // 4000))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = rows.withColumn("other", F.explode(every))

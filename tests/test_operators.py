@@ -115,6 +115,14 @@ def test_silhouette_edges(spark):
     assert evaluation.silhouette(df.filter("l = 0"), "l").first()[0] is None
 
 
+def test_silhouette_takes_all_of_many_rows(spark):
+    n, odd = 10050, 100  # two points, with some of the second cluster at the first one's
+    df = spark.range(2 * n).select("id", (F.col("id") >= n).cast("int").alias("l"), F.when(F.col("id") >= n + odd, 10.0).otherwise(0.0).alias("x1"), F.lit(0.0).alias("x2"))
+    away = 10 * odd / (n - 1)
+    want = (n * 1.0 + odd * -1.0 + (n - odd) * (10 - away) / 10) / (2 * n)
+    assert evaluation.silhouette(df, "l").first()[0] == pytest.approx(want, rel=1e-12)
+
+
 def test_sinkhorn_sums(spark):
     rng = np.random.default_rng(3)
     rows = [(i, k, float(rng.normal())) for i in range(20) for k in range(4)]
