@@ -22,8 +22,9 @@ equal ones are collapsed in the task first, and so no bucket holds more than one
 
 Equality of contexts is judged by two 64-bit hashes (of the anchor and of all bytes); the rest compares bytes.
 
-Defined cases: a null text is empty; a text shorter than `length` loses nothing; rows that share a doc_id count as one
-document (a start that goes in one goes in all of them); a null doc_id comes first in order; an empty table gives no
+Defined cases: a null text is empty; a text shorter than `length` loses nothing; rows of the same
+doc_id and text count as one document; different texts under one doc_id, or under none, are documents of their own, in
+the order of a hash of the text; a null doc_id comes first in order; an empty table gives no
 rows; extra columns are ignored.
 """
 
@@ -37,11 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lithograph.operators.sampling import dense_index
+from lithograph.session import materialize
+
 LENGTH, GRAM = 100, 48
 SPAN = LENGTH - GRAM + 1  # grams in a window
 CHUNK = 1 << 20
 HOT = 256
-NULL_ID = -(1 << 63)
 REMOVED, CONTEXT, WINDOWS, MARK = 0, 1, 2, 3
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _LOW = np.uint64(CHUNK - 1)
@@ -386,22 +389,38 @@ def _apply(batches):
 _ADDED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
-def _key(docs: DataFrame):
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs with a document key k, the (k, text) to look for repeats in); docs: held and text, held with doc_id.
+
+    k is the doc_id where all rows have one of their own. Otherwise it is the place among the different (doc_id, text),
+    by doc_id and a hash of the text, so that texts under one id or none are documents of their own, and equal ones are one.
+    """
+    doc_id = F.col("held.doc_id").cast("long")
+    ids = docs.groupBy(doc_id.alias("id")).agg(F.count("*").alias("n"))
+    if not ids.filter("id IS NULL OR n > 1").take(1):
+        own = docs.withColumn("k", doc_id)
+        return own, own
+    named = docs.withColumn("id", doc_id).withColumn("tid", F.expr("xxhash64(text IS NULL, text)"))
+    order = F.struct(F.col("id").isNotNull().alias("there"), F.coalesce("id", F.lit(0)).alias("id"), "tid")
+    places = materialize(dense_index(named.select(order.alias("place")).distinct(), "place"), "repeats-keys")
+    places = places.select(F.col("place.there").alias("there"), F.col("place.id").alias("at"), F.col("place.tid").alias("tid"), F.col("idx").cast("long").alias("k"))
+    joined = named.withColumn("there", F.col("id").isNotNull()).withColumn("at", F.coalesce("id", F.lit(0))).join(places, ["there", "at", "tid"])
+    out = materialize(joined.select("held", "text", "k"), "repeats-docs")
+    return out, out.groupBy("k").agg(F.first("text").alias("text"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    keyed = docs.select(_key(docs), "text")
-    joined = keyed.join(removed_ranges(keyed), "k", "left").select("k", "text", "ranges")
-    out = joined.mapInArrow(_apply, f"k long, {_ADDED}")
-    return out.select(F.when(F.col("k") != NULL_ID, F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    keyed, texts = _keyed(docs.select(F.struct("doc_id").alias("held"), "text"))
+    joined = keyed.join(removed_ranges(texts), "k", "left").select("held", "text", "ranges")
+    out = joined.mapInArrow(_apply, StructType([keyed.schema["held"], *StructType.fromDDL(_ADDED).fields]))
+    return out.select(F.col("held.doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs' own columns with repeats cut out of text (n_chars follows); documents of which nothing stays are left out."""
-    held = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("held"), _key(docs), "text")
-    joined = held.join(removed_ranges(held), "k", "left").select("held", "text", "ranges")
+    held, texts = _keyed(docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("held"), "text"))
+    joined = held.join(removed_ranges(texts), "k", "left").select("held", "text", "ranges")
     out = joined.mapInArrow(_apply, StructType([held.schema["held"], *StructType.fromDDL(_ADDED).fields])).filter("n_removed = 0 OR kept <> ''")
     value = {c: F.col(f"held.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("kept")}
     if "n_chars" in value:

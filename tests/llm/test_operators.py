@@ -288,6 +288,17 @@ def test_repeats_against_all_windows(spark, rows, docs, none, hot, monkeypatch):
         assert out.columns == docs.columns and out.filter("doc_id = 40").count() == 0
 
 
+def test_repeats_hold_texts_of_shared_and_missing_ids_apart(spark):
+    rng = random.Random(4)
+    base, *own = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(7))
+    rows = [(None, own[0]), (None, own[1]), (1, base), (2, own[2] + base), (2, own[3]), (2, own[4]), (3, base + own[5]), (3, own[5][:60] + own[0])]
+    docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id is not None, r.doc_id, r.text) for r in repeats.without_repeats(docs).collect())
+    want = [*rows[:3], (2, own[2]), (2, own[2]), *rows[4:6], (3, own[5]), (3, own[5][:60])]
+    assert got == sorted((i is not None, i, t) for i, t in want)
+    assert sorted(r.n_removed for r in repeats.remove_repeats(docs).collect()) == [0, 0, 0, 0, 0, 300, 300, 300, 300]
+
+
 def test_earlier_copy_is_the_previous_factor():
     rng = np.random.default_rng(0)
     data = np.frombuffer(bytes(rng.choice(list(b"ab"), 300)) * 2, dtype=np.uint8)
