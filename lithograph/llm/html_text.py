@@ -9,8 +9,8 @@ least total cost; what stays on the content side is the text.
 The text of scripts, styles, templates, titles and comments of the markup is never a block.
 
 A map over rows: nothing is shuffled. Defined cases: a null or empty page gives an empty text; broken markup is read as
-far as it goes (an open tag closes with what holds it, an open script reaches to the end, a "<" that starts no tag is
-text); repeated rows give repeated rows; an empty table gives none; extra columns are ignored.
+far as it goes (an open tag closes with what holds it, an open script reaches to the end, of an svg, select or the like
+without an end only the tag goes, a "<" that starts no tag is text); repeated rows give repeated rows; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +24,17 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+_ATTRS = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+"
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|title|svg|math|iframe|object|canvas|textarea|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+)>"
+    r"|<(?P<raw>script|style|noscript|title|iframe|textarea)(?=[\s/>])(?:" + _ATTRS + r">|[^>]*>).*?(?:</(?P=raw)(?:\s[^>]*)?>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>" + _ATTRS + r")>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
+# Elements that are skipped with all that they hold, if they have an end.
+SKIPPED = frozenset("template svg math object canvas select".split())
+_CLOSED = re.compile(r"<[a-z]+(?=[\s/>])" + _ATTRS + r"(?<=/)>", re.I)  # a raw element inside such an element may be closed at once
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|aria-label|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 # Elements that end a block.
 BLOCKS = frozenset(
@@ -79,6 +83,25 @@ def element_score(name: str, attrs: str, in_article: bool) -> float:
     return score
 
 
+def skipped_spans(page: str) -> dict[int, int]:
+    """Start and end of each skipped element that is closed; elements of one name may hold each other."""
+    spans: dict[int, int] = {}
+    starts: dict[str, list[int]] = {name: [] for name in SKIPPED}
+    at = 0
+    while m := _MARKUP.search(page, at):
+        at = m.end()
+        if m["raw"] and (closed := _CLOSED.match(page, m.start())):
+            at = closed.end()
+        name = (m["name"] or "").lower()
+        if name in SKIPPED:
+            if m["close"]:
+                if starts[name]:
+                    spans[starts[name].pop()] = m.end()
+            elif not m["attrs"].endswith("/"):
+                starts[name].append(m.start())
+    return spans
+
+
 def page_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     blocks: list[Block] = []
@@ -104,18 +127,24 @@ def page_blocks(page: str) -> list[Block]:
         if links:
             linked += len(text.strip())
 
-    at = 0
-    for m in _MARKUP.finditer(page):
+    at, spans = 0, None
+    while m := _MARKUP.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
         name = m["name"]
         if not name:
-            if m["raw"] and m["raw"].lower() in ("textarea", "select", "iframe", "object", "canvas", "svg", "math"):
+            if m["raw"] and m["raw"].lower() in ("textarea", "iframe"):
                 pieces.append(" ")
             continue
         name, closing = name.lower(), bool(m["close"])
-        if name == "a":
+        if name in SKIPPED:
+            if not closing:
+                spans = skipped_spans(page) if spans is None else spans
+                at = spans.get(m.start(), at)
+            if name != "template":
+                pieces.append(" ")
+        elif name == "a":
             links = max(0, links - 1) if closing else links + 1
         elif name == "br":
             pieces.append(" ")

@@ -413,6 +413,17 @@ def test_main_text(spark):
     assert got[7].text == "deep words here now" and all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_markup_takes_no_text_and_leaves_none():
+    text = lambda page: [b.text for b in html_text.page_blocks(page)]
+    long = "x>" * 3000
+    assert text(f'<p>a</p><div class="nav" data-x="{long}">b</div><p>c<img src="{long}">d</p>') == ["a", "b", "cd"]
+    assert html_text.page_blocks(f'<div class="nav" data-x="{long}">b</div>')[0].score < html_text.page_blocks("<div>b</div>")[0].score - 8
+    for tag in ("<svg width='1'/>", "<select>", "<object data='x'>", "<canvas/>", "<svg-icon>", "<select-menu name='a'>", "<title-bar>"):
+        assert " ".join(text(f"<p>a</p>{tag}<p>b</p><svg><g/><svg>n</svg>no</svg><p>c</p><select><option>no</select><p>d</p>")) == "a b c d", tag
+    assert text("<svg><style/><title>t</title>no</svg><p>a</p><template><p>no</p></template><script>no <p>b") == ["a"]
+    assert text("<svg>" * 20000 + "<p>a</p>") == ["a"]
+
+
 def test_cut_is_minimal():
     rng = random.Random(0)
     for _ in range(200):
