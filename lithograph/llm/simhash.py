@@ -14,7 +14,7 @@ differences added up so far, dropping a node with all below it once they exceed
 of its links, not all pairs; components come from repeated minima over the links.
 
 The pipeline's stage looks for another likeness (keep_one with a similarity): 5-word shingles with a Jaccard similarity of 0.8
-lie 10 bits apart on average and often 15, which no keys of blocks of 64 bits can find. There texts that share one of
+lie about 10 bits apart by calculation, and some much more, which no keys of blocks of 64 bits can find. There texts that share one of
 BANDS minhash bands are compared by their exact sets of shingles: all with the least of their band first, then, in bands
 that this has not joined, all outside the largest component with all.
 
