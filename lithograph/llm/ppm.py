@@ -3,35 +3,38 @@
 The model is a trie of byte contexts up to ORDER bytes, learned from the training documents (those whose CRC-32 of the id
 as text leaves another remainder than 2 by 7). A text is its lower-cased words (A-Z) joined by single spaces, and one END.
 To code a symbol, the longest known context predicts it by its count, or escapes; the escape counts for the number of the
-context's different symbols (method C) and for all that followed the context without becoming a node. Symbols that an
-escaped context holds are excluded from the shorter one. What a symbol
-not in the trie costs ends in a uniform choice among the symbols never seen.
-
-Nodes: a string of a context and its symbol becomes a node if it occurs at least once per 2 ** 20 training symbols (and
-once at all). So a longer node's suffixes are nodes too, there are at most 2 ** 20 nodes per order whatever the corpus,
-and the trie may be sent to all tasks. All strings of all training texts are counted, rare ones too: each task sorts and
-counts its own, and an aggregation adds them up.
-
-Because the symbols of a context are among those of its suffix, what an escape excludes depends on the context escaped
-from alone. So each context keeps its denominator, its escape, and both again for its suffix after exclusion, and a
-whole chunk of text is scored by array lookups, most symbols by one.
-
-Unigrams: counts of all words, joined back only to the blocks of documents that hold them; documents are dealt into
-blocks by a hash of their id, and a block meets its part of the vocabulary in one task.
+context's different symbols (method C). Symbols that an escaped context holds are excluded from the shorter one. What a
+symbol that no context holds costs ends in a uniform choice among the symbols never seen. No string is pruned, however rare:
+the trie grows with the corpus and is never in one place.
+
+How it is laid out. A string is ORDER symbols and the one they predict, in one number of 54 bits; counts of shorter
+strings are sums over longer ones. What a symbol costs depends on its string alone, so each different string of the
+corpus is costed once, and blocks of documents ask for the strings they hold:
+
+1. Tasks deal their documents into blocks of about BLOCK bytes and write, with the documents, each block's different words
+   and strings with their training counts, packed by a hash of word or string (`bucket`).
+2. Buckets add up the counts of all blocks. Words are answered to the blocks at once.
+3. Strings are sorted by the last three symbols of their context. Together with the (joined) counts of their last two, and
+   those of the last one, which are few (257 * 257 at most) and sent to all tasks, that is all their costs depend on; a
+   group of one such context is bounded by the alphabet. Because the symbols of a context are among those of its suffix,
+   what an escape excludes depends on the context escaped from alone.
+4. Costs go to the buckets, and from there to the blocks that asked; a block scores its documents by lookup.
 
 Defined cases: a null or empty text is one END; a null doc_id counts as an empty id; without training documents words get
 probability 1 (the smoothing over no token) and symbols the uniform one; repeated rows are scored and counted each; an
-empty table gives no rows; extra columns are ignored.
+empty table gives no rows; extra columns are ignored. Blocks follow the rows as they are read, so that neither missing
+nor repeated ids nor copies make a large one; a text longer than BLOCK is a block of its own.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +45,9 @@ ORDER = 5
 END = 256
 SYMBOLS = 257
 SHIFT = np.uint64(9)  # bits of a symbol
-NODES = 1 << 20
 CHUNK = 1 << 21
+BLOCK = 1 << 23
+GROUP = 200_000  # strings costed at once, and the rest of their context
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -52,6 +56,14 @@ def plain(text: bytes) -> bytes:
     return b" ".join(text.lower().split())
 
 
+def _keys(stream: np.ndarray) -> np.ndarray:
+    """Each symbol of a stream with the ORDER before it in one number."""
+    key = stream.copy()
+    for back in range(1, ORDER + 1):
+        key[back:] |= stream[:-back] << (SHIFT * np.uint64(back))
+    return key
+
+
 def gram_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each symbol of the texts and their ENDs: its ORDER symbols before it and itself in one number; and its text."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -62,23 +74,31 @@ def gram_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     is_end = np.zeros(len(owner), dtype=bool)
     is_end[np.cumsum(sizes + 1) - 1] = True
     stream[place[~is_end]] = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    key = stream.copy()
-    for back in range(1, ORDER + 1):
-        key[back:] |= stream[:-back] << (SHIFT * np.uint64(back))
-    return key[place], owner
-
-
-def chunks(texts, size: int = CHUNK):
-    """Lists of texts of about size bytes."""
-    held, total = [], 0
-    for text in texts:
-        held.append(text)
+    return _keys(stream)[place], owner
+
+
+def keyed(texts: list[bytes], size: int | None = None):
+    """(keys, owner) as of gram_keys, in parts of about size symbols; a long text goes in pieces."""
+    size = size or CHUNK
+    held: list[int] = []
+    total = 0
+    for i, text in enumerate(texts):
+        if len(text) > size:
+            for at in range(0, len(text) + 1, size):
+                body = np.frombuffer(text[max(0, at - ORDER) : at + size], dtype=np.uint8).astype(np.uint64)
+                before = np.full(max(0, ORDER - at), END, dtype=np.uint64)
+                stream = np.concatenate([before, body, np.full(int(at + size > len(text)), END, dtype=np.uint64)])
+                yield _keys(stream)[ORDER:], np.full(len(stream) - ORDER, i)
+            continue
+        held.append(i)
         total += len(text) + ORDER
         if total > size:
-            yield held
+            keys, owner = gram_keys([texts[j] for j in held])
+            yield keys, np.array(held)[owner]
             held, total = [], 0
     if held:
-        yield held
+        keys, owner = gram_keys([texts[j] for j in held])
+        yield keys, np.array(held)[owner]
 
 
 def count_keys(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -97,27 +117,6 @@ def _low(order: int) -> np.uint64:
     return np.uint64((1 << (9 * (order + 1))) - 1)
 
 
-def _count_task(batches):
-    """(order, key, n) of the strings in a task's texts."""
-    keys, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def merged():
-        return count_keys(np.concatenate([keys, *(p[0] for p in parts)]), np.concatenate([counts, *(p[1] for p in parts)]))
-
-    for held in chunks(plain(t or b"") for _, texts in text_batches(batches) for t in texts):
-        parts.append(count_keys(gram_keys(held)[0]))
-        if len(parts) == 8:
-            keys, counts = merged()
-            parts = []
-    keys, counts = merged()
-    for order in range(ORDER, -1, -1):
-        keys, counts = count_keys(keys & _low(order), counts)
-        for at in range(0, len(keys), 100_000):
-            k, n = keys[at : at + 100_000], counts[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), order, dtype=np.int32)), pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], ["gram_order", "key", "n"])
-
-
 class Table:
     """Keys to places 0 .. n - 1, by open addressing."""
 
@@ -152,88 +151,23 @@ class Table:
         return out
 
 
-@dataclass
-class Level:
-    """Nodes of one order and their contexts; logarithms to base 10."""
-
-    grams: np.ndarray
-    log_count: np.ndarray
-    direct: np.ndarray
-    contexts: np.ndarray
-    escape: np.ndarray
-    lower_total: np.ndarray
-    lower_escape: np.ndarray
-
-
-def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[Level], float]:
-    """The trie from (keys in order, counts) per order, and the cost of a symbol that no node holds."""
-    out: list[Level] = []
-    with np.errstate(divide="ignore"):
-        for order, (keys, counts) in enumerate(levels):
-            contexts, where = np.unique(keys >> SHIFT, return_inverse=True)
-            total, kinds = np.bincount(where, counts, len(contexts)), np.bincount(where, minlength=len(contexts)).astype(float)
-            full = total.copy()
-            if order:
-                below, below_counts = levels[order - 1]
-                near = np.minimum(np.searchsorted(below, contexts), max(0, len(below) - 1))
-                full = np.where(below[near] == contexts, np.maximum(below_counts[near], total), total) if len(below) else full
-            rare = full - total  # what followed the context but is no node
-            log_total = np.log10(total + rare + kinds)
-            lower_total, lower_escape = np.zeros(len(contexts)), np.zeros(len(contexts))
-            if order:
-                held = np.bincount(where, below_counts[np.searchsorted(below, keys & _low(order - 1))], len(contexts))
-                suffix = (contexts & _low(order - 2)) if order > 1 else np.zeros(len(contexts), dtype=np.uint64)
-                at = np.searchsorted(out[-1].contexts, suffix)
-                new = prior[1][at] - kinds
-                lower_total = np.where(new > 0, np.log10(np.maximum(prior[0][at] - held + prior[2][at] + new, 1)), 0.0)
-                lower_escape = np.where(new > 0, np.log10(np.maximum(prior[2][at] + new, 1)) - lower_total, 0.0)
-            prior = (total, kinds, rare)
-            log_count = np.log10(counts)
-            out.append(Level(keys, log_count, log_count - log_total[where], contexts, np.log10(rare + kinds) - log_total, lower_total, lower_escape))
-    unseen = SYMBOLS - len(levels[0][0])
-    return out, -math.log10(max(1, unseen))
-
-
-class Scorer:
-    """A trie with its lookup tables."""
-
-    def __init__(self, levels: list[Level], unseen: float):
-        self.levels, self.unseen = levels, unseen
-        self.grams = [Table(x.grams) for x in levels]
-        self.contexts = [Table(x.contexts) for x in levels]
-
-    def symbols(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol, given keys as of gram_keys."""
-        out = np.zeros(len(keys))
-        live, last = np.arange(len(keys)), np.full(len(keys), -1, dtype=np.int32)
-        for order in range(ORDER, -1, -1):
-            level, key = self.levels[order], keys[live] & _low(order)
-            gram = self.grams[order].find(key)
-            known, fresh = gram >= 0, last < 0
-            one = known & fresh
-            out[live[one]] += level.direct[gram[one]]
-            two = known & ~fresh
-            if two.any():
-                out[live[two]] += level.log_count[gram[two]] - self.levels[order + 1].lower_total[last[two]]
-            live, last, key, fresh = live[~known], last[~known], key[~known], fresh[~known]
-            if not len(live):
-                return out
-            context = self.contexts[order].find(key >> SHIFT)
-            start, on = fresh & (context >= 0), ~fresh
-            out[live[start]] += level.escape[context[start]]
-            if on.any():
-                out[live[on]] += self.levels[order + 1].lower_escape[last[on]]
-            last = context
-        out[live] += self.unseen
-        return out
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key; buckets is a power of two."""
+    return ((keys * _SPREAD) >> np.uint64(65 - buckets.bit_length())).astype(np.int32)
+
+
+def buckets_for(spark) -> int:
+    """A power of two, a few buckets for each shuffle partition."""
+    return 1 << max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
-    def texts(self, texts: list[bytes]) -> list[float]:
-        """log10 probability of each text with its END."""
-        out: list[float] = []
-        for held in chunks(map(plain, texts)):
-            keys, owner = gram_keys(held)
-            out += np.bincount(owner, self.symbols(keys), len(held)).tolist()
-        return out
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Keys in order, as differences, which compress."""
+    return np.diff(keys, prepend=np.uint64(0)).tobytes()
+
+
+def unpack_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, dtype=np.uint64), dtype=np.uint64)
 
 
 def held_out() -> Column:
@@ -241,83 +175,290 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def train(docs: DataFrame, nodes: int = NODES) -> tuple[list[Level], float]:
-    """The trie of docs' texts."""
-    counted = docs.select("text").mapInArrow(_count_task, "gram_order int, key long, n long").groupBy("gram_order", "key").agg(F.sum("n").alias("n"))
-    counted = materialize(counted, "ppm-strings")
-    total = counted.filter("gram_order = 0").agg(F.sum("n")).first()[0] or 0
-    kept = counted.filter(F.col("n") >= max(1, -(-total // nodes))).toArrow()  # at most `nodes` rows per order
-    orders, keys, counts = (kept.column(c).to_numpy() for c in ("gram_order", "key", "n"))
-    levels = []
-    for order in range(ORDER + 1):
-        k, n = keys[orders == order].view(np.uint64), counts[orders == order]
-        by_key = np.argsort(k)
-        levels.append((k[by_key], n[by_key]))
-    return build(levels)
-
-
-def _count_words(key, table):
-    """Training count of each word in a block (0 for words of held-out documents alone); null stands for END."""
-    learned, other, ends = Counter(), set(), 0
-    for held, text in zip(table.column("held_out").to_pylist(), table.column("text").cast(pa.binary()), strict=True):
-        words = (text.as_py() or b"").lower().split()
+_BLOCKS = pa.schema(
+    [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("block", pa.int64()), ("bucket", pa.int32())]
+    + [(name, pa.binary()) for name in ("words", "word_counts", "grams", "gram_counts")]
+)
+BLOCKS = "doc_id long, held_out boolean, text string, block long, bucket int, words binary, word_counts binary, grams binary, gram_counts binary"
+
+
+def requests(block: int, texts: list[tuple[bytes, bool]], buckets: int) -> pa.RecordBatch:
+    """The different words and strings of a block's (text, held_out), with their counts in training texts, by bucket."""
+    counts: Counter[bytes] = Counter()
+    both: tuple[list[bytes], list[bytes]] = ([], [])
+    for text, held in texts:
+        words = text.lower().split()
         if held:
-            other.update(words)
+            for w in words:
+                counts.setdefault(w, 0)
         else:
-            learned.update(words)
-            ends += 1
-    rest = [w for w in other if w not in learned]
-    words = [*learned, *rest, None]
-    counts = [*learned.values(), *([0] * len(rest)), ends]
-    return pa.table({"block": pa.array([key[0].as_py()] * len(words), pa.int64()), "word": pa.array(words, pa.binary()), "n": pa.array(counts, pa.int64())})
+            counts.update(words)
+        both[held].append(b" ".join(words))
+    keys, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    for held, plains in enumerate(both):
+        for part, _ in keyed(plains):
+            more, times = count_keys(part)
+            keys, n = count_keys(np.concatenate([keys, more]), np.concatenate([n, times * (1 - held)]))
+    words, times = list(counts), np.fromiter(counts.values(), dtype=np.uint32, count=len(counts))
+    of_word = np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words)) & np.uint32(buckets - 1)
+    of_key = bucket_of(keys, buckets)
+    by_word, by_key = np.argsort(of_word, kind="stable"), np.argsort(of_key, kind="stable")
+    cut_word, cut_key = (np.searchsorted(x, np.arange(buckets + 1)) for x in (of_word[by_word], of_key[by_key]))
+    keys, n, times, rows = keys[by_key], n[by_key].astype(np.uint32), times[by_word], []
+    words = [words[i] for i in by_word.tolist()]
+    for b in range(buckets):
+        w, k = slice(cut_word[b], cut_word[b + 1]), slice(cut_key[b], cut_key[b + 1])
+        if w.start < w.stop or k.start < k.stop:
+            rows.append((b, b" ".join(words[w]), times[w].tobytes(), pack_keys(keys[k]), n[k].tobytes()))
+    packed = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (f.type for f in list(_BLOCKS)[4:]), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.nulls(len(rows), f.type) for f in list(_BLOCKS)[:3]] + [pa.array([block] * len(rows), pa.int64()), *packed], schema=_BLOCKS)
+
+
+def _cut_blocks(buckets: int, size: int):
+    """Documents with their block, and between them what each block asks for."""
+
+    def run(batches):
+        block, used, texts = TaskContext.get().partitionId() << 32, 0, []
+
+        def documents(rows: pa.RecordBatch) -> pa.RecordBatch:
+            columns = [*(rows.column(f.name) for f in list(_BLOCKS)[:3]), pa.array([block] * rows.num_rows, pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.nulls(rows.num_rows, f.type) for f in list(_BLOCKS)[4:])], schema=_BLOCKS)
+
+        for part, found in text_batches(batches):
+            first, held = 0, part.column("held_out").to_pylist()
+            for i, text in enumerate(found):
+                texts.append((text or b"", held[i]))
+                used += len(text or b"")
+                if used >= size:
+                    yield documents(part.slice(first, i + 1 - first))
+                    yield requests(block, texts, buckets)
+                    block, used, texts, first = block + 1, 0, [], i + 1
+            if first < part.num_rows:
+                yield documents(part.slice(first))
+        if texts:
+            yield requests(block, texts, buckets)
+
+    return run
+
+
+def _by_bucket(batches):
+    """Lists of the rows of each bucket, from batches sorted by bucket."""
+    held, now = [], None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row["bucket"] != now:
+                yield held
+                held = []
+            now = row["bucket"]
+            held.append(row)
+    if held:
+        yield held
+
+
+ANSWERS = "block long, words binary, word_counts binary, n long, v long"
+
+
+def _count_words(batches):
+    """Training counts of the words that each block asked for; and of each bucket their sum and how many are above zero."""
+    for rows in _by_bucket(batches):
+        total: dict[bytes, int] = {}
+        asked = [(r["block"], r["words"], r["words"].split(b" "), np.frombuffer(r["word_counts"], dtype=np.uint32).tolist()) for r in rows if r["words"]]
+        for _, _, words, counts in asked:
+            for w, c in zip(words, counts, strict=True):
+                total[w] = total.get(w, 0) + c
+        found = [np.fromiter(map(total.__getitem__, words), dtype=np.int64, count=len(words)).tobytes() for _, _, words, _ in asked]
+        none = [None] * len(asked)
+        columns = [[a[0] for a in asked] + [None], [a[1] for a in asked] + [None], [*found, None], [*none, sum(total.values())], [*none, sum(c > 0 for c in total.values())]]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["block", "words", "word_counts", "n", "v"])
+
 
+def _count_strings(batches):
+    """(key, n) of each bucket's strings."""
+    for rows in _by_bucket(batches):
+        keys, counts = count_keys(np.concatenate([unpack_keys(r["grams"]) for r in rows]), np.concatenate([np.frombuffer(r["gram_counts"], dtype=np.uint32).astype(np.int64) for r in rows]))
+        for at in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].view(np.int64)), pa.array(counts[at : at + 100_000])], ["key", "n"])
+
+
+def low(order: int) -> int:
+    """A mask of the last symbols of a string: `order` of context and the one they predict."""
+    return (1 << (9 * (order + 1))) - 1
+
+
+def symbol_costs(n: list[np.ndarray], total: list[np.ndarray], kinds: list[np.ndarray], held: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of the symbol of each string, given by order of context: how often context and symbol occur, how
+    often the context does and with how many symbols, and how often those follow the context without its first symbol."""
+    cost = np.zeros(len(n[0]))
+    open_, fresh = np.ones(len(cost), dtype=bool), np.ones(len(cost), dtype=bool)
+    for order in range(ORDER, -1, -1):
+        left, escape = total[order], kinds[order]
+        if order < ORDER:  # without the symbols of the context escaped from
+            left = np.where(fresh, left, left - held[order + 1])
+            escape = np.where(fresh, escape, escape - kinds[order + 1])
+        usable, seen = open_ & (escape > 0), n[order] > 0
+        hit, miss = usable & seen, usable & ~seen
+        cost[hit] += np.log10(n[order][hit] / (left[hit] + escape[hit]))
+        cost[miss] += np.log10(escape[miss] / (left[miss] + escape[miss]))
+        open_ &= ~hit
+        fresh &= total[order] == 0
+    cost[open_] -= np.log10(np.maximum(1, SYMBOLS - kinds[0][open_]))
+    return cost
+
+
+def string_costs(keys: np.ndarray, counts: np.ndarray, two: list[np.ndarray], one: np.ndarray) -> np.ndarray:
+    """log10 probability of the last symbol of each string; all strings with the last three symbols of a context are there.
+
+    two: for each string n, total, kinds and held (as of symbol_costs) at order 2; one: counts of pairs, 257 x 257.
+    """
+    n, total, kinds, held = ([None] * (ORDER + 1) for _ in range(4))
+    n[2], total[2], kinds[2], held[2] = two
+    for order in range(ORDER, 2, -1):
+        grams, at = np.unique(keys & np.uint64(low(order)), return_inverse=True)
+        many = np.bincount(at, counts, len(grams))
+        n[order] = many[at]
+        first = np.zeros(len(grams), dtype=np.int64)
+        first[at] = np.arange(len(keys))
+        below = grams & np.uint64(low(order - 1))
+        if order > 3:
+            shorter, place = np.unique(keys & np.uint64(low(order - 1)), return_inverse=True)
+            shorter_many = np.bincount(place, counts, len(shorter))[np.searchsorted(shorter, below)]
+        else:
+            shorter_many = two[0][first]
+        contexts, of = np.unique(grams >> SHIFT, return_inverse=True)
+        per = [np.bincount(of, x, len(contexts)) for x in (many, many > 0, np.where(many > 0, shorter_many, 0))]
+        total[order], kinds[order], held[order] = (x[of][at] for x in per)
+    last, symbol = ((keys >> SHIFT) & np.uint64(511)).astype(np.int64), (keys & np.uint64(511)).astype(np.int64)
+    zero = one.sum(axis=0)
+    n[1], n[0] = one[last, symbol], zero[symbol]
+    total[1], kinds[1], held[1] = one.sum(axis=1)[last], (one > 0).sum(axis=1)[last], ((one > 0) @ zero)[last]
+    total[0], kinds[0], held[0] = (np.full(len(keys), float(x)) for x in (zero.sum(), (zero > 0).sum(), 0))
+    return symbol_costs(n, total, kinds, held)
+
+
+COSTS = "bucket int, block long, grams binary, costs binary"
+
+
+def _cost_strings(one, buckets: int):
+    """Costs of strings by bucket, from rows sorted by the last three symbols of their context."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        count = 0
+
+        def costs(rows: pa.Table) -> pa.RecordBatch:
+            keys, counts, *two = (rows.column(c).to_numpy() for c in ("key", "n", "n2", "t2", "k2", "h2"))
+            keys = keys.view(np.uint64)
+            found, bucket = string_costs(keys, counts, two, one.value), bucket_of(keys, buckets)
+            order = np.lexsort((keys, bucket))
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            out = [(b, order[x:y]) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
+            columns = [pa.array([b for b, _ in out], pa.int32()), pa.nulls(len(out), pa.int64())]
+            columns += [pa.array([pack_keys(keys[x]) for _, x in out], pa.binary()), pa.array([found[x].tobytes() for _, x in out], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "grams", "costs"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            count += batch.num_rows
+            if count > GROUP:
+                rows = pa.Table.from_batches(held)
+                group = rows.column("c3").to_numpy()
+                cut = int(np.searchsorted(group, group[-1]))
+                if cut:
+                    yield costs(rows.slice(0, cut))
+                    held, count = rows.slice(cut).to_batches(), rows.num_rows - cut
+        if held:
+            yield costs(pa.Table.from_batches(held))
 
-_LAST: list = []
+    return run
 
 
-def _scorer(model) -> Scorer:
-    """The scorer of a broadcast trie, built once for each Python worker."""
-    if not _LAST or _LAST[0] is not model.value:
-        _LAST[:] = [model.value, Scorer(*model.value)]
-    return _LAST[1]
+def _answer_strings(batches):
+    """The costs of the strings that each block asked for; rows without a block hold the bucket's costs and come first."""
+    for rows in _by_bucket(batches):
+        known = [r for r in rows if r["block"] is None]
+        keys, costs = np.concatenate([unpack_keys(r["grams"]) for r in known]), np.concatenate([np.frombuffer(r["costs"]) for r in known])
+        order = np.argsort(keys)
+        keys, costs = keys[order], costs[order]
+        asked = [(r["block"], r["grams"]) for r in rows if r["block"] is not None]
+        found = [costs[np.searchsorted(keys, unpack_keys(grams))].tobytes() for _, grams in asked]
+        columns = [pa.array([b for b, _ in asked], pa.int64()), pa.array([g for _, g in asked], pa.binary()), pa.array(found, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "grams", "costs"])
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, blocks: int | None = None) -> DataFrame:
-    """One row per document: the columns of SCORES; learns from docs itself."""
-    rows = docs.select("doc_id", "text", held_out().alias("held_out"))
-    model = docs.sparkSession.sparkContext.broadcast(train(rows.filter(~F.col("held_out"))))
-    blocks = blocks or max(8, 2 * docs.rdd.getNumPartitions())
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    words = materialize(rows.groupBy("block").applyInArrow(_count_words, "block long, word binary, n long"), "ppm-words")
-    counts = words.groupBy("word").agg(F.sum("n").alias("c"))
-    sums = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum(F.when(F.col("word").isNull(), F.col("c"))).alias("ends")).first()
-    total, kinds, ends = (int(sums[x] or 0) for x in ("n", "v", "ends"))
+def _score_block(total: int, kinds: int, ends: int):
     base = math.log10(total + kinds + 1)
 
     def score(key, left, right):
-        scorer = _scorer(model)
-        known = right.column("c").to_numpy()
-        cost = dict(zip(right.column("word").to_pylist(), (np.log10(known + 1.0) - base).tolist(), strict=True))
-        seen = {w for w, c in zip(right.column("word").to_pylist(), known.tolist(), strict=True) if c}
-        end = math.log10(ends + 1) - base
+        cost, seen, keys, costs = {}, set(), [np.zeros(0, dtype=np.uint64)], [np.zeros(0)]
+        for words, counts, grams, found in zip(*(right.column(c) for c in ("words", "word_counts", "grams", "costs")), strict=True):
+            if words.is_valid:
+                named, known = words.as_py().split(b" "), np.frombuffer(counts.as_py(), dtype=np.int64)
+                cost.update(zip(named, (np.log10(known + 1.0) - base).tolist(), strict=True))
+                seen.update(w for w, c in zip(named, known.tolist(), strict=True) if c)
+            if grams.is_valid:
+                keys.append(unpack_keys(grams.as_py()))
+                costs.append(np.frombuffer(found.as_py()))
+        table, costs, end = Table(np.concatenate(keys)), np.concatenate(costs), math.log10(ends + 1) - base
         n_tokens, n_known, base_score, score = [], [], [], []
         for at in range(0, left.num_rows, 256):
-            texts = [t or b"" for t in left.column("text").slice(at, 256).cast(pa.binary()).to_pylist()]
-            for text in texts:
-                words = text.lower().split()
+            plains = []
+            for text in left.column("text").slice(at, 256).cast(pa.binary()).to_pylist():
+                words = (text or b"").lower().split()
                 n_tokens.append(len(words) + 1)
                 n_known.append(sum(map(seen.__contains__, words)) + (ends > 0))
                 base_score.append(math.fsum(map(cost.__getitem__, words)) + end)
-            score += scorer.texts(texts)
+                plains.append(b" ".join(words))
+            sums = np.zeros(len(plains))
+            for part, owner in keyed(plains):
+                sums += np.bincount(owner, costs[table.find(part)], len(plains))
+            score += sums.tolist()
         n = left.num_rows
         added = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([total] * n, pa.int64()), pa.array(base_score, pa.float64()), pa.array(score, pa.float64())]
         return pa.table([left.column("doc_id"), left.column("held_out"), *added], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    vocabulary = words.select("block", "word").join(counts, "word")
-    return rows.groupBy("block").cogroup(vocabulary.select("block", "word", "c").groupBy("block")).applyInArrow(score, SCORES)
+    return score
+
+
+def score_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per document: the columns of SCORES; learns from docs itself."""
+    spark = docs.sparkSession
+    buckets = buckets_for(spark)
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    blocks = materialize(rows.mapInArrow(_cut_blocks(buckets, block), BLOCKS), "ppm-blocks")
+    texts, asked = blocks.filter("bucket IS NULL"), blocks.filter("bucket IS NOT NULL")
+    by_bucket = lambda df, *then: df.repartition("bucket").sortWithinPartitions("bucket", *then)
+
+    words = materialize(by_bucket(asked.select("bucket", "block", "words", "word_counts")).mapInArrow(_count_words, ANSWERS), "ppm-words")
+    sums = words.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    ends = texts.filter(~F.col("held_out")).count()
+    total, kinds = (int(sums["n"] or 0) + ends, int(sums["v"] or 0) + (ends > 0))
+
+    strings = materialize(by_bucket(asked.select("bucket", "grams", "gram_counts")).mapInArrow(_count_strings, "key long, n long"), "ppm-strings")
+    mask = lambda order, key="key": F.col(key).bitwiseAND(F.lit(low(order)))
+    pairs = strings.groupBy(mask(1).alias("g1")).agg(F.sum("n").alias("n1"))
+    found = pairs.toArrow()  # 257 * 257 rows at most
+    one, g1 = np.zeros((SYMBOLS, SYMBOLS)), found.column("g1").to_numpy()
+    one[g1 >> 9, g1 & 511] = found.column("n1").to_numpy()
+    triples = strings.groupBy(mask(2).alias("g2")).agg(F.sum("n").alias("n2"))
+    known = triples.join(pairs, mask(1, "g2") == F.col("g1")).withColumn("c2", F.shiftright("g2", 9))
+    context = known.groupBy("c2").agg(F.sum("n2").alias("t2"), F.count_if(F.col("n2") > 0).alias("k2"), F.sum(F.when(F.col("n2") > 0, F.col("n1")).otherwise(0)).alias("h2"))
+    two = known.join(context, "c2").select("g2", *(F.col(c).cast("double").alias(c) for c in ("n2", "t2", "k2", "h2")))
+    rows = strings.join(two, mask(2) == F.col("g2")).select(F.shiftright(mask(3), 9).alias("c3"), "key", "n", "n2", "t2", "k2", "h2")
+    costed = rows.repartition("c3").sortWithinPartitions("c3").mapInArrow(_cost_strings(spark.sparkContext.broadcast(one), buckets), COSTS)
+    met = by_bucket(costed.union(asked.select("bucket", "block", "grams", F.lit(None).cast("binary").alias("costs"))), "block")
+    strung = met.mapInArrow(_answer_strings, "block long, grams binary, costs binary")
+
+    none = F.lit(None).cast("binary")
+    answers = words.filter("block IS NOT NULL").select("block", "words", "word_counts", none.alias("grams"), none.alias("costs"))
+    answers = answers.union(strung.select("block", none.alias("words"), none.alias("word_counts"), "grams", "costs"))
+    scored = texts.select("doc_id", "held_out", "text", "block").groupBy("block").cogroup(answers.groupBy("block"))
+    return scored.applyInArrow(_score_block(total, kinds, ends), SCORES)
 
 
 def op5_language_model(spark, sf_dir: str) -> DataFrame:

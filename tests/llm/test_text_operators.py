@@ -312,7 +312,7 @@ def test_earlier_copy_is_the_previous_factor():
 
 
 def test_unigrams(docs, rows, none):
-    got = {r.doc_id: r for r in ppm.score_documents(docs, blocks=4).collect()}
+    got = {r.doc_id: r for r in ppm.score_documents(docs, block=4000).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
     count = collections.Counter(w for i, t, *_ in rows if not held[i] for w in [*words(lower(t)), None])
     n, v = sum(count.values()), len(count)
@@ -324,13 +324,13 @@ def test_unigrams(docs, rows, none):
     assert ppm.score_documents(none).count() == 0
 
 
-def slow_ppm(train, texts, least):
+def slow_ppm(train, texts):
     streams = lambda t: [256] * ppm.ORDER + list(ppm.plain(t)) + [256]
-    count = collections.Counter(tuple(s[i - o : i + 1]) for s in map(streams, train) for i in range(ppm.ORDER, len(s)) for o in range(ppm.ORDER + 1))
-    count = {k: n for k, n in count.items() if n >= least}
-    follow = collections.defaultdict(dict)
-    for k, n in count.items():
-        follow[k[:-1]][k[-1]] = n
+    follow = collections.defaultdict(collections.Counter)
+    for s in map(streams, train):
+        for i in range(ppm.ORDER, len(s)):
+            for o in range(ppm.ORDER + 1):
+                follow[tuple(s[i - o : i])][s[i]] += 1
     out = []
     for s in map(streams, texts):
         total = 0.0
@@ -338,12 +338,10 @@ def slow_ppm(train, texts, least):
             excluded = set()
             for o in range(ppm.ORDER, -1, -1):
                 context = tuple(s[i - o : i])
-                here = {x: n for x, n in follow.get(context, {}).items() if x not in excluded}
+                here = {x: n for x, n in follow[context].items() if x not in excluded}
                 if not here:
                     continue
-                whole = sum(follow[context].values())
-                rare = max(count.get(context, whole), whole) - whole if context else 0
-                escape = len(here) + rare
+                escape = len(here)
                 if s[i] in here:
                     total += math.log10(here[s[i]] / (sum(here.values()) + escape))
                     break
@@ -355,16 +353,34 @@ def slow_ppm(train, texts, least):
     return out
 
 
-@pytest.mark.parametrize("least", [1, 3])
-def test_partial_matching_against_a_plain_trie(rows, least):
-    train, texts = [(t or "").encode() for _, t, *_ in rows[:30]], [(t or "").encode() for _, t, *_ in rows[30:45]] + [b"\xff\x00zz"]
-    keys, n = ppm.count_keys(ppm.gram_keys([ppm.plain(t) for t in train])[0])
-    levels = []
-    for order in range(ppm.ORDER, -1, -1):
-        keys, n = ppm.count_keys(keys & ppm._low(order), n)
-        levels.append((keys[n >= least], n[n >= least]))
-    got = ppm.Scorer(*ppm.build(levels[::-1])).texts(texts)
-    assert np.allclose(got, slow_ppm(train, texts, least))
+def check_ppm(spark, data, block):
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in data]
+    raw = [(t or "").encode() for _, t in data]
+    want = slow_ppm([t for t, h in zip(raw, held, strict=True) if not h], raw)
+    got = ppm.score_documents(spark.createDataFrame(data, "doc_id long, text string").repartition(3), block).collect()
+    assert np.allclose(sorted(r.score for r in got), sorted(want)) and sum(r.held_out for r in got) == sum(held)
+
+
+@pytest.mark.parametrize("group", [1, 200_000])
+def test_partial_matching_against_a_plain_trie(spark, rows, group, monkeypatch):
+    monkeypatch.setattr(ppm, "GROUP", group)
+    monkeypatch.setattr(ppm, "CHUNK", 1000)  # long texts go in pieces
+    data = [(r[0], r[1]) for r in rows] + [(None, "no id"), (None, "other"), (1, rows[1][1]), (2, "zz\U0001f600 Qx")]
+    check_ppm(spark, data, 3000)
+
+
+def test_pieces_of_a_long_text_make_its_strings():
+    rng = random.Random(6)
+    texts = [bytes(rng.choices(b"abc ", k=n)) for n in (0, 1, 5, 64, 65, 127, 128, 129, 700, 3)]
+    want, _ = ppm.gram_keys(texts)
+    got = [np.concatenate([np.stack([o, k.astype(np.int64)]) for k, o in ppm.keyed(texts, size)], axis=1) for size in (64, 10_000)]
+    assert sorted(map(tuple, got[0].T.tolist())) == sorted(map(tuple, got[1].T.tolist())) and sorted(got[0][1]) == sorted(want.astype(np.int64))
+
+
+def test_partial_matching_above_a_million_symbols(spark):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrst", k=rng.randrange(1, 9))) for _ in range(6000)]
+    check_ppm(spark, [(i, " ".join(rng.choices(vocabulary, k=2500))) for i in range(110)], 1 << 18)
 
 
 # --- licences
