@@ -12,7 +12,7 @@ strings are sums over longer ones. What a symbol costs depends on its string alo
 corpus is costed once, and blocks of documents ask for the strings they hold:
 
 1. Tasks deal their documents into blocks of about BLOCK bytes and write, with the documents, each block's different words
-   and strings with their training counts, packed by a hash of word or string (`bucket`).
+   and strings with their training counts, compressed, by a hash of the word or of the string's context (`bucket`).
 2. Buckets add up the counts of all blocks. Words are answered to the blocks at once.
 3. Strings are sorted by the last three symbols of their context. Together with the (joined) counts of their last two, and
    those of the last one, which are few (257 * 257 at most) and sent to all tasks, that is all their costs depend on; a
@@ -31,9 +31,11 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +48,7 @@ END = 256
 SYMBOLS = 257
 SHIFT = np.uint64(9)  # bits of a symbol
 CHUNK = 1 << 21
-BLOCK = 1 << 23
+BLOCK = 1 << 24
 GROUP = 200_000  # strings costed at once, and the rest of their context
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -152,8 +154,8 @@ class Table:
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each key; buckets is a power of two."""
-    return ((keys * _SPREAD) >> np.uint64(65 - buckets.bit_length())).astype(np.int32)
+    """The bucket of each string's context; buckets is a power of two."""
+    return (((keys >> SHIFT) * _SPREAD) >> np.uint64(65 - buckets.bit_length())).astype(np.int32)
 
 
 def buckets_for(spark) -> int:
@@ -161,13 +163,23 @@ def buckets_for(spark) -> int:
     return 1 << max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers compressed byte by byte, the lowest bytes of all first."""
+    return zstandard.compress(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes(), 1)
+
+
+def unpack(packed: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Keys in order, as differences, which compress."""
-    return np.diff(keys, prepend=np.uint64(0)).tobytes()
+    """Keys in order, as differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack_keys(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(packed, dtype=np.uint64), dtype=np.uint64)
+    return np.cumsum(unpack(packed, np.uint64), dtype=np.uint64)
 
 
 def held_out() -> Column:
@@ -176,10 +188,10 @@ def held_out() -> Column:
 
 
 _BLOCKS = pa.schema(
-    [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("block", pa.int64()), ("bucket", pa.int32())]
+    [("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary()), ("block", pa.int64()), ("bucket", pa.int32())]
     + [(name, pa.binary()) for name in ("words", "word_counts", "grams", "gram_counts")]
 )
-BLOCKS = "doc_id long, held_out boolean, text string, block long, bucket int, words binary, word_counts binary, grams binary, gram_counts binary"
+BLOCKS = "doc_ids array<long>, held_out array<boolean>, sizes array<long>, texts binary, block long, bucket int, words binary, word_counts binary, grams binary, gram_counts binary"
 
 
 def requests(block: int, texts: list[tuple[bytes, bool]], buckets: int) -> pa.RecordBatch:
@@ -199,7 +211,8 @@ def requests(block: int, texts: list[tuple[bytes, bool]], buckets: int) -> pa.Re
         for part, _ in keyed(plains):
             more, times = count_keys(part)
             keys, n = count_keys(np.concatenate([keys, more]), np.concatenate([n, times * (1 - held)]))
-    words, times = list(counts), np.fromiter(counts.values(), dtype=np.uint32, count=len(counts))
+    words = sorted(counts)
+    times = np.fromiter(map(counts.__getitem__, words), dtype=np.uint32, count=len(words))
     of_word = np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words)) & np.uint32(buckets - 1)
     of_key = bucket_of(keys, buckets)
     by_word, by_key = np.argsort(of_word, kind="stable"), np.argsort(of_key, kind="stable")
@@ -209,9 +222,16 @@ def requests(block: int, texts: list[tuple[bytes, bool]], buckets: int) -> pa.Re
     for b in range(buckets):
         w, k = slice(cut_word[b], cut_word[b + 1]), slice(cut_key[b], cut_key[b + 1])
         if w.start < w.stop or k.start < k.stop:
-            rows.append((b, b" ".join(words[w]), times[w].tobytes(), pack_keys(keys[k]), n[k].tobytes()))
-    packed = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (f.type for f in list(_BLOCKS)[4:]), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.nulls(len(rows), f.type) for f in list(_BLOCKS)[:3]] + [pa.array([block] * len(rows), pa.int64()), *packed], schema=_BLOCKS)
+            rows.append((b, zstandard.compress(b" ".join(words[w]), 1), pack(times[w]), pack_keys(keys[k]), pack(n[k])))
+    packed = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (f.type for f in list(_BLOCKS)[5:]), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.nulls(len(rows), f.type) for f in list(_BLOCKS)[:4]] + [pa.array([block] * len(rows), pa.int64()), *packed], schema=_BLOCKS)
+
+
+def _documents(block: int, rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Documents of a block as one row."""
+    texts = [t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()]
+    columns = [rows.column("doc_id").to_pylist(), rows.column("held_out").to_pylist(), list(map(len, texts)), zstandard.compress(b"".join(texts), 1), block, *[None] * 5]
+    return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, _BLOCKS, strict=True)], schema=_BLOCKS)
 
 
 def _cut_blocks(buckets: int, size: int):
@@ -219,22 +239,17 @@ def _cut_blocks(buckets: int, size: int):
 
     def run(batches):
         block, used, texts = TaskContext.get().partitionId() << 32, 0, []
-
-        def documents(rows: pa.RecordBatch) -> pa.RecordBatch:
-            columns = [*(rows.column(f.name) for f in list(_BLOCKS)[:3]), pa.array([block] * rows.num_rows, pa.int64())]
-            return pa.RecordBatch.from_arrays([*columns, *(pa.nulls(rows.num_rows, f.type) for f in list(_BLOCKS)[4:])], schema=_BLOCKS)
-
         for part, found in text_batches(batches):
             first, held = 0, part.column("held_out").to_pylist()
             for i, text in enumerate(found):
                 texts.append((text or b"", held[i]))
                 used += len(text or b"")
                 if used >= size:
-                    yield documents(part.slice(first, i + 1 - first))
+                    yield _documents(block, part.slice(first, i + 1 - first))
                     yield requests(block, texts, buckets)
                     block, used, texts, first = block + 1, 0, [], i + 1
             if first < part.num_rows:
-                yield documents(part.slice(first))
+                yield _documents(block, part.slice(first))
         if texts:
             yield requests(block, texts, buckets)
 
@@ -262,11 +277,11 @@ def _count_words(batches):
     """Training counts of the words that each block asked for; and of each bucket their sum and how many are above zero."""
     for rows in _by_bucket(batches):
         total: dict[bytes, int] = {}
-        asked = [(r["block"], r["words"], r["words"].split(b" "), np.frombuffer(r["word_counts"], dtype=np.uint32).tolist()) for r in rows if r["words"]]
+        asked = [(r["block"], r["words"], zstandard.decompress(r["words"]).split(), unpack(r["word_counts"], np.uint32).tolist()) for r in rows]
         for _, _, words, counts in asked:
             for w, c in zip(words, counts, strict=True):
                 total[w] = total.get(w, 0) + c
-        found = [np.fromiter(map(total.__getitem__, words), dtype=np.int64, count=len(words)).tobytes() for _, _, words, _ in asked]
+        found = [pack(np.fromiter(map(total.__getitem__, words), dtype=np.int64, count=len(words))) for _, _, words, _ in asked]
         none = [None] * len(asked)
         columns = [[a[0] for a in asked] + [None], [a[1] for a in asked] + [None], [*found, None], [*none, sum(total.values())], [*none, sum(c > 0 for c in total.values())]]
         kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
@@ -276,7 +291,7 @@ def _count_words(batches):
 def _count_strings(batches):
     """(key, n) of each bucket's strings."""
     for rows in _by_bucket(batches):
-        keys, counts = count_keys(np.concatenate([unpack_keys(r["grams"]) for r in rows]), np.concatenate([np.frombuffer(r["gram_counts"], dtype=np.uint32).astype(np.int64) for r in rows]))
+        keys, counts = count_keys(np.concatenate([unpack_keys(r["grams"]) for r in rows]), np.concatenate([unpack(r["gram_counts"], np.uint32).astype(np.int64) for r in rows]))
         for at in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].view(np.int64)), pa.array(counts[at : at + 100_000])], ["key", "n"])
 
@@ -349,12 +364,12 @@ def _cost_strings(one, buckets: int):
         def costs(rows: pa.Table) -> pa.RecordBatch:
             keys, counts, *two = (rows.column(c).to_numpy() for c in ("key", "n", "n2", "t2", "k2", "h2"))
             keys = keys.view(np.uint64)
-            found, bucket = string_costs(keys, counts, two, one.value), bucket_of(keys, buckets)
+            found, bucket = string_costs(keys, counts, two, one.value).astype(np.float32), bucket_of(keys, buckets)
             order = np.lexsort((keys, bucket))
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             out = [(b, order[x:y]) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
             columns = [pa.array([b for b, _ in out], pa.int32()), pa.nulls(len(out), pa.int64())]
-            columns += [pa.array([pack_keys(keys[x]) for _, x in out], pa.binary()), pa.array([found[x].tobytes() for _, x in out], pa.binary())]
+            columns += [pa.array([pack_keys(keys[x]) for _, x in out], pa.binary()), pa.array([pack(found[x]) for _, x in out], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "grams", "costs"])
 
         for batch in batches:
@@ -379,11 +394,11 @@ def _answer_strings(batches):
     """The costs of the strings that each block asked for; rows without a block hold the bucket's costs and come first."""
     for rows in _by_bucket(batches):
         known = [r for r in rows if r["block"] is None]
-        keys, costs = np.concatenate([unpack_keys(r["grams"]) for r in known]), np.concatenate([np.frombuffer(r["costs"]) for r in known])
+        keys, costs = np.concatenate([unpack_keys(r["grams"]) for r in known]), np.concatenate([unpack(r["costs"], np.float32) for r in known])
         order = np.argsort(keys)
         keys, costs = keys[order], costs[order]
         asked = [(r["block"], r["grams"]) for r in rows if r["block"] is not None]
-        found = [costs[np.searchsorted(keys, unpack_keys(grams))].tobytes() for _, grams in asked]
+        found = [pack(costs[np.searchsorted(keys, unpack_keys(grams))]) for _, grams in asked]
         columns = [pa.array([b for b, _ in asked], pa.int64()), pa.array([g for _, g in asked], pa.binary()), pa.array(found, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["block", "grams", "costs"])
 
@@ -395,21 +410,23 @@ def _score_block(total: int, kinds: int, ends: int):
     base = math.log10(total + kinds + 1)
 
     def score(key, left, right):
-        cost, seen, keys, costs = {}, set(), [np.zeros(0, dtype=np.uint64)], [np.zeros(0)]
+        cost, seen, keys, costs = {}, set(), [], []
         for words, counts, grams, found in zip(*(right.column(c) for c in ("words", "word_counts", "grams", "costs")), strict=True):
             if words.is_valid:
-                named, known = words.as_py().split(b" "), np.frombuffer(counts.as_py(), dtype=np.int64)
+                named, known = zstandard.decompress(words.as_py()).split(), unpack(counts.as_py(), np.int64)
                 cost.update(zip(named, (np.log10(known + 1.0) - base).tolist(), strict=True))
                 seen.update(w for w, c in zip(named, known.tolist(), strict=True) if c)
             if grams.is_valid:
                 keys.append(unpack_keys(grams.as_py()))
-                costs.append(np.frombuffer(found.as_py()))
+                costs.append(unpack(found.as_py(), np.float32))
         table, costs, end = Table(np.concatenate(keys)), np.concatenate(costs), math.log10(ends + 1) - base
-        n_tokens, n_known, base_score, score = [], [], [], []
-        for at in range(0, left.num_rows, 256):
-            plains = []
-            for text in left.column("text").slice(at, 256).cast(pa.binary()).to_pylist():
-                words = (text or b"").lower().split()
+        doc_ids, held, n_tokens, n_known, base_score, score = [], [], [], [], [], []
+        for row in left.select(["doc_ids", "held_out", "sizes", "texts"]).to_pylist():
+            doc_ids += row["doc_ids"]
+            held += row["held_out"]
+            ends_at, whole, plains = list(accumulate(row["sizes"])), zstandard.decompress(row["texts"]), []
+            for at, size in zip(ends_at, row["sizes"], strict=True):
+                words = whole[at - size : at].lower().split()
                 n_tokens.append(len(words) + 1)
                 n_known.append(sum(map(seen.__contains__, words)) + (ends > 0))
                 base_score.append(math.fsum(map(cost.__getitem__, words)) + end)
@@ -418,9 +435,9 @@ def _score_block(total: int, kinds: int, ends: int):
             for part, owner in keyed(plains):
                 sums += np.bincount(owner, costs[table.find(part)], len(plains))
             score += sums.tolist()
-        n = left.num_rows
-        added = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([total] * n, pa.int64()), pa.array(base_score, pa.float64()), pa.array(score, pa.float64())]
-        return pa.table([left.column("doc_id"), left.column("held_out"), *added], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        columns = (doc_ids, held, n_tokens, n_known, [total] * len(doc_ids), base_score, score)
+        kinds_ = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds_, strict=True)], names=[c.split()[0] for c in SCORES.split(", ")])
 
     return score
 
@@ -436,7 +453,7 @@ def score_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     words = materialize(by_bucket(asked.select("bucket", "block", "words", "word_counts")).mapInArrow(_count_words, ANSWERS), "ppm-words")
     sums = words.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    ends = texts.filter(~F.col("held_out")).count()
+    ends = texts.agg(F.sum(F.size(F.filter("held_out", lambda x: ~x)))).first()[0] or 0
     total, kinds = (int(sums["n"] or 0) + ends, int(sums["v"] or 0) + (ends > 0))
 
     strings = materialize(by_bucket(asked.select("bucket", "grams", "gram_counts")).mapInArrow(_count_strings, "key long, n long"), "ppm-strings")
@@ -457,7 +474,7 @@ def score_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     none = F.lit(None).cast("binary")
     answers = words.filter("block IS NOT NULL").select("block", "words", "word_counts", none.alias("grams"), none.alias("costs"))
     answers = answers.union(strung.select("block", none.alias("words"), none.alias("word_counts"), "grams", "costs"))
-    scored = texts.select("doc_id", "held_out", "text", "block").groupBy("block").cogroup(answers.groupBy("block"))
+    scored = texts.select("doc_ids", "held_out", "sizes", "texts", "block").groupBy("block").cogroup(answers.groupBy("block"))
     return scored.applyInArrow(_score_block(total, kinds, ends), SCORES)
 
 
