@@ -504,12 +504,58 @@ def test_topk_against_all_pairs(spark, spread):
     assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.filter("vec_id < 3")).count() == 2
 
 
-def test_cover_tree_covers():
-    points = np.random.default_rng(2).normal(size=(500, 3))
-    stack = [topk.cover_tree(points)]
-    assert sorted(stack[0].members) == list(range(500))
-    while stack:
-        node = stack.pop()
-        assert np.linalg.norm(points[node.members] - node.centre, axis=1).max() <= node.radius + 1e-9
-        assert not node.children or sorted(np.concatenate([c.members for c in node.children])) == sorted(node.members)
-        stack += node.children
+def nodes_below(block):
+    """(node, depth) of all nodes of a block's tree."""
+    todo = [(0, 0)]
+    while todo:
+        at, depth = todo.pop()
+        yield block.nodes[at], depth
+        todo += [(x, depth + 1) for x in range(block.nodes[at]["child"], block.nodes[at]["child"] + block.nodes[at]["children"])]
+
+
+@pytest.mark.parametrize("wide", (3, 64))
+def test_cover_tree_covers_and_holds_siblings_apart(wide):
+    rows = (np.random.default_rng(2).normal(size=(700, wide)) * 500).astype(np.int64)
+    made = topk.make_block(np.arange(700), rows)
+    assert sorted(made.ids) == list(range(700)) and (rows[made.ids] == made.rows).all()
+    for node, depth in nodes_below(made):
+        own = made.points[node["low"] : node["high"]] - made.points[node["centre"]]
+        assert node["low"] <= node["centre"] < node["high"] and np.linalg.norm(own, axis=1).max() <= node["radius"] + 1e-6
+        children = made.nodes[node["child"] : node["child"] + node["children"]]
+        if not len(children):
+            assert node["high"] - node["low"] <= topk.LEAF or node["radius"] == 0
+            continue
+        assert children["low"][0] == node["low"] and children["high"][-1] == node["high"] and (children["high"][:-1] == children["low"][1:]).all()
+        centres = made.points[children["centre"]]
+        apart = np.linalg.norm(centres[:, None] - centres[None, :], axis=2) + np.eye(len(centres)) * 1e9
+        assert apart.min() >= node["radius"] / topk.BASE * (1 - 1e-6)
+    assert max(d for _, d in nodes_below(made)) >= (2 if wide == 3 else 1)
+
+
+def test_dual_tree_prunes_clustered_vectors():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 2000
+    rows = (centres[np.arange(8000) % 40] + rng.normal(size=(8000, 16)) * 20).astype(np.int64)
+    search = topk.Search(topk.make_block(np.arange(0, 8000, 100), rows[::100]), 10)
+    search.meet(topk.make_block(np.arange(8000), rows))
+    want = [sorted((-int(s), j) for j, s in enumerate(rows @ rows[i]) if j != i)[:10] for i in range(0, 8000, 100)]
+    assert sorted(search.rows()) == sorted((i * 100, v, -s) for i, held in enumerate(want) for s, v in held)
+    assert search.scanned < 0.25 * 80 * 8000 and search.pruned > 100
+
+
+def test_block_pairs_are_pruned_by_the_first_pass(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 6)) * 3
+    data = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=6) * 0.02]) for i in range(1200)]
+    seen, plain = [], topk.search_pairs
+    topk.search_pairs = lambda *a: seen.append((a[2].count(), a[0].count(), a[1].count())) or plain(*a)
+    try:
+        got = topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), every=10, block=64, query_block=8).collect()
+    finally:
+        topk.search_pairs = plain
+    exact = {i: [math.floor(1024 * x) for x in e] for i, e in data}
+    for q in range(0, 1200, 10):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], e, strict=True)), i) for i, e in exact.items() if i != q)[:10]
+        assert [(r.vec_id, -r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(i, s) for s, i in best]
+    (_, data_blocks, query_blocks), (pairs, *_) = seen
+    assert pairs < 0.5 * data_blocks * query_blocks
