@@ -299,13 +299,19 @@ def test_repeats_hold_texts_of_shared_and_missing_ids_apart(spark):
     assert sorted(r.n_removed for r in repeats.remove_repeats(docs).collect()) == [0, 0, 0, 0, 0, 300, 300, 300, 300]
 
 
-def test_earlier_copy_is_the_previous_factor():
+def test_previous_factors():
     rng = np.random.default_rng(0)
-    data = np.frombuffer(bytes(rng.choice(list(b"ab"), 300)) * 2, dtype=np.uint8)
-    starts = np.arange(len(data) - 99)
-    got = repeats.earlier_copy(data, starts, starts)
-    text = data.tobytes()
-    assert got.tolist() == [text.find(text[s : s + 100]) < s for s in starts.tolist()]
+    for alphabet, n in ((b"ab", 300), (b"abcdefgh", 120), (b"a", 160)):
+        data = np.frombuffer(bytes(rng.choice(list(alphabet), n)) + bytes(rng.choice(list(b"ab"), 130)) + bytes(rng.choice(list(alphabet), n)) * 2, dtype=np.uint8)
+        starts = np.arange(len(data) - 99)
+        text = data.tobytes()
+        got = repeats.previous_factors(data, starts, starts)
+        for s in range(0, len(starts), 7):
+            want = max((next((i for i in range(100) if text[j + i] != text[s + i]), 100) for j in range(s)), default=0)
+            assert got[s] == want
+    order = rng.permutation(500)
+    want = [next((j for j in range(i - 1, -1, -1) if order[j] < order[i]), -1) for i in range(500)]
+    assert repeats.smaller_before(order).tolist() == want
 
 
 # --- language model
@@ -469,14 +475,46 @@ def test_packing_is_whole(docs, rows, none):
     assert packing.pack_documents(none).count() == 0
 
 
-def test_packing_picks_the_cheapest_policy():
-    sizes = sorted([300, 200, 12, 500, 512, 4096, 1500, 600, 20], reverse=True)
-    where, offset, fitted = packing.pack(sizes)
-    used = [sum(n for n, w in zip(sizes, where, strict=True) if w == b) for b in range(len(fitted))]
-    assert all(u <= f for u, f in zip(used, fitted, strict=True)) and sum(fitted) < 1.3 * sum(sizes)
+def cheapest(sizes, lengths, charge):
+    """Least cost of all ways to part the pieces among bins."""
+    best = math.inf
+
+    def place(i, used):
+        nonlocal best
+        if i == len(sizes):
+            best = min(best, sum(next(c for c in lengths if c >= u) + charge for u in used))
+            return
+        for b in range(len(used)):
+            if used[b] + sizes[i] <= lengths[-1]:
+                place(i + 1, [*used[:b], used[b] + sizes[i], *used[b + 1 :]])
+        place(i + 1, [*used, sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_against_all_ways():
+    rng = random.Random(4)
+    lengths, charge, ratios = (8, 16, 32, 64), 1, []
+    for _ in range(150):
+        sizes = sorted((rng.randint(1, 64) if rng.random() < 0.4 else rng.randint(1, 20) for _ in range(rng.randint(1, 7))), reverse=True)
+        where, offset, fitted = packing.pack(sizes, lengths, charge)
+        used = [sum(n for n, w in zip(sizes, where, strict=True) if w == b) for b in range(len(fitted))]
+        assert all(u <= f for u, f in zip(used, fitted, strict=True))
+        ratios.append((sum(fitted) + charge * len(fitted)) / cheapest(sizes, lengths, charge))
+    assert min(ratios) >= 1 and np.mean(ratios) < 1.02 and max(ratios) < 1.35 and np.mean(np.array(ratios) == 1) > 0.8
     assert packing.pack([]) == ([], [], [])
 
 
+def test_a_bin_opens_at_the_size_of_least_cost_for_what_is_left():
+    assert packing.opening_size(20, [], 0, (8, 16, 32, 64), 1) == 32
+    assert packing.opening_size(33, [4, 9, 31], 3, (8, 16, 32, 64), 1) == 64
+    assert packing.opening_size(7, [1, 1], 2, (8, 16, 32), 1) == 8 and packing.opening_size(7, [8, 8, 8], 3, (8, 16, 32), 1) == 32
+    sizes = sorted(random.Random(1).choices((7, 9, 20, 40, 30, 3), k=60), reverse=True)
+    costs = [packing.best_fit(sizes, (8, 16, 32, 64), 1, least)[0] for least in (None, 8, 16, 32, 64)]
+    assert costs[0] <= 1.02 * min(costs[1:])
+
+
 # --- top-k
 
 
