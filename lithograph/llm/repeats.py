@@ -1,9 +1,9 @@
 """Removal of repeated passages: longest-previous-factor arrays over the suffixes that can have an earlier copy.
 
 A byte goes if a string of `length` bytes over it also starts earlier (smaller doc_id, or same document and earlier
-start). Which strings have an earlier copy is read off the suffix order: with suffixes sorted by their first `length`
-bytes and, among equals, by position, the nearest smaller position before a suffix is an earlier copy if the two agree in
-`length` bytes, and the longest previous factor (capped at `length`) tells so. Sorting all suffixes of a corpus would
+start). Which strings have an earlier copy is read off the suffix order: of the suffixes that stand earlier in the corpus,
+the nearest before and the nearest behind in suffix order share most with a suffix; what they share, capped at `length`, is
+its longest previous factor, and one of full length is an earlier copy. Sorting all suffixes of a corpus would
 move many times its size, so two steps come first that lose nothing:
 
 1. Anchors. Every window of `length` bytes picks the least hash among its GRAM-byte strings (leftmost among equals).
@@ -13,14 +13,15 @@ move many times its size, so two steps come first that lose nothing:
    have an earlier copy. Hashes left with a single context have nothing to compare.
 
 What is left, contexts that share an anchor but differ around it, is sent with its bytes to one place per hash, where the
-suffixes of its windows are sorted eight bytes at a time and the previous factors are read. Positions of removed windows
+suffixes of its windows are sorted eight bytes at a time; previous and next smaller positions in that order give the
+array of longest previous factors. Positions of removed windows
 go back to their documents by doc_id.
 
 Skew: rows are packed into one row per (task, bucket of hashes). A hash with very many different contexts (more than
 `hot` in a task or over all) is taken apart: its windows travel as contexts of their own under a hash of the whole window,
 equal ones are collapsed in the task first, and so no bucket holds more than one row per task for any key.
 
-Equality of contexts is judged by two 64-bit hashes (of the anchor and of all bytes); the rest compares bytes.
+Equality of contexts is judged by the hash of the anchor and 96 bits of XXH3 over all bytes; the rest compares bytes.
 
 Defined cases: a null text is empty; a text shorter than `length` loses nothing; rows of the same
 doc_id and text count as one document; different texts under one doc_id, or under none, are documents of their own, in
@@ -37,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from xxhash import xxh3_128_digest
 
 from lithograph.operators.sampling import dense_index
 from lithograph.session import materialize
@@ -67,13 +69,13 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hash, context hash, piece, low, last) of each context in the pieces data[starts:ends], at most CHUNK bytes.
+    """(hash, two parts of a digest, piece, low, last) of each context in the pieces data[starts:ends], at most CHUNK bytes.
 
     low and last are the first and the last window start, from the beginning of the piece.
     """
     long_ = ends - starts >= LENGTH
     if not long_.any():
-        return tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int32, np.uint8))
+        return tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.uint64, np.uint32, np.int64, np.int32, np.uint8))
     grams = gram_hashes(data)
     key = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
     width = 1
@@ -89,45 +91,74 @@ def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     picked = anchor[at]
     first = np.flatnonzero(np.concatenate([[True], (picked[1:] != picked[:-1]) | (at[1:] != at[:-1] + 1)]))
     low, last, anchor = at[first], at[np.concatenate([first[1:], [len(at)]]) - 1], picked[first]
-    # grams that cover the first window and the last one, which overlap or touch
-    covered = (low, low + SPAN // 2, low + LENGTH - GRAM, last, last + SPAN // 2, last + LENGTH - GRAM)
-    whole = np.zeros(len(low), dtype=np.uint64)
-    for at in covered:
-        whole = _mix(whole * _M[2] + grams[at])
-    whole = _mix(whole ^ ((anchor - low).astype(np.uint64) << np.uint64(8)) ^ (last - low).astype(np.uint64))
+    view = memoryview(data)
+    digest = np.frombuffer(b"".join([xxh3_128_digest(view[a:b]) for a, b in zip(low.tolist(), (last + LENGTH).tolist(), strict=True)]), dtype="<u8").reshape(-1, 2)
+    whole, more = digest[:, 0].copy(), digest[:, 1].astype(np.uint32)
     piece = np.searchsorted(starts, low, side="right") - 1
     # least hashes are small, so they are mixed again before buckets are cut by their upper bits
-    return _mix(grams[anchor]), whole, piece, (low - starts[piece]).astype(np.int32), (last - low).astype(np.uint8)
+    return _mix(grams[anchor]), whole, more, piece, (low - starts[piece]).astype(np.int32), (last - low).astype(np.uint8)
 
 
-def earlier_copy(data: np.ndarray, starts: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Whether the previous factor of each suffix data[starts[i]:], capped at LENGTH, has its full length.
+def suffix_order(data: np.ndarray, starts: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The suffixes data[starts[i]:] in the order of their first LENGTH bytes, equal ones by place.
 
-    places orders the suffixes by where they stand in the corpus. The suffixes are sorted by their first LENGTH bytes,
-    in big-endian words of eight; those that no longer tie with another are done. Among ties, which stand by place, the
-    neighbour before is the nearest smaller place (the one behind is never smaller), and the two share LENGTH bytes.
+    They are sorted by big-endian words of eight bytes; a suffix whose rank no other shares is done.
     """
-    found = np.zeros(len(starts), dtype=bool)
-    live, group = np.arange(len(starts)), np.zeros(len(starts), dtype=np.int64)
+    rank, live = np.zeros(len(starts), dtype=np.int64), np.arange(len(starts))
     words = np.ndarray((max(0, len(data) - 7),), ">u8", data, 0, (1,))
     for at in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
         if not len(live):
-            return found
+            break
         word = words[starts[live] + at].astype(np.uint64)
-        order = np.lexsort((word, group))
-        live, group, word = live[order], group[order], word[order]
-        first = np.concatenate([[True], (group[1:] != group[:-1]) | (word[1:] != word[:-1])])
-        alone = first & np.concatenate([first[1:], [True]])
-        live, group = live[~alone], (np.cumsum(first) - 1)[~alone]
-    order = np.lexsort((places[live], group))
-    live, group = live[order], group[order]
-    previous = np.concatenate([[False], group[1:] == group[:-1]]) & np.concatenate([[False], places[live][1:] > places[live][:-1]])
-    # rows of one document may stand at the same place: what follows an earlier copy has one too
-    lead = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), np.arange(len(live)), 0)) if len(live) else live
-    found[live[previous | (places[live] > places[live][lead])]] = True
+        order = np.lexsort((word, rank[live]))
+        live, word = live[order], word[order]
+        group = rank[live]
+        new = np.concatenate([[True], group[1:] != group[:-1]])
+        first = new | np.concatenate([[True], word[1:] != word[:-1]])
+        begin = np.flatnonzero(first)
+        inside = np.arange(len(live)) - np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))
+        rank[live] = group + inside[begin][np.cumsum(first) - 1]  # a rank is how many suffixes come before
+        live = live[~(first & np.concatenate([first[1:], [True]]))]
+    return np.lexsort((places, rank))
+
+
+def smaller_before(places: np.ndarray) -> np.ndarray:
+    """For each place the nearest before it in the array that is smaller, as an index; -1 if there is none."""
+    found = np.arange(len(places)) - 1
+    open_ = np.flatnonzero(found >= 0)
+    while len(open_):
+        open_ = open_[places[found[open_]] >= places[open_]]
+        found[open_] = found[found[open_]]  # all between are no smaller than what is passed over
+        open_ = open_[found[open_] >= 0]
     return found
 
 
+def shared_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of their first LENGTH bytes the suffixes at a and b share."""
+    words = np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,))
+    out, live = np.zeros(len(a), dtype=np.int64), np.arange(len(a))
+    for at in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+        apart = words[a[live] + at] ^ words[b[live] + at]
+        lowest = apart & (~apart + np.uint64(1))
+        out[live] = at + np.where(apart == 0, 8, np.bitwise_count(lowest - np.uint64(1)) // 8)
+        live = live[apart == 0]
+    return out
+
+
+def previous_factors(data: np.ndarray, starts: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix data[starts[i]:], capped at LENGTH: what it shares with one at a smaller
+    place. places orders the suffixes by where they stand in the corpus; rows of one document may stand at one place."""
+    order = suffix_order(data, starts, places)
+    at, place = starts[order], places[order]
+    longest = np.zeros(len(order), dtype=np.int64)
+    for near in (smaller_before(place), len(order) - 1 - smaller_before(place[::-1])[::-1]):
+        some = np.flatnonzero((near >= 0) & (near < len(order)))
+        longest[some] = np.maximum(longest[some], shared_bytes(data, at[some], at[near[some]]))
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = longest
+    return out
+
+
 def buckets_of(spark) -> int:
     """A power of two, several buckets for each shuffle partition."""
     return 1 << max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
@@ -135,7 +166,7 @@ def buckets_of(spark) -> int:
 
 PACKED = "bucket int, n_rows int, packed binary"
 PLACES = "k long, kind int, low int, last int, h long"
-_FIELDS = (("h", "<u8"), ("c", "<u8"), ("k", "<i8"), ("low", "<i4"), ("last", "<i4"), ("kind", "u1"))
+_FIELDS = (("h", "<u8"), ("c", "<u8"), ("d", "<u4"), ("k", "<i8"), ("low", "<i4"), ("last", "<i4"), ("kind", "u1"))
 
 
 def _pack(rows: dict[str, np.ndarray], buckets: int, tails: tuple[np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
@@ -179,11 +210,11 @@ def _by_bucket(batches):
 
 def _collapse(rows: dict[str, np.ndarray], hot: int = HOT) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Contexts with the later of equal ones marked as removed; and how many different contexts the hash of each has."""
-    order = np.lexsort((rows["low"], rows["k"], rows["c"], rows["h"]))
+    order = np.lexsort((rows["low"], rows["k"], rows["d"], rows["c"], rows["h"]))
     rows = {name: x[order] for name, x in rows.items()}
-    h, c = rows["h"], rows["c"]
+    h, c, d = rows["h"], rows["c"], rows["d"]
     new_h = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, dtype=bool)
-    new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]]) if len(h) else new_h
+    new_c = new_h | np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])]) if len(h) else new_h
     lead = np.maximum.accumulate(np.where(new_c, np.arange(len(h)), 0)) if len(h) else order
     later = (rows["k"] != rows["k"][lead]) | (rows["low"] != rows["low"][lead])
     rows["kind"] = np.where(~new_c & later, REMOVED, CONTEXT).astype(np.uint8)
@@ -201,9 +232,9 @@ def _contexts_of_task(buckets: int):
         def cut():
             ends = np.cumsum([len(b) for _, _, b in pieces])
             data = np.frombuffer(b"".join(b for _, _, b in pieces), dtype=np.uint8)
-            h, c, piece, low, last = contexts(data, ends - np.array([len(b) for _, _, b in pieces]), ends)
+            h, c, d, piece, low, last = contexts(data, ends - np.array([len(b) for _, _, b in pieces]), ends)
             k, offset = np.array([p[0] for p in pieces], dtype=np.int64)[piece], np.array([p[1] for p in pieces], dtype=np.int64)[piece]
-            held.append({"h": h, "c": c, "k": k, "low": low + offset, "last": low + offset + last, "kind": np.full(len(h), CONTEXT, dtype=np.uint8)})
+            held.append({"h": h, "c": c, "d": d, "k": k, "low": low + offset, "last": low + offset + last, "kind": np.full(len(h), CONTEXT, dtype=np.uint8)})
             return len(h)
 
         def flush():
@@ -283,12 +314,14 @@ def _fetch_bytes(buckets: int):
         def flush():
             rows = {"h": np.array([x[0] for x in held], dtype=np.uint64), "k": np.array([x[1] for x in held], dtype=np.int64)}
             rows |= {n: np.array([x[i] for x in held], dtype=np.int32) for n, i in (("low", 2), ("last", 3), ("kind", 4))}
-            rows["c"] = np.zeros(len(held), dtype=np.uint64)
+            rows |= {"c": np.zeros(len(held), dtype=np.uint64), "d": np.zeros(len(held), dtype=np.uint32)}
             single = np.flatnonzero(rows["kind"] == WINDOWS)
             order = single[np.lexsort((rows["low"][single], rows["k"][single], rows["h"][single]))]
             again = np.concatenate([[False], rows["h"][order][1:] == rows["h"][order][:-1]]) if len(order) else np.zeros(0, dtype=bool)
             lead = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))] if len(order) else order
             later = again & ((rows["k"][order] != rows["k"][lead]) | (rows["low"][order] != rows["low"][lead]))
+            for i in np.flatnonzero(later).tolist():
+                later[i] = held[order[i]][5] == held[lead[i]][5]  # by all bytes, whatever the hash says
             rows["kind"][order] = np.where(later, REMOVED, CONTEXT)
             tails = [b"" if rows["kind"][i] == REMOVED else x[5] for i, x in enumerate(held)]
             return _pack(rows, buckets, (b"".join(tails), np.cumsum([len(t) for t in tails])))
@@ -335,7 +368,7 @@ def _compare_bytes(batches):
             step = np.concatenate([[False], (k[owner][order][1:] != k[owner][order][:-1]) | ((low[owner] + inner)[order][1:] != (low[owner] + inner)[order][:-1])])
             places = np.empty(len(order), dtype=np.int64)
             places[order] = np.cumsum(step)
-            gone = np.flatnonzero(earlier_copy(np.frombuffer(tail, dtype=np.uint8), where[owner] + inner, places))
+            gone = np.flatnonzero(previous_factors(np.frombuffer(tail, dtype=np.uint8), where[owner] + inner, places) >= LENGTH)
             cut = np.flatnonzero(np.concatenate([[True], (gone[1:] != gone[:-1] + 1) | (owner[gone][1:] != owner[gone][:-1])])) if len(gone) else gone
             a, b = gone[cut], gone[np.concatenate([cut[1:] - 1, [len(gone) - 1]])] if len(gone) else gone
             out.append((k[owner[a]], low[owner[a]] + inner[a], low[owner[b]] + inner[b]))
