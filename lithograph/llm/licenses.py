@@ -65,7 +65,9 @@ UNKNOWN = 0.3
 RANK = {"or": 1, "and": 2, "with": 3}
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_TAG = re.compile(rb"(?:spdx-license-identifier|license[ \t_-]expression)[ \t]*[:=]?[ \t]*([^\r\n]*)", re.I)
+# a tag as its words, however they are joined; the expression may be quoted or stand on the next line
+_TAG = re.compile(rb"(?:spdx[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+license[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+identifier|license[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+expression)"
+                  rb"[\"'`]?[ \t]*[:=]*[ \t]*(?:\r?\n[ \t#*/;-]*)?[\"'`<\[]*([^\r\n]*)", re.I)
 _TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 
 
@@ -144,15 +146,20 @@ def scan_text(text: bytes, finder: ahocorasick.Automaton) -> tuple[int, int, int
     words = text.translate(_WORDS).split()
     line = b" " + b" ".join(words) + b" "
     base, starts, labels, tagged = set(), [], set(), False
+    blanks, seen = 0, 0  # blanks before `seen`
     for end, (length, what) in finder.iter(line.decode("latin-1")):
         for kind, label in what:
             if kind == "base":
                 base.add(label)
-                starts.append(line.count(b" ", 0, end - length + 2) - 1)
+                starts.append((end - length + 1, length))
             elif kind == "notice":
                 labels.add(label)
             else:
                 tagged = True
+    starts.sort()
+    for i, (at, _) in enumerate(starts):
+        blanks, seen = blanks + line.count(b" ", seen, at), at
+        starts[i] = blanks
     labels |= base
     scores = [PERMISSION.get(x, UNKNOWN) for x in labels]
     if tagged:

@@ -415,6 +415,11 @@ def test_expressions():
     finder = licenses.automaton()
     assert licenses.scan_text(b"under the mit license under the mit license", finder)[:4] == (8, 2, 0, 4)
     assert licenses.scan_text(b"cc by nc", finder)[1:6] == (1, 0, 0, "cc-by-nc", "cc-by-nc")
+    for text in (b'license_expression = "MIT AND BSD-3-Clause"', b"# SPDX-License-Identifier:\n#  MIT AND BSD-3-Clause", b"license-expression: 'MIT AND BSD-3-Clause'", b"SPDX License Identifier: MIT AND BSD-3-Clause"):
+        assert licenses.scan_text(text, finder)[5] == "bsd-3-clause,mit", text
+    many = b"cc by nc, under the MIT license. " * 20000
+    found = licenses.scan_text(many, finder)
+    assert found[:6] == (140000, 40000, 0, 139996, "cc-by-nc,mit", "cc-by-nc,mit")
 
 
 # --- HTML
