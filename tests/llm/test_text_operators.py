@@ -68,11 +68,55 @@ def test_rule_counts(docs, rows, none):
 
 def test_em_finds_accuracies():
     rng = np.random.default_rng(0)
-    truth = np.where(rng.random(20000) < 0.8, 1, -1)
-    right = np.array([0.95, 0.8, 0.7, 0.9])
-    votes = np.where(rng.random((20000, 4)) < right, truth[:, None], -truth[:, None]) * (rng.random((20000, 4)) < 0.7)
-    good, found = quality_rules.fit_votes(votes.astype(int), np.ones(20000))
-    assert abs(good - 0.8) < 0.05 and np.abs(found - right).max() < 0.07
+    good_one = rng.random(40000) < 0.8
+    right = np.array([[0.97, 0.9, 0.95, 0.99, 0.93], [0.7, 0.5, 0.8, 0.6, 0.75]])
+    correct = rng.random((40000, 5)) < np.where(good_one[:, None], right[0], right[1])
+    votes = np.where(correct == good_one[:, None], 1, -1) * (rng.random((40000, 5)) < 0.8)
+    good, found = quality_rules.fit_votes(votes, np.ones(40000))
+    assert abs(good - 0.8) < 0.05 and np.abs(found - right).max() < 0.08
+    verdict = quality_rules.posterior(votes, good, found) >= 0.5
+    passed_all = (votes >= 0).all(axis=1)
+    assert (verdict == good_one).mean() > 0.9 > (passed_all == good_one).mean()
+
+
+def plain_em(patterns, counts):
+    """good, [(right about good, right about bad)], as the docstring of fit_votes has it, row by row."""
+    total, good, n = sum(counts), 0.8, len(patterns[0])
+    right = [list(quality_rules.TRUST) for _ in range(n)]
+
+    def chance(votes):
+        yes, no = good, 1 - good
+        for v, (g, b) in zip(votes, right, strict=True):
+            if v:
+                yes, no = yes * (g if v == 1 else 1 - g), no * (1 - b if v == 1 else b)
+        return yes / (yes + no)
+
+    for _ in range(200):
+        post = [chance(v) for v in patterns]
+        good = min(0.99, max(0.01, (sum(p * c for p, c in zip(post, counts, strict=True)) + 0.01 * total * 0.8) / (1.01 * total)))
+        for j in range(n):
+            for y, side in ((0, 1), (1, -1)):
+                weight = [(p if y == 0 else 1 - p) * c for p, c in zip(post, counts, strict=True)]
+                hit = sum(w for w, v in zip(weight, patterns, strict=True) if v[j] == side)
+                voted = sum(w for w, v in zip(weight, patterns, strict=True) if v[j])
+                right[j][y] = min(0.995, max((0.05, 0.01)[y], (hit + 0.01 * total * quality_rules.TRUST[y]) / (voted + 0.01 * total)))
+            right[j][1] = max(right[j][1], quality_rules.SENSE - right[j][0])
+    return [chance(v) for v in patterns]
+
+
+def test_verdicts_against_a_plain_em(spark):
+    rng = random.Random(8)
+    plain = [" ".join(rng.choices(["the", "of", "and", "tree", "house", "water", "stone", "green"], k=rng.randrange(60, 90))) for _ in range(120)]
+    odd = [p.upper() if i % 3 == 0 else " ".join(w + "#!" for w in p.split()) if i % 3 == 1 else p.replace("the ", "zzqq ").replace("of ", "x ").replace("and ", "y ") for i, p in enumerate(plain[:30])]
+    data = list(enumerate(plain + odd + ["SHORT TEXT OF A FEW WORDS IN CAPITAL LETTERS AND MORE"] * 3))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    rules = quality_rules.rule_votes()
+    votes = {r[0]: tuple(r[1:]) for r in docs.mapInArrow(quality_rules._features, quality_rules.FEATURES).withColumns(rules).select("doc_id", *rules).collect()}
+    seen = collections.Counter(votes.values())
+    want = dict(zip(seen, plain_em(list(seen), list(seen.values())), strict=True))
+    assert all({v[j] for v in seen} >= {1, -1} or j in (0, 2, 3, 7) for j in range(8))  # rules vote both ways
+    for r in quality_rules.quality_posterior(docs).collect():
+        assert r.quality == pytest.approx(want[votes[r.doc_id]], abs=1e-9) and r.kept == (not r.base_failed and r.quality >= 0.5)
 
 
 # --- quality classifier
