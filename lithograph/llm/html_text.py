@@ -1,10 +1,15 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is cut into blocks (runs of text between block-level tags). A fixed linear classifier gives each block log-odds
-of being content from its length, share of link text, tag, and what the names, classes and ids of the elements around it
-say. These costs are the capacities to the two terminals; smoothness edges join blocks that follow each other (the
-closer their elements are in the tree, the stronger) and blocks of the same parent. Maximum flow finds the labelling of
-least total cost; what stays on the content side is the text.
+of being content from its number of words, alone and against the longest block not named as boilerplate, its share of link text, its
+tag, and what the names, classes and ids of the elements around it say. These costs are the capacities to the two
+terminals; smoothness edges join blocks that follow each other (the closer their elements are in the tree, the stronger)
+and blocks of the same parent, weaker where only one of them lies in an element that is named as boilerplate. Maximum flow
+finds the labelling of least total cost; what stays on the content side is the text. So a link alone in a paragraph stays
+among the paragraphs around it, and a line of a few words goes with the menus around it, though each by itself would not.
+
+Names count by whole words: a class or id says boilerplate if all its parts do or are neutral ("site-footer", "share-buttons"),
+not if one of many does ("tag-news", "no-sidebar").
 
 The text of scripts, styles, templates, titles and comments of the markup is never a block.
 
@@ -20,6 +25,7 @@ import math
 import re
 from collections import deque
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,20 +47,23 @@ BLOCKS = frozenset(
     "html body article main section div nav aside header footer form ul ol dl dt dd li table thead tbody tfoot tr td th caption p h1 h2 h3 h4 h5 h6 "
     "blockquote pre figure figcaption fieldset legend dialog details summary address hr button label option menu center".split()
 )
-# What an element's own name adds to the log-odds of all that it holds.
-ELEMENT = {
-    "article": 3.0, "main": 2.0, "nav": -9.0, "aside": -9.0, "footer": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "button": -9.0,
-    "label": -4.0, "option": -9.0, "fieldset": -6.0, "legend": -6.0, "address": -2.0, "figcaption": -0.5,
-}
+# Elements that hold boilerplate by their name (a header does outside articles).
+AGAINST = frozenset("nav aside footer form menu dialog button label option fieldset legend".split())
 # What the innermost element's name adds.
-INNERMOST = {"p": 1.5, "h1": 1.5, "h2": 1.0, "h3": 1.0, "h4": 0.5, "blockquote": 1.0, "pre": 1.0, "li": -0.3, "td": -0.3, "th": -0.5, "dt": -0.3, "dd": 0.3}
-_AGAINST = re.compile(
-    r"(?<![a-z])(?:nav\w*|menu\w*|footer|header|masthead|topbar|side-?bar\w*|aside|ads?|advert\w*|adsense|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|"
-    r"pop-?up\w*|modal|overlay|comments?|comment-\w+|respond|disqus\w*|repl(?:y|ies)|shar(?:e|ing)\w*|social\w*|related\w*|recommend\w*|bread-?crumbs?|pag(?:er|ination)|subscri\w*|"
-    r"newsletter\w*|log-?in|sign-?(?:in|up)|search\w*|widget\w*|toolbar|tags?|tag-?list|tag-?cloud|copyright|legal|disclaimer|feedback|skip\w*|navigation|complementary|contentinfo)(?![a-z])",
-    re.I,
+INNERMOST = {"p": 0.5, "h1": 0.8, "h2": 0.6, "h3": 0.6, "h4": 0.4, "blockquote": 0.5, "pre": 0.5, "li": -0.3, "td": -0.3, "th": -0.4, "dt": -0.2, "dd": 0.2, "figcaption": -0.3, "address": -1.0}
+# Parts of class names, ids and roles that say boilerplate, say content, or say neither but go with others.
+_PART_AGAINST = re.compile(
+    r"nav|navs|navbar|navigation|menus?|footer|header|masthead|topbar|toolbar|sidebar|aside|complementary|contentinfo|ads?|advert\w*|adsense|adsbygoogle|adslot|banners?|promos?|promotion\w*|sponsor\w*|"
+    r"cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|comments?|respond|disqus|repl(?:y|ies)|shares?|sharing|social|related|recommend\w*|breadcrumbs?|pager|pagination|subscri\w*|"
+    r"newsletters?|login|signin|signup|search\w*|widgets?|tags?|tagcloud|taglist|copyright|legal|disclaimer|feedback|skip|skiplinks?"
+)
+_PART_FOR = re.compile(r"articles?|content|entry|story|posts?|main|text|prose|news")
+_PART_NEUTRAL = re.compile(
+    r"\d*|site|page|global|top|bottom|left|right|primary|secondary|upper|lower|mobile|desktop|user|reader|area|box|bar|section|block|group|list|lists|item|items|inner|outer|slot|unit|zone|panel|"
+    r"links?|buttons?|form|icons?|message|policy|cloud|body|thread|feed|stories|title|heading|text|v|js|the|us|to|side|wrap|wrapper|container|holder|row|col|column"
 )
-_FOR = re.compile(r"(?<![a-z])(?:article\w*|content|entry|story|post|post-?body|main\w*|body-?text|text|prose)(?![a-z])", re.I)
+_PART_WRAPS = re.compile(r"wrap|wrapper|container|layout")
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -63,24 +72,43 @@ class Block:
     text: str
     score: float
     path: tuple[int, ...]
-
-
-def element_score(name: str, attrs: str, in_article: bool) -> float:
-    """What an element adds to the log-odds of the blocks in it."""
-    score = ELEMENT.get(name, 0.0)
-    if name == "header":
-        score = 0.0 if in_article else -9.0
-    if attrs:
-        for m in _ATTRIBUTE.finditer(attrs):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key in ("class", "id", "role"):
-                if _AGAINST.search(value) and not (name in ("body", "html", "article", "main") or (name == "header" and in_article)):
-                    score -= 9.0
-                elif _FOR.search(value):
-                    score += 1.5
-            elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDDEN.search(value)):
-                score -= 9.0
-    return score
+    zone: int = 0  # the element named as boilerplate that it lies in, if any
+
+
+@lru_cache(maxsize=100_000)
+def says(name: str) -> int:
+    """What a class name, id or role says: -1 for boilerplate, 1 for content, 0 for neither."""
+    parts = [p.lower() for p in _PART.findall(name)]
+    if _PART_AGAINST.fullmatch("".join(parts)):
+        return -1
+    against, for_ = (any(x.fullmatch(p) for p in parts) for x in (_PART_AGAINST, _PART_FOR))
+    if against:
+        known = all(x for x in (_PART_AGAINST.fullmatch(p) or _PART_NEUTRAL.fullmatch(p) or (_PART_FOR.fullmatch(p) and p != "news") for p in parts))
+        return -1 if known and not (for_ and any(_PART_WRAPS.fullmatch(p) for p in parts)) else 0
+    return int(for_)
+
+
+def element_says(name: str, attrs: str, in_article: bool) -> int:
+    """What an element says of the blocks in it: -1 for boilerplate, 1 for content, 0 for neither."""
+    if name in AGAINST or (name == "header" and not in_article):
+        return -1
+    found = int(name in ("article", "main"))
+    for m in _ATTRIBUTE.finditer(attrs) if attrs else ():
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in ("class", "id", "role"):
+            each = [says(x) for x in value.split()]
+            if -1 in each and not (name in ("body", "html", "article", "main") or (name == "header" and in_article)):
+                return -1
+            found = max([found, *each])
+        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDDEN.search(value)):
+            return -1
+    return found
+
+
+def block_score(words: int, longest: int, linked: float, tag: str, said: int) -> float:
+    """The log-odds of being content of a block of so many words, in a page whose longest has so many."""
+    text = min(2.5, 0.7 * math.log2(words + 1) - 1.8)
+    return text + min(1.0, words / longest) - 3.0 * linked + INNERMOST.get(tag, 0.0) + (-5.0 if said < 0 else 0.3 * said)
 
 
 def skipped_spans(page: str) -> dict[int, int]:
@@ -104,8 +132,8 @@ def skipped_spans(page: str) -> dict[int, int]:
 
 def page_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
-    blocks: list[Block] = []
-    stack: list[tuple[str, float, int]] = [("", -1.0, 0)]  # name, score so far, number of the element
+    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # name, what it says, its number, the number of what says boilerplate
+    found: list[tuple[str, int, float, str, int, tuple[int, ...], int]] = []
     pieces: list[str] = []
     linked, links, count, articles = 0, 0, 0, 0
 
@@ -114,10 +142,8 @@ def page_blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                words = text.count(" ") + 1
-                name, score, _ = stack[-1]
-                score += INNERMOST.get(name, 0.0) + 0.35 * math.log2(words + 1) - 4.5 * min(1.0, linked / len(text))
-                blocks.append(Block(text, score, tuple(e[2] for e in stack)))
+                name, said, _, zone = stack[-1]
+                found.append((text, text.count(" ") + 1, min(1.0, linked / len(text)), name, said, tuple(e[2] for e in stack), zone))
             pieces.clear()
         linked = 0
 
@@ -160,26 +186,30 @@ def page_blocks(page: str) -> list[Block]:
                 while len(stack) > 1 and (stack[-1][0] == "p" or re.fullmatch("h[1-6]", stack[-1][0]) or (stack[-1][0] == name and name in ("li", "td", "th", "tr", "dt", "dd", "option"))):
                     stack.pop()
                 count += 1
-                stack.append((name, stack[-1][1] + element_score(name, m["attrs"], articles > 0), count))
+                said = element_says(name, m["attrs"], articles > 0)
+                zone = stack[-1][3] or (count if said < 0 else 0)
+                stack.append((name, -1 if zone else max(said, stack[-1][1]), count, zone))
                 articles += name in ("article", "main")
     if at < len(page):
         add(page[at:])
     end_block()
-    return blocks
+    longest = max((x[1] for x in found if x[4] >= 0), default=1)  # of what is not named as boilerplate
+    return [Block(text, block_score(words, longest, linked, name, said), path, zone) for text, words, linked, name, said, path, zone in found]
 
 
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Edges (i, j, weight) by adjacency and by nearness in the tree."""
     edges = []
     last: dict[int, int] = {}
+    held = lambda i, j, weight: (i, j, weight if blocks[i].zone == blocks[j].zone else 0.25 * weight)
     for j, b in enumerate(blocks):
         if j:
             a = blocks[j - 1].path
             common = next((k for k, (x, y) in enumerate(zip(a, b.path, strict=False)) if x != y), min(len(a), len(b.path)))
-            edges.append((j - 1, j, 1.2 / (1 + 0.5 * (len(a) + len(b.path) - 2 * common))))
+            edges.append(held(j - 1, j, 2.4 / (1 + 0.5 * (len(a) + len(b.path) - 2 * common))))
         parent = b.path[-2] if len(b.path) > 1 else 0
         if parent in last and last[parent] != j - 1:
-            edges.append((last[parent], j, 0.4))
+            edges.append(held(last[parent], j, 0.4))
         last[parent] = j
     return edges
 
