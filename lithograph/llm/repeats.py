@@ -431,7 +431,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     doc_id = F.col("held.doc_id").cast("long")
     ids = docs.groupBy(doc_id.alias("id")).agg(F.count("*").alias("n"))
     if not ids.filter("id IS NULL OR n > 1").take(1):
-        own = docs.withColumn("k", doc_id)
+        own = docs.withColumn("k", F.coalesce(doc_id, F.lit(0)))  # never null, so that both joins ask for the same shuffle
         return own, own
     named = docs.withColumn("id", doc_id).withColumn("tid", F.expr("xxhash64(text IS NULL, text)"))
     order = F.struct(F.col("id").isNotNull().alias("there"), F.coalesce("id", F.lit(0)).alias("id"), "tid")
