@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithograph.llm.text import text_batches
+from lithograph.llm.text import from_planes, planes, text_batches
 from lithograph.session import materialize
 
 ORDER = 5
@@ -164,13 +164,12 @@ def buckets_for(spark) -> int:
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Numbers compressed byte by byte, the lowest bytes of all first."""
-    return zstandard.compress(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes(), 1)
+    return zstandard.compress(planes(numbers), 1)
 
 
 def unpack(packed: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(packed), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    data = zstandard.decompress(packed)
+    return from_planes(data, kind, len(data) // np.dtype(kind).itemsize)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:

@@ -35,11 +35,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from xxhash import xxh3_128_digest
 
+from lithograph.llm.text import from_planes, planes, text_batches
 from lithograph.operators.sampling import dense_index
 from lithograph.session import materialize
 
@@ -177,18 +179,18 @@ def _pack(rows: dict[str, np.ndarray], buckets: int, tails: tuple[np.ndarray, np
     blobs = []
     for a, b in zip(cuts, cuts[1:], strict=False):
         take = order[a:b]
-        parts = [rows[name][take].astype(kind).tobytes() for name, kind in _FIELDS]
+        parts = [planes(rows[name][take].astype(kind)) for name, kind in _FIELDS]
         if tails:
             data, ends = tails
             parts += [data[(ends[i - 1] if i else 0) : ends[i]] for i in take.tolist()]
-        blobs.append(b"".join(parts))
+        blobs.append(zstandard.compress(b"".join(parts), 1))
     return pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts[:-1]], pa.int32()), pa.array(np.diff(cuts), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "n_rows", "packed"])
 
 
 def _unpack(n_rows: int, packed: bytes) -> tuple[dict[str, np.ndarray], bytes]:
-    rows, at = {}, 0
+    rows, at, packed = {}, 0, zstandard.decompress(packed)
     for name, kind in _FIELDS:
-        rows[name] = np.frombuffer(packed, dtype=kind, count=n_rows, offset=at)
+        rows[name] = from_planes(packed, kind, n_rows, at)
         at += rows[name].nbytes
     return rows, packed[at:]
 
@@ -224,8 +226,6 @@ def _collapse(rows: dict[str, np.ndarray], hot: int = HOT) -> tuple[dict[str, np
 
 def _contexts_of_task(buckets: int):
     def run(batches):
-        from lithograph.llm.text import text_batches
-
         pieces: list[tuple[int, int, bytes]] = []
         size, held, count = 0, [], 0
 
