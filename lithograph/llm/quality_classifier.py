@@ -2,12 +2,12 @@
 
 Grades come from the labels: 0 for poor quality, 1 for good but toxic, 2 for good and clean. One weight vector over
 hashed features is shared by all grades and ordered thresholds cut its score: P(grade > k) = sigmoid(w.x - theta_k). The
-expected grade and the tail probability P(grade >= 2) come out for every document; `kept` asks the tail to reach
-0.4, below one half to spare clean documents.
+expected grade and the tail probability P(grade >= 2) come out for every document; `kept` asks the tail to reach a cut.
 
-Features: presence of each word (lower case, ASCII punctuation removed), and the bucket of each of a few ratios of the
-whole text. The model is fitted on a bounded sample: the `sample_rows` labelled documents that come first by a hash of
-their id. Its weights have a fixed number of slots, so that they may go to every task. Scoring is a map over all rows.
+Features: presence of each word (lower case, ASCII punctuation removed), of the beginnings of longer words, which inflected
+forms share, and the bucket of each of a few ratios of the whole text. The model is fitted on a bounded sample: the
+`sample_rows` labelled documents that come first by a hash of their id. Every fifth of them is held out of the fit: the cut
+is the highest that leaves all but `spare` of the held-out top grade (0.4 where fewer than 200 of these are there). Its weights have a fixed number of slots, so that they may go to every task. Scoring is a map over all rows.
 
 Defined cases: a null or empty text is scored by its ratios alone; a document with several label rows takes their
 highest grade, rows with null labels do not count; without any label all documents get the top grade and are kept;
@@ -55,6 +55,11 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().translate(None, _PUNCTUATION).split()
 
 
+def beginnings(words: set[bytes], size: int = 4) -> set[bytes]:
+    """First bytes of the longer words, under names that no word has."""
+    return {b"^" + w[:size] for w in words if len(w) > size}
+
+
 def slot(name: bytes) -> int:
     return zlib.crc32(name) & (SLOTS - 1)
 
@@ -63,21 +68,22 @@ def text_slots(text: bytes) -> list[int]:
     """Slots of all features of a text; ratio names hold "=", which no word does."""
     words = words_of(text)
     distinct = set(words)
-    return [*map(slot, distinct), *map(slot, ratio_features(text, len(words), len(distinct)))]
+    return [*map(slot, distinct), *map(slot, beginnings(distinct)), *map(slot, ratio_features(text, len(words), len(distinct)))]
 
 
 @dataclass
 class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = 0.4
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > k) for k = 0 .. GRADES - 2, a row per score."""
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def fit_ordinal(slots: list[np.ndarray], grades: np.ndarray, steps: int = 6000, batch: int = 32, rate: float = 1.0, lasso: float = 40.0, seed: int = 42) -> OrdinalModel:
-    """Cumulative-link regression by proximal steps (follow the regularised leader) with an L1 penalty.
+def fit_ordinal(slots: list[np.ndarray], grades: np.ndarray, steps: int = 6000, batch: int = 32, rate: float = 1.0, lasso: float = 0.002, seed: int = 42) -> OrdinalModel:
+    """Cumulative-link regression by proximal steps (follow the regularised leader) with an L1 penalty of `lasso` for each row.
 
     The penalty leaves all but a few features at zero: words of one document would only be learned by heart. Thresholds
     take AdaGrad steps and are kept in order.
@@ -85,6 +91,7 @@ def fit_ordinal(slots: list[np.ndarray], grades: np.ndarray, steps: int = 6000,
     rng = np.random.default_rng(seed)
     if not len(slots):
         return OrdinalModel(np.zeros(SLOTS), np.full(GRADES - 1, -40.0))
+    lasso *= len(slots)
     push, squares = np.zeros(SLOTS), np.zeros(SLOTS)
     theta, theta_squares = np.linspace(-1.0, 0.0, GRADES - 1), np.full(GRADES - 1, 1e-2)
     apart = np.arange(GRADES - 1) * 0.2
@@ -121,6 +128,16 @@ def _sample_slots(batches):
         yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array(packed, pa.binary())], ["grade", "slots"])
 
 
+def fit_with_cut(slots: list[np.ndarray], grades: np.ndarray, spare: float = 0.005, least: int = 200) -> OrdinalModel:
+    """The model of four fifths of the rows, with the cut that spares the top grade of the rest."""
+    test = np.arange(len(slots)) % 5 == 4
+    model = fit_ordinal([s for s, t in zip(slots, test, strict=True) if not t], grades[~test])
+    scores = np.array([model.weights[slots[i]].sum() for i in np.flatnonzero(test & (grades == GRADES - 1))])
+    if len(scores) >= least:
+        model.cut = float(np.sort(model.tails(scores)[:, -1])[int(spare * len(scores))])
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20000) -> OrdinalModel:
     """The model of the first sample_rows labelled documents by hash."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
@@ -130,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20000) -> Ordin
     got = rows.mapInArrow(_sample_slots, "grade int, slots binary").toArrow()
     slots = [np.frombuffer(s, dtype=np.int32) for s in got.column("slots").to_pylist()]
     order = sorted(range(len(slots)), key=lambda i: zlib.crc32(slots[i].tobytes()))  # not the order of arrival
-    return fit_ordinal([slots[i] for i in order], got.column("grade").to_numpy().astype(int)[order])
+    return fit_with_cut([slots[i] for i in order], got.column("grade").to_numpy().astype(int)[order])
 
 
 class _Weights(dict):
@@ -144,24 +161,24 @@ class _Weights(dict):
         return found
 
 
-def grade_documents(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.4) -> DataFrame:
+def grade_documents(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """docs, which hold text and none of these names, with expected_grade, tail_probability and kept."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds, model.cut))
 
     def score(batches):
-        weights, thresholds = sent.value
+        weights, thresholds, cut = sent.value
         known, model = _Weights(weights), OrdinalModel(weights, thresholds)
         for part, texts in text_batches(batches):
             scores = []
             for text in texts:
                 words = words_of(text or b"")
                 distinct = set(words)
-                total = sum(map(known.__getitem__, distinct)) + sum(map(known.__getitem__, ratio_features(text or b"", len(words), len(distinct))))
+                total = sum(map(known.__getitem__, distinct)) + sum(map(known.__getitem__, beginnings(distinct))) + sum(map(known.__getitem__, ratio_features(text or b"", len(words), len(distinct))))
                 scores.append(total)
             if len(known) > 200_000:
                 known.clear()
             tails = model.tails(np.array(scores))
-            added = [pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= least_tail)]
+            added = [pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= cut)]
             yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, "expected_grade", "tail_probability", "kept"])
 
     added = [StructField("expected_grade", DoubleType()), StructField("tail_probability", DoubleType()), StructField("kept", BooleanType())]

@@ -145,6 +145,42 @@ def test_classifier_learns_held_out_grades(spark):
     assert order == sorted(order) and set(got) >= {9000, 9001}
 
 
+def test_fit_against_a_plain_likelihood_optimiser():
+    """Without a penalty the fit comes near the weights that plain gradient ascent on the whole likelihood finds."""
+    rng = np.random.default_rng(5)
+    x = rng.random((1500, 6)) < 0.5
+    score = x @ np.array([2.0, -1.5, 1.0, 0.0, -0.5, 0.7]) + rng.logistic(size=1500)
+    grades = np.digitize(score, [0.2, 1.4])
+    names = [np.array([*np.flatnonzero(row), 6]) for row in x]
+    full = np.hstack([x, np.ones((1500, 1))]).astype(float)
+
+    def likelihood(w, theta):
+        tail = np.hstack([np.ones((1500, 1)), 1 / (1 + np.exp(-(full @ w)[:, None] + theta[None, :])), np.zeros((1500, 1))])
+        return np.log(tail[np.arange(1500), grades] - tail[np.arange(1500), grades + 1]).mean(), tail
+
+    w, theta = np.zeros(7), np.array([-0.5, 0.5])
+    for _ in range(4000):
+        _, tail = likelihood(w, theta)
+        up = tail[np.arange(1500), grades] + tail[np.arange(1500), grades + 1] - 1
+        slope, chance = tail * (1 - tail), tail[np.arange(1500), grades] - tail[np.arange(1500), grades + 1]
+        d = np.array([((grades == k) * slope[:, k + 1] / chance).sum() - ((grades == k + 1) * slope[:, k + 1] / chance).sum() for k in range(2)])
+        w, theta = w - 0.5 * (full.T @ up) / 1500, theta + 0.5 * d / 1500
+    best, _ = likelihood(w, theta)
+    model = quality_classifier.fit_ordinal(names, grades, steps=4000, lasso=0.0)
+    got, _ = likelihood(model.weights[:7], model.thresholds)
+    assert best - 0.02 < got <= best + 1e-6 and np.abs(model.weights[:6] - w[:6]).max() < 0.35
+
+
+def test_cut_spares_the_top_grade():
+    rng = np.random.default_rng(6)
+    grades = np.array([2] * 1600 + [1] * 200 + [0] * 200)
+    order = rng.permutation(2000)
+    slots = [np.array([9, 10 + int(g), *rng.integers(100, 150, 5)] if rng.random() < 0.97 else [9, *rng.integers(100, 150, 5)]) for g in grades]
+    model = quality_classifier.fit_with_cut([slots[i] for i in order], grades[order])
+    tails = model.tails(np.array([model.weights[s].sum() for s in slots]))[:, -1]
+    assert (tails[grades == 2] >= model.cut).mean() > 0.98 and (tails[grades < 2] >= model.cut).mean() < 0.2
+
+
 def test_classifier_without_labels(docs, none, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     kept = quality_classifier.keep_good(docs, labels)
