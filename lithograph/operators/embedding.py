@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,15 +23,28 @@ def variance_penalty(latents: DataFrame, eps: float = 1e-4) -> DataFrame:
 def covariance_penalty(latents: DataFrame) -> DataFrame:
     """One row: sum of squared covariances of different dimensions, by the number of dimensions.
 
-    Each row turns into its products of dimensions, which partial aggregation sums before the shuffle: what is shuffled
-    is one row per task and pair of dimensions.
+    Each task adds up the products of its batches, one matrix product a batch, and sends one row per dimension; null
+    vectors take no part.
     """
-    v = latents.select("embedding")
-    a = v.select("embedding", F.posexplode("embedding").alias("i", "x"))
-    ab = a.select("i", "x", F.posexplode("embedding").alias("j", "y")).filter("i < j")
-    cov = ab.groupBy("i", "j").agg(F.covar_samp(F.col("x").cast("double"), F.col("y").cast("double")).alias("c"))
+
+    def products(batches):
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("embedding").flatten().to_numpy().astype(float).reshape(batch.num_rows, -1)
+                x = np.hstack([np.ones((len(x), 1)), x])  # row and column 0: the count and the sums
+                held = x.T @ x if held is None else held + x.T @ x
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held))), pa.array(list(held))], ["i", "sums"])
+
+    rows = latents.filter("embedding IS NOT NULL").select("embedding").mapInArrow(products, "i long, sums array<double>")
+    total = rows.select("i", F.posexplode("sums").alias("j", "s")).groupBy("i", "j").agg(F.sum("s").alias("s"))
+    means = total.filter("j = 0").select("i", F.col("s").alias("m"))
+    n = F.broadcast(means.filter("i = 0").select(F.col("m").alias("n")))  # one row
+    pair = total.filter("i > 0 AND j > 0 AND i <> j").join(means, "i").join(means.select(F.col("i").cast("int").alias("j"), F.col("m").alias("m2")), "j").join(n)
+    cov = pair.select("i", ((F.col("s") - F.col("m") * F.col("m2") / F.col("n")) / (F.col("n") - 1)).alias("c"))
     d = latents.agg(F.max(F.size("embedding")).alias("d"))
-    return cov.agg(F.sum(2 * F.col("c") * F.col("c")).alias("s")).join(F.broadcast(d)).select((F.coalesce("s", F.lit(0.0)) / F.col("d")).alias("covariance_penalty"))
+    return cov.agg(F.sum(F.col("c") * F.col("c")).alias("s")).join(F.broadcast(d)).select((F.coalesce("s", F.lit(0.0)) / F.col("d")).alias("covariance_penalty"))
 
 
 def neighbour_entropy(latents: DataFrame, group: str, temperature: float, gamma: float) -> DataFrame:

@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithograph.operators.graph import connected_components
+from lithograph.operators.sampling import dense_index
 from lithograph.session import materialize
 
 METHODS = ("kmeans", "gmm", "spectral", "agglomerative", "bisecting", "density")
 TECHNIQUES = ("pca",)
+MOST_DIMS = 4096
 
 
 def scale_stats(df: DataFrame, col: str) -> DataFrame:
@@ -63,6 +65,8 @@ def _dot(x: Column, weights: list[float]) -> Column:
 def fit_pca(df: DataFrame, col: str, k: int, scale: bool = False) -> PcaModel:
     """PCA on centred (and, if asked, scaled) vectors; each component's largest loading is positive."""
     stats = scale_stats(df, col).first()
+    if len(stats["mean"] or ()) > MOST_DIMS:
+        raise ValueError(f"PCA over {len(stats['mean'])} dimensions; its d x d matrix is solved on the driver, so resize or pool to {MOST_DIMS} first")
     mean, std = np.array(stats["mean"]), np.array(stats["std"]) if scale else np.ones(len(stats["mean"]))
     std = np.where(std > 0, std, 1.0)
     ready = df.select(array_to_vector(F.zip_with(F.zip_with(col, F.array(*map(F.lit, mean.tolist())), lambda x, m: x.cast("double") - m), F.array(*map(F.lit, std.tolist())), lambda x, s: x / s)).alias("v"))
@@ -203,12 +207,12 @@ def density_clusters(df: DataFrame, col: str = "embedding", min_size: int = 10,
             raise ValueError("lsh needs a radius")
         pairs = materialize(_lsh_pairs(df, col, radius, bucket, tables, seed), "density-pairs")
     else:
-        pairs = materialize(_block_pairs(df, col, 8), "density-pairs")
+        pairs = _block_pairs(df, col, 8)  # not written: only what lies within the radius is
     if radius is None:
         order = Window.partitionBy("id").orderBy("distance")
         kth = pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") == max(1, min_samples - 1))
         radius = kth.agg(F.percentile_approx("distance", 0.5)).first()[0] or 0.0
-    near = pairs.filter(F.col("distance") <= radius)
+    near = materialize(pairs.filter(F.col("distance") <= radius), "density-near")
     cores = materialize(near.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") + 1 >= min_samples).select("id"), "density-cores")
     links = near.join(cores, "id").join(cores.withColumnRenamed("id", "neighbour"), "neighbour")
     own = connected_components(links.select(F.col("id").alias("a"), F.col("neighbour").alias("b")).union(cores.select("id", "id")))
@@ -241,8 +245,9 @@ def cv_probabilities(df: DataFrame, label: str, col: str = "embedding", folds: i
     def lift(x: pd.Series) -> pd.Series:
         return pd.Series(list(np.sqrt(2 / features) * np.cos(np.stack(x.to_numpy()).astype(float) @ w + b))) if len(x) else pd.Series([], dtype=object)
 
-    order = Window.partitionBy(label).orderBy(F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(seed)))), "id")
-    rows = df.select("id", label, array_to_vector(lift(col)).alias("features"), (F.row_number().over(order) % folds).alias("fold"))
+    # places by class and draw: rows of one class follow each other, so that folds share each class evenly
+    drawn = dense_index(df.select("id", label, F.col(col).alias("x"), F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(seed)))).alias("draw")), label, "draw", "id")
+    rows = drawn.select("id", label, array_to_vector(lift("x")).alias("features"), (F.col("idx") % folds).alias("fold"))
     indexed = sizes.select(label, (F.row_number().over(Window.orderBy(label)) - 1).cast("double").alias("y"))  # one row per class
     rows = materialize(rows.join(F.broadcast(indexed), label), "cv-rows")
     out = None

@@ -16,7 +16,7 @@ from lithograph.functions import resample
 from lithograph.operators import catalog, embedding, evaluation, learning, raster, sampling, stats
 from lithograph.plans.fixtures import Fixtures, with_fixtures
 from lithograph.session import materialize, shared_dir
-from lithograph.sources import io
+from lithograph.sources import io, raw_f32
 
 RADIUS = 160_000 / (2 * 3.141592653589793)  # the sphere whose equator is as long as the raster is wide
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,18 @@ def _(x):
     return io.read_chips(x.spark, path).select("id", "c", "h", "w", csv(F.col("px")).alias("px"))
 
 
+@query("S3_read_f32_records", "SELECT row_number() OVER (ORDER BY id) - 1 AS id, 1 AS c, 8 AS h, 8 AS w, CSV(px) AS px FROM chips")
+def _(x):
+    raw_f32.write_f32_records(x.chips, path := _path(x, "raw"))
+    return raw_f32.read_f32_records(x.spark, path, 1, 8, 8, 100).select("id", "c", "h", "w", csv(F.transform("px", lambda v: v.cast("int"))).alias("px"))
+
+
+@query("S4_read_npy_dir", "SELECT cast(id AS varchar(20)) AS name, '8,8' AS shape, CSV(px) AS px FROM chips")
+def _(x):
+    io.write_npy_dir(x.chips, path := _path(x, "npy"))
+    return io.read_npy_dir(x.spark, path).select("name", csv(F.col("shape")).alias("shape"), csv(F.transform("px", lambda v: v.cast("int"))).alias("px"))
+
+
 CHANNEL_STATS = "SELECT 0 AS channel, round(avg(cast(p AS double)), 6) AS mean, round(stddev_pop(cast(p AS double)), 6) AS std, count(*) AS n_px FROM (SELECT unnest(px) AS p FROM chips) t"
 
 
@@ -851,8 +863,8 @@ def _(x):
 def oriented_crops(x: Fixtures) -> DataFrame:
     """Oriented crops of the catalogue's features within size and latitude: id, h, w, px."""
     windows = catalog.valid_windows(catalog.pixel_windows(_boxes(x), x.geo)).withColumnRenamed("crater_id", "id")
-    crops = raster.extract_windows(windows, x.tiles, 8)
-    return crops.withColumn("px", E.orient(*_args()))
+    crops = materialize(raster.extract_windows(windows, x.tiles, 8), "crops")  # else pixels are put together anew for each use
+    return materialize(crops.withColumn("px", resample.orient(*_args())), "oriented")
 
 
 @query("pipeline_chip_stats", WINDOWS + f""", {PIXELS}, v AS (SELECT px.v FROM cut JOIN px ON r >= r0 AND r < r1 AND c >= c0 AND c < c1)
@@ -861,6 +873,19 @@ def _(x):
     return stats.channel_stats(oriented_crops(x)).select("channel", r6("mean").alias("mean"), r6("std").alias("std"), "n_px")
 
 
+@query("pipeline_preprocess")
+def _(x):
+    """The whole way to chips: crop, correct the aspect, orient, resize, scale to 0 .. 1, write, and take the statistics."""
+    windows = catalog.valid_windows(catalog.pixel_windows(_boxes(x), x.geo)).withColumnRenamed("crater_id", "id")
+    crops = materialize(raster.extract_windows(windows, x.tiles, 8).join(x.catalog.select(F.col("crater_id").alias("id"), "lat"), "id"), "crops")
+    fixed = crops.select("id", "w", resample.aspect_height(F.col("h"), F.col("lat")).alias("h"), resample.aspect_fix(*_args(), F.col("lat")).alias("px"))
+    fixed = materialize(fixed, "aspect")
+    chips = fixed.select("id", resample.resize(E.orient(*_args()), F.col("h"), F.col("w"), 16, 16, "bicubic", True).alias("px"))
+    chips = chips.select("id", F.lit(1).alias("c"), F.lit(16).alias("h"), F.lit(16).alias("w"), E.to_unit(E.clamp(F.col("px"), 0.0, 255.0)).alias("px"))
+    io.write_chips(chips, path := _path(x, "preprocessed"))
+    return stats.channel_stats(io.read_chips(x.spark, path)).select("channel", r6("mean").alias("mean"), r6("std").alias("std"), "n_px")
+
+
 @query("pipeline_encode_cluster_export")
 def _(x):
     chips = materialize(x.chips.withColumn("px", E.orient(*_args())), "oriented")

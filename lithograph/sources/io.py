@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithograph.sources.raw_f32 import file_system
+
 CATALOG = "crater_id string, lat double, lon double, diam_km double"
 METADATA = "id string, lat double, lon double, x double, y double, diam double"
 TILES = "tile_row long, tile_col long, px array<int>"
@@ -94,6 +96,23 @@ def write_tiles(tiles: DataFrame, geo: DataFrame, path: str) -> None:
     geo.coalesce(1).write.mode("overwrite").parquet(f"{path}/geo")
 
 
+def write_npy_dir(chips: DataFrame, path: str, key: str = "id") -> None:
+    """Each chip as key.npy of shape (h, w), in a folder that all executors reach."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, folder = file_system(path)
+        system.create_dir(folder)
+        for pdf in batches:
+            for name, h, w, px in zip(pdf[key], pdf["h"], pdf["w"], pdf["px"], strict=True):
+                held = bytesio.BytesIO()
+                np.save(held, np.asarray(px, dtype=np.float32).reshape(h, w))
+                with system.open_output_stream(f"{folder}/{name}.npy") as f:
+                    f.write(held.getvalue())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    chips.select(key, "h", "w", "px").mapInPandas(write, "n long").agg(F.sum("n")).collect()  # one row
+
+
 def read_npy_dir(spark: SparkSession, path: str) -> DataFrame:
     """name (file stem), shape, px of every .npy file in a folder; ordered use sorts by name."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)

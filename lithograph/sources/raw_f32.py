@@ -1,20 +1,33 @@
-"""A batch source for headerless float32 records (n, c, h, w), split by byte ranges."""
+"""A batch source for headerless float32 records (n, c, h, w), split by byte ranges.
+
+The path is a file or a folder of files in the order of their names: on a folder that all executors mount, or a URI of a
+file system that Arrow knows (hdfs://, s3://, gs://, file://).
+"""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 class Records(InputPartition):
-    def __init__(self, path: str, first: int, n: int):
-        super().__init__((path, first, n))
-        self.path, self.first, self.n = path, first, n
+    """n records of a file from its record `first`; the first of them is number `at` of all."""
+
+    def __init__(self, path: str, first: int, n: int, at: int):
+        super().__init__((path, first, n, at))
+        self.path, self.first, self.n, self.at = path, first, n, at
 
 
 class RawF32Reader(DataSourceReader):
@@ -28,15 +41,23 @@ class RawF32Reader(DataSourceReader):
         return 4 * self.c * self.h * self.w
 
     def partitions(self) -> list[InputPartition]:
-        n = os.path.getsize(self.path) // self.record  # what is left of a cut record is ignored
-        return [Records(self.path, at, min(self.split, n - at)) for at in range(0, n, self.split)] or [Records(self.path, 0, 0)]
+        system, path = file_system(self.path)
+        found = system.get_file_info(path)
+        files = [found] if found.is_file else sorted((f for f in system.get_file_info(fs.FileSelector(path)) if f.is_file), key=lambda f: f.base_name)
+        out, before = [], 0
+        for f in files:
+            n = f.size // self.record  # what is left of a cut record is ignored
+            out += [Records(f.path, at, min(self.split, n - at), before + at) for at in range(0, n, self.split)]
+            before += n
+        return out or [Records(path, 0, 0, 0)]
 
     def read(self, part: Records) -> Iterator[pa.RecordBatch]:
-        with open(part.path, "rb") as f:
-            for at in range(part.first, part.first + part.n, 64):
-                n = min(64, part.first + part.n - at)
-                f.seek(at * self.record)
-                px = np.frombuffer(f.read(n * self.record), dtype="<f4")
+        if not part.n:
+            return
+        with file_system(self.path)[0].open_input_file(part.path) as f:
+            for step in range(0, part.n, 64):
+                at, n = part.at + step, min(64, part.n - step)
+                px = np.frombuffer(f.read_at(n * self.record, (part.first + step) * self.record), dtype="<f4")
                 offsets = pa.array(np.arange(n + 1, dtype=np.int32) * (self.record // 4))
                 columns = [pa.array(np.arange(at, at + n, dtype=np.int64)), *(pa.array(np.full(n, v, dtype=np.int32)) for v in (self.c, self.h, self.w)), pa.ListArray.from_arrays(offsets, pa.array(px))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "c", "h", "w", "px"])
@@ -55,6 +76,23 @@ class RawF32Source(DataSource):
 
 
 def read_f32_records(spark: SparkSession, path: str, c: int, h: int, w: int, split_records: int = 1024) -> DataFrame:
-    """Records of a raw file on a folder that all executors mount; id is the position in the file."""
+    """Records of a raw file or a folder of them; id is the position among all."""
     spark.dataSource.register(RawF32Source)
     return spark.read.format("raw_f32").options(c=c, h=h, w=w, split_records=split_records).load(path)
+
+
+def write_f32_records(chips: DataFrame, path: str, key: str = "id") -> None:
+    """Pixels of chips as a folder of raw files, in the order of key: a file for each range of keys."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = file_system(path)
+        system.create_dir(folder)
+        part, n = TaskContext.get().partitionId(), 0
+        with system.open_output_stream(f"{folder}/part-{part:06d}.f32") as f:
+            for batch in batches:
+                f.write(batch.column("px").flatten().to_numpy().astype("<f4").tobytes())
+                n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    ordered = chips.repartitionByRange(key).sortWithinPartitions(key).select(F.col("px").cast("array<float>").alias("px"))
+    ordered.mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one row

@@ -102,3 +102,15 @@ def test_sql_names(spark):
     assert "wrap_lon" in names
     row = spark.sql("SELECT wrap_lon(180.01D) a, wrap_lon(180D) b, file_stem('/x/y.tar.png') c, chip_mirror(array(1D,2D,3D,4D), 2, 2) d").first()
     assert round(row.a, 2) == -179.99 and row.b == 180 and row.c == "y.tar" and row.d == [2.0, 1.0, 4.0, 3.0]
+
+
+def test_orient_by_batches_is_orient(spark):
+    import random
+
+    from lithograph.functions import chips, resample
+
+    rng = random.Random(1)
+    rows = [(i, h, w, [rng.randrange(4) for _ in range(h * w)]) for i, (h, w) in enumerate((rng.randint(1, 6), rng.randint(1, 9)) for _ in range(80))]
+    df = spark.createDataFrame(rows, "id int, h int, w int, px array<int>")
+    args = [F.col(c) for c in ("px", "h", "w")]
+    assert df.filter(chips.orient(*args) != resample.orient(*args)).count() == 0
