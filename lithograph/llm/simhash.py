@@ -40,7 +40,6 @@ from lithograph.session import materialize
 BITS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 FAN = 16
-SENT = 500_000
 BANDS, HASHES_IN_BAND = 24, 5  # two sets of similarity 0.8 share no band once in 14,000 pairs
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _DRAWN = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * HASHES_IN_BAND), dtype=np.uint64)
@@ -190,11 +189,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def _sent(table: DataFrame) -> DataFrame:
-    """A written table of a few numbers a row, sent to all tasks if it has at most SENT rows; beyond, a join shuffles both sides."""
-    return F.broadcast(table) if table.count() <= SENT else table
-
-
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
     """Different shingles of a text's lower-cased words as 64-bit hashes, in order; fewer words make one shingle."""
     words = text.lower().split()
@@ -263,7 +257,7 @@ def _similar_classes(docs: DataFrame, width: int, similarity: float, chunk: int
         return similar_links(rows.column("tid").to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in rows.column("shingles").to_pylist()], similarity)
 
     def search(groups: DataFrame) -> DataFrame:
-        rows = texts.join(_sent(materialize(groups, "near-groups")), "tid").repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
+        rows = texts.join(materialize(groups, "near-groups").hint("merge"), "tid").repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
         return rows.select("key", "c1", "c2", "tid", "shingles").mapInArrow(lambda batches: _search(batches, forest), "a long, b long")
 
     held = docs.filter("doc_id IS NOT NULL").select("doc_id", F.expr(TID).alias("tid"), "text")
@@ -272,7 +266,8 @@ def _similar_classes(docs: DataFrame, width: int, similarity: float, chunk: int
     sizes = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("tid").alias("lead"), F.expr("bit_xor(xxhash64(tid))").alias("members")).filter("n > 1")
     sizes = sizes.groupBy("n", "lead", "members").agg(F.min("key").alias("key"))  # bands with the same texts count once
     shared = materialize(nodes.join(sizes.drop("members"), "key"), "near-shared")
-    wanted = held.join(_sent(materialize(shared.select("tid").distinct(), "near-tids")), "tid").groupBy("tid").agg(F.first("text").alias("text"))
+    each = held.groupBy("tid").agg(F.first("text").alias("text"))  # before the join, as one text may be that of very many rows
+    wanted = each.join(materialize(shared.select("tid").distinct(), "near-tids").hint("merge"), "tid")
     texts = materialize(wanted.mapInArrow(sets, "tid long, shingles binary"), "near-sets")
 
     # first each text meets the least of its band; of very many, in chunks
@@ -312,18 +307,18 @@ def keep_one(docs: DataFrame, width: int = 3, similarity: float | None = None) -
     Without a similarity the components are op4's; with one, two texts link if their shingles of width words have it (Jaccard).
     Rows that share a doc_id but not a text are documents of their own. Of rows with the same doc_id and text the one
     whose columns come first as JSON stays. The documents that go are far fewer than those that stay, so it is their ids
-    that docs are joined with.
+    that docs are joined with. The joins with texts merge at every size, as those ids grow with the documents.
     """
     found = materialize((_print_classes(docs) if similarity is None else _similar_classes(docs, width, similarity)).groupBy("doc_id", "tid", "component_id").count(), "simhash-classes")
     least = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "tid")).alias("least"))
     gone = found.join(least, "component_id").filter("doc_id <> least.doc_id OR tid <> least.tid OR count > 1")
     gone = materialize(gone.select("doc_id", "tid", F.expr("doc_id = least.doc_id AND tid = least.tid").alias("stays")), "simhash-gone")
-    out = docs.join(_sent(gone), (docs["doc_id"] == gone["doc_id"]) & (F.expr(TID) == gone["tid"]), "left_anti").select(*docs.columns)
+    out = docs.join(gone.hint("merge"), (docs["doc_id"] == gone["doc_id"]) & (F.expr(TID) == gone["tid"]), "left_anti").select(*docs.columns)
     again = materialize(gone.filter("stays").select(F.col("doc_id").alias("same_id"), F.col("tid").alias("same_tid")), "simhash-again")
     if not again.take(1):
         return out
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("same_id"), F.expr(TID).alias("same_tid"))
-    first = rows.join(_sent(again), ["same_id", "same_tid"], "left_semi").groupBy("same_id", "same_tid").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    first = rows.join(again.hint("merge"), ["same_id", "same_tid"], "left_semi").groupBy("same_id", "same_tid").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return out.union(first.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)))
 
 
