@@ -28,8 +28,9 @@ from __future__ import annotations
 from itertools import accumulate, combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -45,6 +46,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _DRAWN = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * HASHES_IN_BAND), dtype=np.uint64)
 _MASKS, _FACTORS = _DRAWN[0] << np.uint64(1), _DRAWN[1] << np.uint64(1) | np.uint64(1)
 TID = "xxhash64(text IS NULL, text)"
+SIEVE = 1 << 26
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -189,6 +191,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def sieve(tids: DataFrame) -> Column:
+    """Whether the tid of a row's text may be one of tids: never false for one of them, and for n of them true for about n / SIEVE others.
+
+    It is a bitmap of SIEVE bits (8 MB) over the low bits of tids, built by one aggregation and sent to all tasks; its size is the
+    same at every number of rows. It only spares rows a shuffle: whoever uses it joins the rows it lets pass with tids,
+    so that more tids than bits cost shuffle, not rows.
+    """
+    place = f"tid & {SIEVE - 1}L"
+    words = tids.select(F.expr(f"({place}) DIV 64").alias("word"), F.expr(f"shiftleft(1L, cast(({place}) % 64 AS int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(SIEVE // 64, dtype=np.uint64)
+    bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def may_hold(tid: pd.Series) -> pd.Series:
+        at = tid.to_numpy().view(np.uint64) & np.uint64(SIEVE - 1)
+        return pd.Series((bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1)
+
+    return may_hold(F.expr(TID))
+
+
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
     """Different shingles of a text's lower-cased words as 64-bit hashes, in order; fewer words make one shingle."""
     words = text.lower().split()
@@ -266,8 +289,9 @@ def _similar_classes(docs: DataFrame, width: int, similarity: float, chunk: int
     sizes = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("tid").alias("lead"), F.expr("bit_xor(xxhash64(tid))").alias("members")).filter("n > 1")
     sizes = sizes.groupBy("n", "lead", "members").agg(F.min("key").alias("key"))  # bands with the same texts count once
     shared = materialize(nodes.join(sizes.drop("members"), "key"), "near-shared")
-    each = held.groupBy("tid").agg(F.first("text").alias("text"))  # before the join, as one text may be that of very many rows
-    wanted = each.join(materialize(shared.select("tid").distinct(), "near-tids").hint("merge"), "tid")
+    tids = materialize(shared.select("tid").distinct(), "near-tids")
+    each = held.filter(sieve(tids)).groupBy("tid").agg(F.first("text").alias("text"))  # before the join, as one text may be that of very many rows
+    wanted = each.join(tids.hint("merge"), "tid")
     texts = materialize(wanted.mapInArrow(sets, "tid long, shingles binary"), "near-sets")
 
     # first each text meets the least of its band; of very many, in chunks
@@ -307,17 +331,21 @@ def keep_one(docs: DataFrame, width: int = 3, similarity: float | None = None) -
     Without a similarity the components are op4's; with one, two texts link if their shingles of width words have it (Jaccard).
     Rows that share a doc_id but not a text are documents of their own. Of rows with the same doc_id and text the one
     whose columns come first as JSON stays. The documents that go are far fewer than those that stay, so it is their ids
-    that docs are joined with. The joins with texts merge at every size, as those ids grow with the documents.
+    that docs are joined with. The joins with texts merge at every size, as those ids grow with the documents; rows that
+    the sieve of the ids rules out take no part in them.
     """
     found = materialize((_print_classes(docs) if similarity is None else _similar_classes(docs, width, similarity)).groupBy("doc_id", "tid", "component_id").count(), "simhash-classes")
     least = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "tid")).alias("least"))
     gone = found.join(least, "component_id").filter("doc_id <> least.doc_id OR tid <> least.tid OR count > 1")
     gone = materialize(gone.select("doc_id", "tid", F.expr("doc_id = least.doc_id AND tid = least.tid").alias("stays")), "simhash-gone")
-    out = docs.join(gone.hint("merge"), (docs["doc_id"] == gone["doc_id"]) & (F.expr(TID) == gone["tid"]), "left_anti").select(*docs.columns)
+    may_go = sieve(gone)
+    some = docs.filter(may_go)
+    out = some.join(gone.hint("merge"), (some["doc_id"] == gone["doc_id"]) & (F.expr(TID) == gone["tid"]), "left_anti").select(*docs.columns)
+    out = docs.filter(~may_go).union(out)
     again = materialize(gone.filter("stays").select(F.col("doc_id").alias("same_id"), F.col("tid").alias("same_tid")), "simhash-again")
     if not again.take(1):
         return out
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("same_id"), F.expr(TID).alias("same_tid"))
+    rows = some.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("same_id"), F.expr(TID).alias("same_tid"))
     first = rows.join(again.hint("merge"), ["same_id", "same_tid"], "left_semi").groupBy("same_id", "same_tid").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return out.union(first.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)))
 
