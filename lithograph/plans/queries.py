@@ -43,6 +43,10 @@ def micro(px: Column) -> Column:
     return csv(F.transform(px, lambda x: F.round(x * 1000000).cast("bigint")))
 
 
+def milli(px: Column) -> Column:
+    return csv(F.transform(px, lambda x: F.round(x.cast("double") * 1000).cast("bigint")))
+
+
 def _path(x: Fixtures, name: str) -> str:
     import uuid
 
@@ -468,12 +472,15 @@ def _(x):
     return evaluation.silhouette(x.truth, "pred").select(r6("silhouette").alias("silhouette"))
 
 
-@query("A14_silhouette_squared")
+SQUARED = SILHOUETTE.format(l="pred").replace("sum(sqrt(", "sum((")
+
+
+@query("A14_silhouette_squared", f"WITH {SQUARED} SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM p")
 def _(x):
     from pyspark.ml.functions import array_to_vector
 
     rows = x.truth.select("id", "pred", array_to_vector(F.array("x1", "x2")).alias("features"))
-    return x.spark.createDataFrame([(evaluation.silhouette_squared(rows, "pred"),)], "silhouette double")
+    return x.spark.createDataFrame([(evaluation.silhouette_squared(rows, "pred"),)], "silhouette double").select(r6("silhouette").alias("silhouette"))
 
 
 CENTROIDS = f"""{ALIGN}, k AS (SELECT g.gt, g1, g2, p1, p2 FROM (SELECT gt, avg(x1) AS g1, avg(x2) AS g2 FROM truth GROUP BY gt) g JOIN aligned a ON a.gt = g.gt
@@ -710,21 +717,42 @@ def _(x):
     return x.pairs.select("name", csv(E.abs_diff(F.col("a"), F.col("b"))).alias("d"))
 
 
-@query("E4_aspect_fix")
+def _bilinear(h: str) -> str:
+    """SQL for the thousandths of an 8 x 8 chip px at h x h or, of the same width, h x 8 pixels."""
+    at = {i: f"(({i} + 0.5::DOUBLE) * (8.0::DOUBLE / {n}) - 0.5::DOUBLE)" for i, n in (("i", h), ("j", "8" if h == "h" else h))}
+    low, high = ({i: f"cast(least(greatest(floor({c}) + {d}, 0), 7) AS int)" for i, c in at.items()} for d in (0, 1))
+    part = {i: f"({c} - floor({c}))" for i, c in at.items()}
+    pixel = lambda r, c: f"px[{r['i']} * 8 + {c['j']} + 1]"
+    across = lambda r: f"({pixel(r, low)} * (1 - {part['j']}) + {pixel(r, high)} * {part['j']})"
+    value = f"cast(round(cast(cast({across(low)} * (1 - {part['i']}) + {across(high)} * {part['i']} AS float) AS double) * 1000) AS bigint)"
+    return f"flatten(list_transform(range({h}), lambda i: list_transform(range({'8' if h == 'h' else h}), lambda j: {value})))"
+
+
+@query("E4_aspect_fix", f"WITH t AS (SELECT id, px, greatest(8, cast(floor(8 / cos(radians(cast(id % 60 AS double)))) AS int)) AS h FROM chips) SELECT id, h, 8 AS w, CSV({_bilinear('h')}) AS px FROM t")
 def _(x):
     lat = (F.col("id") % 60).cast("double")
-    fixed = x.chips.select("id", "w", resample.aspect_height(F.col("h"), lat).alias("h"), resample.aspect_fix(*_args(), lat).alias("px"))
-    return fixed.select("id", "h", "w", F.size("px").alias("n_px"), F.array_min("px").alias("lo"), F.array_max("px").alias("hi"))
+    return x.chips.select("id", resample.aspect_height(F.col("h"), lat).alias("h"), "w", milli(resample.aspect_fix(*_args(), lat)).alias("px"))
+
+
+# the cubic weights of the 16 output places over the 8 input places, those outside left out
+CUBIC = """d AS (SELECT o, k, abs(k - ((o + 0.5::DOUBLE) / 2 - 0.5::DOUBLE)) AS d FROM range(16) t(o), range(8) s(k)),
+ raw AS (SELECT o, k, CASE WHEN d <= 1 THEN 1.5::DOUBLE * d * d * d - 2.5::DOUBLE * d * d + 1 WHEN d < 2 THEN -0.5::DOUBLE * d * d * d + 2.5::DOUBLE * d * d - 4 * d + 2 ELSE 0 END AS w FROM d),
+ weights AS (SELECT o, k, w / sum(w) OVER (PARTITION BY o) AS w FROM raw),
+ cell AS (SELECT id, (i - 1) // 8 AS r, (i - 1) % 8 AS c, v FROM (SELECT id, unnest(px) AS v, generate_subscripts(px, 1) AS i FROM chips) t),
+ tall AS (SELECT id, o AS r, c, sum(v * w) AS v FROM cell JOIN weights ON k = r GROUP BY ALL),
+ big AS (SELECT id, r, o AS c, cast(sum(v * w) AS float) AS v FROM tall JOIN weights ON k = c GROUP BY ALL)"""
 
 
-@query("E5_resize_bicubic")
+@query("E5_resize_bicubic", f"WITH {CUBIC} SELECT id, string_agg(cast(round(cast(v AS double) * 1000) AS bigint), ',' ORDER BY r, c) AS px FROM big GROUP BY id")
 def _(x):
-    return x.chips.select("id", resample.resize(*_args(), 16, 16, "bicubic", True).alias("px"))
+    return x.chips.select("id", milli(resample.resize(*_args(), 16, 16, "bicubic", True)).alias("px"))
 
 
-@query("E6_resize_default")
+@query("E6_resize_default", f"WITH t AS (SELECT id, {_bilinear('224')} AS px FROM chips) SELECT id, len(px)::INT AS n_px, list_min(px) AS lo, list_max(px) AS hi, list_sum(px)::BIGINT AS total FROM t")
 def _(x):
-    return x.chips.select("id", resample.resize(*_args(), 224, 224, "bilinear", True).alias("px")).select("id", F.size("px").alias("n_px"), F.array_min("px").alias("lo"), F.array_max("px").alias("hi"))
+    chips = x.chips.select("id", resample.resize(*_args(), 224, 224, "bilinear", True).alias("px"))
+    chips = chips.select("id", F.transform("px", lambda v: F.round(v.cast("double") * 1000).cast("bigint")).alias("px"))
+    return chips.select("id", F.size("px").alias("n_px"), F.array_min("px").alias("lo"), F.array_max("px").alias("hi"), F.aggregate("px", F.lit(0).cast("bigint"), lambda s, v: s + v).alias("total"))
 
 
 @query("E18_add_noise")
@@ -732,9 +760,15 @@ def _(x):
     return x.chips.select("id", resample.add_noise(E.to_unit(F.col("px")), F.col("id")).alias("px"))
 
 
-@query("E19_erase_random")
+_COINS = ", ".join(f"('0x' || substr(md5(concat(cast(id AS varchar(20)), '-42/{k}')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u{k}" for k in range(5))
+
+
+@query("E19_erase_random", f"""WITH u AS (SELECT id, px, {_COINS} FROM chips), s AS (SELECT *, (u1 * 0.04::DOUBLE + 0.02::DOUBLE) * 64 AS cells, exp(u2 * (ln(2.0::DOUBLE) - ln(0.5::DOUBLE)) + ln(0.5::DOUBLE)) AS aspect FROM u),
+ b AS (SELECT *, cast(least(greatest(round(sqrt(cells * aspect)), 1), 8) AS int) AS high, cast(least(greatest(round(sqrt(cells / aspect)), 1), 8) AS int) AS wide FROM s),
+ t AS (SELECT *, cast(floor(u3 * (9 - high)) AS int) AS y, cast(floor(u4 * (9 - wide)) AS int) AS x FROM b)
+ SELECT id, CSV(CASE WHEN u0 < 0.2 THEN list_transform(range(64), lambda i: CASE WHEN i // 8 >= y AND i // 8 < y + high AND i % 8 >= x AND i % 8 < x + wide THEN 0 ELSE px[i + 1] END) ELSE px END) AS px FROM t""")
 def _(x):
-    return x.chips.select("id", E.erase_random(*_args(), F.col("id")).alias("px"))
+    return x.chips.select("id", csv(F.transform(E.erase_random(*_args(), F.col("id")), lambda v: v.cast("int"))).alias("px"))
 
 
 @query("E20_roll_half", "SELECT tile_row, (tile_col + 10) % 20 AS tile_col, CSV(px) AS px FROM tiles")
@@ -749,9 +783,13 @@ def _(x):
     return raster.highpass(x.tiles, 8, radius=1).select("tile_row", "tile_col", csv(F.col("px")).alias("px"))
 
 
-@query("E21_highpass_gauss")
+@query("E21_highpass_gauss", f"""WITH {PIXELS}, o AS (SELECT d, exp(-(d * d) / 8.0::DOUBLE) AS w FROM range(-6, 7) t(d)),
+ down AS (SELECT p.r + o.d AS r, p.c, sum(p.v * o.w) AS v, sum(o.w) AS w FROM px p JOIN o ON true GROUP BY ALL),
+ mean AS (SELECT x.r, x.c + o.d AS c, sum(x.v * o.w) AS v, sum(x.w * o.w) AS w FROM down x JOIN o ON true GROUP BY ALL)
+ SELECT p.r // 8 AS tile_row, p.c // 8 AS tile_col, string_agg(cast(floor(least(greatest(p.v - b.v / b.w + 128.0::DOUBLE, 0), 255)) AS int), ',' ORDER BY p.r, p.c) AS px
+ FROM px p JOIN mean b ON b.r = p.r AND b.c = p.c GROUP BY 1, 2""")
 def _(x):
-    return raster.highpass(x.tiles, 8, sigma=2.0)
+    return raster.highpass(x.tiles, 8, sigma=2.0).select("tile_row", "tile_col", csv(F.col("px")).alias("px"))
 
 
 # --- learning ----------------------------------------------------------------------------------------------------------
@@ -808,9 +846,11 @@ def _(x):
     return learning.encode(x.chips, learning.fit_pca(x.chips, "px", 8))
 
 
-@query("M14_reconstruct")
+@query("M14_reconstruct", "SELECT id, CSV(list_transform(px, lambda v: v * 1000)) AS x, CSV(list_transform(px, lambda v: v * 1000)) AS xhat FROM chips")
 def _(x):
-    return learning.reconstruct(x.chips, learning.fit_pca(x.chips, "px", 64))
+    """With as many components as dimensions, what comes back is what went in."""
+    found = learning.reconstruct(x.chips, learning.fit_pca(x.chips, "px", 64))
+    return found.select("id", milli(F.col("x")).alias("x"), milli(F.col("xhat")).alias("xhat"))
 
 
 @query("M15_cluster_and_assign")
