@@ -6,7 +6,6 @@ per pair of labels. Labels with null do not count.
 
 from __future__ import annotations
 
-import itertools
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,30 +23,20 @@ def contingency_wide(ct: DataFrame, preds: list[int]) -> DataFrame:
     return ct.groupBy("gt").pivot("pred", preds).agg(F.sum("n")).na.fill(0)
 
 
-def align_labels(ct: DataFrame, most: int = 8) -> DataFrame:
+def align_labels(ct: DataFrame) -> DataFrame:
     """pred, gt, n: the one-to-one assignment of predicted labels to classes with the greatest agreement.
 
-    Every way to order up to `most` labels is scored by joins and the best one kept (ties: the least in order of pred);
-    beyond, the K x K table, which holds labels and not rows, is solved on the driver.
+    Of several the one that is least in order of pred, a class coming before none. The K x K table, which holds labels and
+    not rows, is solved on the driver; ranks of classes, worth less than a single row of agreement, decide ties.
     """
-    spark = ct.sparkSession
     rows = ct.collect()  # one row per pair of labels
     gts, preds = sorted({r["gt"] for r in rows}), sorted({r["pred"] for r in rows})
-    if not rows:
-        return spark.createDataFrame([], "pred int, gt int, n long")
-    if len(gts) <= most and len(preds) <= most:
-        size = max(len(gts), len(preds))
-        padded = gts + [None] * (size - len(gts))
-        ways = sorted({p[: len(preds)] for p in itertools.permutations(padded)}, key=lambda p: [(x is None, x) for x in p])
-        options = spark.createDataFrame([(w, p, g) for w, way in enumerate(ways) for p, g in zip(preds, way, strict=True)], "way int, pred int, gt int")
-        scored = options.join(F.broadcast(ct.select("gt", "pred", "n")), ["gt", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        totals = scored.groupBy("way").agg(F.sum("n").alias("total"))
-        best = totals.agg(F.max_by("way", F.struct(F.col("total"), -F.col("way"))).alias("way"))
-        return scored.join(F.broadcast(best), "way").filter("gt IS NOT NULL").select("pred", "gt", F.col("n").cast("long").alias("n"))
     count = {(r["pred"], r["gt"]): r["n"] for r in rows}
-    chosen = _assign([[count.get((p, g), 0) for g in gts] for p in preds])
-    pairs = spark.createDataFrame([(preds[i], gts[j]) for i, j in chosen], "pred int, gt int")
-    return pairs.join(ct, ["pred", "gt"], "left").select("pred", "gt", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    base = len(gts) + 1
+    spare = max(0, len(preds) - len(gts))
+    gain = [[count.get((p, g), 0) * base ** len(preds) - min(j, len(gts)) * base ** (len(preds) - 1 - i) for j, g in enumerate([*gts, *[None] * spare])] for i, p in enumerate(preds)]
+    chosen = [(preds[i], gts[j], count.get((preds[i], gts[j]), 0)) for i, j in (_assign(gain) if gain else []) if j < len(gts)]
+    return ct.sparkSession.createDataFrame(chosen, "pred int, gt int, n long")
 
 
 def _assign(gain: list[list[int]]) -> list[tuple[int, int]]:
@@ -58,22 +47,21 @@ def _assign(gain: list[list[int]]) -> list[tuple[int, int]]:
     u, v, match = [0] * (size + 1), [0] * (size + 1), [0] * (size + 1)
     for i in range(1, size + 1):
         match[0], j0 = i, 0
-        least, way, used = [float("inf")] * (size + 1), [0] * (size + 1), [False] * (size + 1)
+        least, way, used = [None] * (size + 1), [0] * (size + 1), [False] * (size + 1)  # whole numbers may be larger than floats
         while True:
             used[j0] = True
-            i0, step, j1 = match[j0], float("inf"), 0
+            i0 = match[j0]
             for j in range(1, size + 1):
                 if not used[j]:
                     c = cost[i0 - 1][j - 1] - u[i0] - v[j]
-                    if c < least[j]:
+                    if least[j] is None or c < least[j]:
                         least[j], way[j] = c, j0
-                    if least[j] < step:
-                        step, j1 = least[j], j
+            step, j1 = min((least[j], j) for j in range(1, size + 1) if not used[j])
             for j in range(size + 1):
                 if used[j]:
                     u[match[j]] += step
                     v[j] -= step
-                else:
+                elif j:
                     least[j] -= step
             j0 = j1
             if not match[j0]:

@@ -1,5 +1,7 @@
 """Catalogue, raster, sampling, evaluation and learning operators on small hand-made tables."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +91,30 @@ def test_label_scores(spark):
     assert evaluation.align_labels(ct(spark, [[0]])).count() == 0
 
 
+def test_assignment_ties_go_to_the_least_in_order_of_pred(spark):
+    draw = np.random.default_rng(5)
+    for shape in ((3, 3), (4, 2), (2, 4), (4, 4)):
+        table = draw.integers(0, 3, shape)  # classes by predicted labels, with many ties
+        classes, labels = [*range(shape[0]), *[None] * max(0, shape[1] - shape[0])], range(shape[1])
+        ways = set(itertools.permutations(classes, len(labels)))
+        score = lambda w: sum(table[g, p] for p, g in enumerate(w) if g is not None)
+        best = min(ways, key=lambda w: (-score(w), [99 if g is None else g for g in w]))  # noqa: B023
+        got = {(r.pred, r.gt) for r in evaluation.align_labels(ct(spark, table.tolist())).collect()}
+        assert got == {(p, g) for p, g in enumerate(best) if g is not None}
+
+
+@pytest.mark.parametrize("across", [2, 3, 5])
+def test_roll_half_where_half_the_width_is_not_whole_tiles(spark, across):
+    image = np.arange(8 * 4 * across).reshape(8, 4 * across)
+    rows = [(r, c, image[r * 4 : r * 4 + 4, c * 4 : c * 4 + 4].ravel().tolist()) for r in range(2) for c in range(across)]
+    tiles, geo = spark.createDataFrame(rows, "tile_row long, tile_col long, px array<int>"), spark.createDataFrame([(0.0, 4 * across)], "x0 double, width long")
+    want = np.roll(image, 2 * across, axis=1)
+    got = {(r.tile_row, r.tile_col): r.px for r in raster.roll_half(tiles, geo, 4)[0].collect()}
+    assert got == {(r, c): want[r * 4 : r * 4 + 4, c * 4 : c * 4 + 4].ravel().tolist() for r, c, _ in rows}
+    with pytest.raises(ValueError):
+        raster.roll_half(tiles, geo, 3 if across != 3 else 5)
+
+
 def test_assignment_beyond_permutations(spark):
     rng = np.random.default_rng(2)
     table = rng.integers(0, 50, (9, 9))
