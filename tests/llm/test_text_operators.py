@@ -279,6 +279,15 @@ def test_simhash_against_all_pairs(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(docs.union(docs)).count() == len(set(want.values()))
 
 
+def test_sieve_holds_every_id_and_few_others(spark):
+    docs = spark.range(20000).selectExpr("id", "concat('text ', id) AS text").union(spark.createDataFrame([(-1, None)], "id long, text string"))
+    known = docs.filter("id % 10 = 0 OR id < 0").selectExpr(f"{simhash.TID} AS tid")
+    passed = {r.id for r in docs.filter(simhash.sieve(known)).collect()}
+    wanted = {-1, *range(0, 20000, 10)}
+    assert wanted <= passed and len(passed) < 1.01 * len(wanted)
+    assert not docs.filter(simhash.sieve(known.limit(0))).take(1)
+
+
 def test_keep_one_holds_rows_without_id_and_texts_of_a_shared_id(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
     rows = [(1, a, 2), (1, a, 1), (1, b, 3), (2, a, 4), (3, c, 5), (3, b, 6), (None, d, 7), (None, a, 8), (None, None, 9)]
