@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lithograph.llm.filter_audit import OP13_SQL, op13_filter_audit
 from lithograph.llm.html_text import op6_html_extraction
 from lithograph.llm.licenses import op8_licenses
 from lithograph.llm.mixing import OP3_SQL, op3_mixing
@@ -10,6 +11,7 @@ from lithograph.llm.ppm import op5_language_model
 from lithograph.llm.quality_classifier import op9_quality_classifier
 from lithograph.llm.quality_rules import op2_quality_rules
 from lithograph.llm.repeats import op10_suffix_array_dedup
+from lithograph.llm.sharding import OP11_SQL, op11_sharding
 from lithograph.llm.simhash import op4_simhash
 from lithograph.llm.topk import OP1_SQL, op1_topk
 
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_sharding": op11_sharding,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-SQL = {"op1_topk": OP1_SQL, "op3_mixing": OP3_SQL}
+SQL = {"op1_topk": OP1_SQL, "op3_mixing": OP3_SQL, "op11_sharding": OP11_SQL, "op13_filter_audit": OP13_SQL}
