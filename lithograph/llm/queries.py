@@ -7,6 +7,7 @@ from lithograph.llm.html_text import op6_html_extraction
 from lithograph.llm.licenses import op8_licenses
 from lithograph.llm.mixing import OP3_SQL, op3_mixing
 from lithograph.llm.packing import op7_packing
+from lithograph.llm.periodic_runs import op12_periodic_runs
 from lithograph.llm.ppm import op5_language_model
 from lithograph.llm.quality_classifier import op9_quality_classifier
 from lithograph.llm.quality_rules import op2_quality_rules
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_sharding": op11_sharding,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_filter_audit": op13_filter_audit,
 }
 
