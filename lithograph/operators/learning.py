@@ -6,31 +6,29 @@ Latents are (id, embedding array). Models hold d x d or k x d numbers at most; r
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH
+from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithograph.operators.graph import connected_components
+from lithograph.operators.pca import PcaModel, fit_pca, moments, pca_reconstruct, transform_pca
 from lithograph.operators.sampling import dense_index
 from lithograph.session import materialize
 
 METHODS = ("kmeans", "gmm", "spectral", "agglomerative", "bisecting", "density")
 TECHNIQUES = ("pca",)
-MOST_DIMS = 4096
 
 
 def scale_stats(df: DataFrame, col: str) -> DataFrame:
     """One row: mean and population std of each dimension, as arrays."""
-    per = df.select(F.posexplode(col).alias("dim", "x")).groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("m"), F.stddev_pop(F.col("x").cast("double")).alias("s"))
-    parts = F.array_sort(F.collect_list(F.struct("dim", "m", "s")))
-    return per.agg(parts.alias("p")).select(F.transform("p", lambda x: x["m"]).alias("mean"), F.transform("p", lambda x: x["s"]).alias("std"))
+    _, mean, std = moments(df, col)
+    return df.sparkSession.createDataFrame([(mean.tolist(), std.tolist())], "mean array<double>, std array<double>")
 
 
 def standard_scale(df: DataFrame, col: str, stats: DataFrame | None = None) -> DataFrame:
@@ -45,48 +43,6 @@ def inverse_scale(df: DataFrame, col: str, stats: DataFrame) -> DataFrame:
     return joined.withColumn(col, F.zip_with(F.zip_with(col, "std", lambda x, s: x * s), "mean", lambda x, m: x + m)).drop("mean", "std")
 
 
-@dataclass
-class PcaModel:
-    """Loadings (d, k), the mean and scale of each input dimension, and the share of variance of each component."""
-
-    loadings: np.ndarray
-    mean: np.ndarray
-    std: np.ndarray
-    explained: np.ndarray
-
-    def keep(self, k: int) -> PcaModel:
-        return PcaModel(self.loadings[:, :k], self.mean, self.std, self.explained[:k])
-
-
-def _dot(x: Column, weights: list[float]) -> Column:
-    return F.aggregate(F.zip_with(x, F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
-
-
-def fit_pca(df: DataFrame, col: str, k: int, scale: bool = False) -> PcaModel:
-    """PCA on centred (and, if asked, scaled) vectors; each component's largest loading is positive."""
-    stats = scale_stats(df, col).first()
-    if len(stats["mean"] or ()) > MOST_DIMS:
-        raise ValueError(f"PCA over {len(stats['mean'])} dimensions; its d x d matrix is solved on the driver, so resize or pool to {MOST_DIMS} first")
-    mean, std = np.array(stats["mean"]), np.array(stats["std"]) if scale else np.ones(len(stats["mean"]))
-    std = np.where(std > 0, std, 1.0)
-    ready = df.select(array_to_vector(F.zip_with(F.zip_with(col, F.array(*map(F.lit, mean.tolist())), lambda x, m: x.cast("double") - m), F.array(*map(F.lit, std.tolist())), lambda x, s: x / s)).alias("v"))
-    model = PCA(k=min(k, len(mean)), inputCol="v", outputCol="o").fit(ready)
-    loadings = model.pc.toArray()
-    loadings = loadings * np.where(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])] < 0, -1.0, 1.0)
-    return PcaModel(loadings, mean, std, model.explainedVariance.toArray())
-
-
-def transform_pca(df: DataFrame, col: str, model: PcaModel, out: str = "pcs") -> DataFrame:
-    """df with the component scores as an array."""
-
-    @F.pandas_udf("array<double>")
-    def run(x: pd.Series) -> pd.Series:
-        scores = (np.stack(x.to_numpy()).astype(float) - model.mean) / model.std @ model.loadings if len(x) else np.zeros((0, 0))
-        return pd.Series(list(scores))
-
-    return df.withColumn(out, run(col))
-
-
 def pca_2d(df: DataFrame, col: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """(id, x1, x2) and (pc, ratio)."""
     model = fit_pca(df, col, 2)
@@ -100,23 +56,9 @@ def explained_variance(df: DataFrame, model: PcaModel) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "pc int, ratio double, cumulative double")
 
 
-def pca_variance(df: DataFrame, col: str = "embedding", share: float = 0.95, most: int = 4096) -> PcaModel:
+def pca_variance(df: DataFrame, col: str = "embedding", share: float = 0.95) -> PcaModel:
     """The fewest components that keep a share of the variance."""
-    d = df.agg(F.max(F.size(col))).first()[0]
-    if d > most:
-        raise ValueError(f"{d} dimensions: PCA solves a d x d matrix on the driver, for at most {most}")
-    model = fit_pca(df, col, d)
-    return model.keep(int(np.searchsorted(np.cumsum(model.explained), share - 1e-12) + 1))
-
-
-def pca_reconstruct(df: DataFrame, model: PcaModel, col: str = "pcs", out: str = "reconstructed") -> DataFrame:
-    """df with vectors rebuilt from component scores."""
-
-    @F.pandas_udf("array<double>")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series(list((np.stack(x.to_numpy()) @ model.loadings.T) * model.std + model.mean)) if len(x) else pd.Series([], dtype=object)
-
-    return df.withColumn(out, run(col))
+    return fit_pca(df, col, share=share)
 
 
 def cluster(df: DataFrame, k: int = 4, method: str = "kmeans", col: str = "embedding", seed: int = 42, **options) -> DataFrame:

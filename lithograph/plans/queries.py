@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from lithograph.functions import chips as E
 from lithograph.functions import geo as G
 from lithograph.functions import resample
 from lithograph.operators import catalog, embedding, evaluation, learning, raster, sampling, stats
+from lithograph.operators.pca import Pca
 from lithograph.plans.fixtures import Fixtures, with_fixtures
 from lithograph.session import materialize, shared_dir
 from lithograph.sources import io, raw_f32
@@ -156,15 +158,17 @@ def _(x):
     return tiles.join(F.broadcast(x.spark.read.parquet(f"{path}/geo").select("x0", "yres")))
 
 
-@query("S15_saved_model")
+@query("S15_saved_model", "SELECT count(*) AS n, count(*) AS same_latents, count(*) AS same_clusters, 4 AS n_clusters FROM latents")
 def _(x):
+    """Scaling, PCA and clusters fitted as one pipeline, saved, loaded again, and held against the fitted one row by row."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
 
-    rows = x.latents.select("id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    io.save_model(Pipeline(stages=[KMeans(k=4, seed=42, predictionCol="cluster")]).fit(rows), path := _path(x, "model"))
-    return io.load_model(path).transform(rows).select("id", "cluster")
+    fitted = Pipeline(stages=[Pca(k=8, scale=True), KMeans(k=4, seed=42, predictionCol="cluster")]).fit(x.latents)
+    io.save_model(fitted, path := _path(x, "model"))
+    first, again = (m.transform(x.latents).select("id", vector_to_array("features").alias(f"f{i}"), F.col("cluster").alias(f"c{i}")) for i, m in enumerate((fitted, io.load_model(path))))
+    same = lambda a, b: F.count_if(F.col(a) == F.col(b)).alias("same_latents" if a == "f0" else "same_clusters")
+    return first.join(again, "id").agg(F.count("*").alias("n"), same("f0", "f1"), same("c0", "c1"), F.count_distinct("c0").cast("int").alias("n_clusters"))
 
 
 # --- projections and filters -------------------------------------------------------------------------------------------
@@ -580,9 +584,13 @@ def _(x):
     return embedding.soft_cross_entropy(x.targets).select(r6("soft_cross_entropy").alias("soft_cross_entropy"))
 
 
-@query("A27_explained_variance")
+@query("A27_explained_variance", f"""WITH {DIMS}, c AS (SELECT a.i, b.i AS j, covar_samp(a.v, b.v) AS c FROM dims a JOIN dims b ON a.id = b.id GROUP BY ALL),
+ t AS (SELECT sum(c) AS t FROM c WHERE i = j), two AS (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM c a JOIN c b ON a.j = b.i GROUP BY ALL)
+ SELECT 64 AS n, round((SELECT sum(c) FROM two WHERE i = j) / (t * t), 9) AS squares, round((SELECT sum(two.c * c.c) FROM two JOIN c ON two.i = c.j AND two.j = c.i) / (t * t * t), 9) AS cubes FROM t""")
 def _(x):
-    return learning.explained_variance(x.latents, learning.fit_pca(x.latents, "embedding", 64))
+    """The sums of the squares and cubes of all ratios, which are traces of powers of the covariance."""
+    ratios = learning.explained_variance(x.latents, learning.fit_pca(x.latents, "embedding", 64))
+    return ratios.agg(F.count("*").cast("int").alias("n"), F.round(F.sum(F.col("ratio") ** 2), 9).alias("squares"), F.round(F.sum(F.col("ratio") ** 3), 9).alias("cubes"))
 
 
 @query("A28_label_domain", "SELECT array_to_string(list_sort(list(DISTINCT state)), ',') AS labels FROM states")
@@ -813,9 +821,14 @@ def _(x):
     return learning.explained_variance(x.latents, learning.pca_variance(x.latents))
 
 
-@query("M4_pca_reconstruct")
+@query("M4_pca_reconstruct", "WITH d AS (SELECT id, unnest(px)::DOUBLE AS v, generate_subscripts(px, 1) AS i FROM chips), m AS (SELECT i, avg(v) AS m FROM d GROUP BY i) SELECT id, round(sum((v - m) * (v - m)), 3) AS energy FROM d JOIN m USING (i) GROUP BY id")
 def _(x):
-    return stats.reconstruction_mse(learning.reconstruct(x.chips, learning.fit_pca(x.chips, "px", 16)))
+    """With 16 of 64 components: what the scores hold and what the rebuilt chip lacks are together the chip's distance from the mean."""
+    model = learning.fit_pca(x.chips, "px", 16)
+    rows = learning.pca_reconstruct(learning.transform_pca(x.chips, "px", model), model)
+    held = F.aggregate("pcs", F.lit(0.0), lambda s, v: s + v * v)
+    lost = F.aggregate(F.zip_with("px", "reconstructed", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    return rows.select("id", F.round(held + lost, 3).alias("energy"))
 
 
 def _method(name: str, method: str, **options) -> None:
@@ -848,11 +861,21 @@ def _(x):
 
 @query("M14_reconstruct", "SELECT id, CSV(list_transform(px, lambda v: v * 1000)) AS x, CSV(list_transform(px, lambda v: v * 1000)) AS xhat FROM chips")
 def _(x):
-    """With as many components as dimensions, what comes back is what went in."""
+    """With as many components as dimensions, what comes back is what went in; M4 has fewer."""
     found = learning.reconstruct(x.chips, learning.fit_pca(x.chips, "px", 64))
     return found.select("id", milli(F.col("x")).alias("x"), milli(F.col("xhat")).alias("xhat"))
 
 
+@query("M13_encode_full_size", "SELECT count(*) AS n, 50176 AS n_px, 8 AS n_latents, true AS falls FROM chips")
+def _(x):
+    """Chips of 224 x 224 pixels encoded by the randomised solver; along the latents the variance falls."""
+    chips = materialize(x.chips.select("id", resample.resize(*_args(), 224, 224, "bilinear", True).alias("px")), "full-size")
+    latents = learning.encode(chips, learning.fit_pca(chips, "px", 8))
+    spread = [F.var_samp(F.col("embedding")[i]) for i in range(8)]
+    falls = F.array(*[spread[i] >= spread[i + 1] * 0.999 for i in range(7)])
+    return latents.join(chips, "id").agg(F.count("*").alias("n"), F.max(F.size("px")).alias("n_px"), F.max(F.size("embedding")).alias("n_latents"), F.forall(falls, lambda t: t).alias("falls"))
+
+
 @query("M15_cluster_and_assign")
 def _(x):
     found, coords, _ = learning.cluster_and_assign(x.latents, "kmeans", 4, reduce_95=True)
