@@ -9,16 +9,19 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithograph.operators.graph import connected_components
+from lithograph.operators.hierarchy import density_hierarchy
+from lithograph.operators.neighbours import best_of, exact_pairs, knn_edges, lsh_pairs, pairs_within
 from lithograph.operators.pca import PcaModel, fit_pca, moments, pca_reconstruct, transform_pca
 from lithograph.operators.sampling import dense_index
+from lithograph.operators.spectral import spectral_clusters
+from lithograph.operators.ward import ward_clusters
 from lithograph.session import materialize
 
 METHODS = ("kmeans", "gmm", "spectral", "agglomerative", "bisecting", "density")
@@ -66,94 +69,36 @@ def cluster(df: DataFrame, k: int = 4, method: str = "kmeans", col: str = "embed
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; one of {', '.join(METHODS)}")
     if method == "density":
-        return density_clusters(df, col=col, **options)
+        return density_cut(df, col=col, **options) if "radius" in options or options.get("mode") == "lsh" else density_hierarchy(df, col=col, **options)
+    if method == "spectral":
+        return spectral_clusters(df, k, col, seed=seed, **options)
+    if method == "agglomerative":
+        return ward_clusters(df, k, col, seed=seed, **options)
     rows = df.select("id", col, array_to_vector(F.transform(col, lambda x: x.cast("double"))).alias("features"))
     if method in ("kmeans", "bisecting"):
         made = (KMeans if method == "kmeans" else BisectingKMeans)(k=k, seed=seed, predictionCol="cluster").fit(rows)
         return made.transform(rows).select("id", "cluster")
-    if method == "gmm":
-        reduced = transform_pca(df, col, fit_pca(df, col, options.get("components", 10)))  # full covariances need few dimensions
-        rows = reduced.select("id", array_to_vector("pcs").alias("features"))
-        return GaussianMixture(k=k, seed=seed, predictionCol="cluster").fit(rows).transform(rows).select("id", "cluster")
-    if method == "spectral":
-        edges = knn_edges(df, options.pop("neighbours", 10), col=col, **options)
-        both = edges.select(F.least("id", "neighbour").alias("src"), F.greatest("id", "neighbour").alias("dst")).distinct().withColumn("weight", F.lit(1.0))
-        return PowerIterationClustering(k=k, maxIter=20, initMode="degree", weightCol="weight").assignClusters(both).select("id", "cluster")
-    return ward_clusters(rows, k, seed, options.get("micro", 200))
-
-
-def ward_clusters(rows: DataFrame, k: int, seed: int = 42, micro: int = 200) -> DataFrame:
-    """Ward's merges over at most `micro` KMeans cells: rows are summed up by cell on Spark, cells merged on the driver."""
-    fitted = KMeans(k=micro, seed=seed, predictionCol="cell").fit(rows)
-    cells = fitted.transform(rows).select("id", "cell", vector_to_array("features").alias("v"))
-    sizes = {r["cell"]: r["n"] for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    centres = [c for c in fitted.clusterCenters()]
-    groups = {c: ([c], sizes[c], centres[c]) for c in sizes}
-    ids = sorted(groups)
-    while len(ids) > k:
-        n = np.array([groups[i][1] for i in ids], dtype=float)
-        x = np.stack([groups[i][2] for i in ids])
-        d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) * (n[:, None] * n[None, :] / (n[:, None] + n[None, :]))
-        np.fill_diagonal(d, np.inf)
-        a, b = (ids[i] for i in divmod(int(d.argmin()), len(ids)))
-        (ca, na, xa), (cb, nb, xb) = groups[a], groups.pop(b)
-        groups[a] = (ca + cb, na + nb, (xa * na + xb * nb) / (na + nb))
-        ids.remove(b)
-    pairs = [(cell, i) for i, g in enumerate(ids) for cell in groups[g][0]]
-    mapping = rows.sparkSession.createDataFrame(pairs, "cell int, cluster int")
-    return cells.join(F.broadcast(mapping), "cell").select("id", "cluster")
-
-
-def _distance(a: str, b: str) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-
-
-def _block_pairs(df: DataFrame, col: str, blocks: int) -> DataFrame:
-    """Ordered pairs of different rows, met by pairs of blocks."""
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    left = df.select("id", F.col(col).alias("v"), own.alias("i")).withColumn("j", F.explode(every))
-    right = df.select(F.col("id").alias("neighbour"), F.col(col).alias("v2"), own.alias("j")).withColumn("i", F.explode(every))
-    return left.join(right, ["i", "j"]).filter("id <> neighbour").select("id", "neighbour", _distance("v", "v2").alias("distance"))
-
-
-def _lsh_pairs(df: DataFrame, col: str, radius: float, bucket: float, tables: int, seed: int) -> DataFrame:
-    """Ordered pairs of different rows within radius that share a bucket of random projections."""
-    rows = df.select("id", array_to_vector(F.transform(col, lambda x: x.cast("double"))).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
-    pairs = model.approxSimilarityJoin(rows, rows, radius, distCol="distance")
-    return pairs.select(F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("neighbour"), "distance").filter("id <> neighbour")
-
-
-def knn_edges(df: DataFrame, k: int, mode: str = "exact", col: str = "embedding", blocks: int = 8, bucket: float = 1.0, tables: int = 5, radius: float = 2.0, seed: int = 42) -> DataFrame:
-    """id, neighbour, distance, rank of the k nearest neighbours (ties to the smaller id).
-
-    exact compares all pairs, block by block, for reference; lsh joins by random projections within `radius`, which is
-    the way for many rows, and may miss some.
-    """
-    if mode not in ("exact", "lsh"):
-        raise ValueError(f"mode is exact or lsh, not {mode!r}")
-    pairs = _block_pairs(df, col, blocks) if mode == "exact" else _lsh_pairs(df, col, radius, bucket, tables, seed)
-    best = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    reduced = transform_pca(df, col, fit_pca(df, col, options.get("components", 10)))  # full covariances need few dimensions
+    rows = reduced.select("id", array_to_vector("pcs").alias("features"))
+    return GaussianMixture(k=k, seed=seed, predictionCol="cluster").fit(rows).transform(rows).select("id", "cluster")
 
 
-def density_clusters(df: DataFrame, col: str = "embedding", min_size: int = 10, min_samples: int = 10, radius: float | None = None, mode: str = "exact", bucket: float = 1.0, tables: int = 5, seed: int = 42) -> DataFrame:
+def density_cut(df: DataFrame, col: str = "embedding", min_size: int = 10, min_samples: int = 10, radius: float | None = None, mode: str = "exact", bucket: float = 1.0, tables: int = 5, seed: int = 42) -> DataFrame:
     """(id, cluster): core points have min_samples rows within radius (themselves included); cores within radius of each
     other join, other rows within radius of a core take the nearest one's cluster, and groups below min_size are noise (-1).
 
-    radius defaults to the median distance to the min_samples-th neighbour. mode is as for knn_edges; lsh needs a radius.
+    One cut at one radius, by default the median distance to the min_samples-th row; density_hierarchy looks at all. mode is exact
+    or lsh, which needs a radius.
     """
     if mode == "lsh":
         if radius is None:
             raise ValueError("lsh needs a radius")
-        pairs = materialize(_lsh_pairs(df, col, radius, bucket, tables, seed), "density-pairs")
+        pairs = materialize(lsh_pairs(df, col, radius, bucket, tables, seed), "density-pairs")
     else:
-        pairs = _block_pairs(df, col, 8)  # not written: only what lies within the radius is
-    if radius is None:
-        order = Window.partitionBy("id").orderBy("distance")
-        kth = pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") == max(1, min_samples - 1))
-        radius = kth.agg(F.percentile_approx("distance", 0.5)).first()[0] or 0.0
+        if radius is None:
+            kth = best_of(exact_pairs(df, col, max(1, min_samples - 1)), max(1, min_samples - 1)).groupBy("id").agg(F.max("distance").alias("d"))
+            radius = kth.agg(F.percentile_approx("d", 0.5)).first()[0] or 0.0
+        pairs = pairs_within(df, col, radius)
     near = materialize(pairs.filter(F.col("distance") <= radius), "density-near")
     cores = materialize(near.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") + 1 >= min_samples).select("id"), "density-cores")
     links = near.join(cores, "id").join(cores.withColumnRenamed("id", "neighbour"), "neighbour")

@@ -184,7 +184,7 @@ def _subspace(times_covariance, d: int, most: int, wanted: int, share: float | N
         for _ in range(2):
             product = product - held @ (held.T @ product)
         new, rest = np.linalg.qr(product)
-        new = new[:, np.abs(np.diag(rest)) > 1e-9 * max(values[0], 1e-300)][:, : max(0, most - held.shape[1])]
+        new = new[:, np.abs(np.diag(rest)) > 1e-9 * max(values[0], 1e-300)][:, : d - held.shape[1]]
         if not new.shape[1]:  # the rows span no more
             break
     return values, held @ turn

@@ -838,8 +838,10 @@ def _method(name: str, method: str, **options) -> None:
 _method("M5_kmeans", "kmeans")
 _method("M6_gmm", "gmm")
 _method("M7_spectral", "spectral")
-_method("M9_agglomerative", "agglomerative", micro=50)
+_method("M9_agglomerative", "agglomerative")
+_method("M9_agglomerative_cells", "agglomerative", micro=50)
 _method("M11_density", "density")
+_method("M11_density_cut", "density", radius=0.9)
 
 
 @query("M8_knn_edges", """WITH d AS (SELECT id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM latents),
@@ -849,6 +851,14 @@ def _(x):
     return learning.knn_edges(x.latents, 5).withColumn("distance", r6("distance"))
 
 
+@query("M8_knn_descent", "SELECT count(*) * 5 AS n, true AS nine_of_ten FROM latents")
+def _(x):
+    """Five neighbours of each row by descent, and whether nine of ten are those that comparing all pairs finds."""
+    found = materialize(learning.knn_edges(x.latents, 5, "descent"), "descent")
+    right = found.join(learning.knn_edges(x.latents, 5).select("id", "neighbour"), ["id", "neighbour"], "left_semi").agg(F.count("*").alias("right"))
+    return found.agg(F.count("*").alias("n")).join(F.broadcast(right)).select("n", (F.col("right") >= 0.9 * F.col("n")).alias("nine_of_ten"))  # one row each
+
+
 @query("M10_cv_probabilities")
 def _(x):
     return learning.cv_probabilities(x.latents.join(x.states, "id"), "state")
