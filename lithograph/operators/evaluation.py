@@ -6,11 +6,14 @@ per pair of labels. Labels with null do not count.
 
 from __future__ import annotations
 
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithograph.functions.geo import combine_states
+from lithograph.operators.neighbours import BLOCK_ROWS, block_pairs, packed_blocks, unpacked
+from lithograph.session import materialize
 
 
 def contingency(df: DataFrame, gt: str = "gt", pred: str = "pred") -> DataFrame:
@@ -127,30 +130,46 @@ def v_measure(ct: DataFrame) -> DataFrame:
     return out.withColumn("v_measure", F.when(both > 0, 2 * F.col("homogeneity") * F.col("completeness") / both).otherwise(0.0))
 
 
-def silhouette(df: DataFrame, label: str, coords: tuple[str, str] = ("x1", "x2"), most: int | None = None, blocks: int | None = None) -> DataFrame:
-    """One row: the mean exact Euclidean silhouette; 0 for a point alone in its cluster, null for fewer than two clusters.
+def silhouette(df: DataFrame, label: str, coords: tuple[str, str] = ("x1", "x2"), most: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row: the mean exact Euclidean silhouette; 0 for a point alone in its cluster, null for fewer than two clusters."""
+    return silhouettes(df, [label], coords, most, block_rows).withColumnRenamed(label, "silhouette")
+
+
+def silhouettes(df: DataFrame, labels: list[str], coords: tuple[str, str] = ("x1", "x2"), most: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row: silhouette by each of several labels (whole numbers), from one pass over the distances.
 
-    Points meet in pairs of blocks (an equi-join on the pair's key), and each block pair sums distances by (point,
-    cluster); unless given, blocks hold about 4000 points, 16 at least. The work is the square of the rows. Only if asked
+    Points meet by pairs of blocks, in which a task sums distances by point and label. The work is the square of the rows. Only if asked
     for does a seeded sample of `most` rows stand in for more; silhouette_squared is linear.
     """
     from lithograph.operators.sampling import subset_n
 
-    rows = df.select("id", F.col(label).alias("l"), *(F.col(c).alias(n) for c, n in zip(coords, ("p", "q"), strict=True)))
+    rows = df.select("id", F.array(*(F.col(c).cast("double") for c in (*coords, *labels))).alias("x"))
     if most is not None and rows.count() > most:
         rows = subset_n(rows, most)
-    blocks = blocks or max(16, -(-rows.count() // 4000))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = rows.withColumn("other", F.explode(every))
-    right = rows.select(F.col("id").alias("id2"), F.col("l").alias("l2"), F.col("p").alias("p2"), F.col("q").alias("q2"), F.col("block").alias("other"), F.explode(every).alias("block"))
-    d = F.sqrt((F.col("p") - F.col("p2")) * (F.col("p") - F.col("p2")) + (F.col("q") - F.col("q2")) * (F.col("q") - F.col("q2")))
-    sums = left.join(right, ["block", "other"]).groupBy("id", "l", "l2").agg(F.sum(d).alias("d"), F.count("*").alias("n"))
+    blocks, count = packed_blocks(rows, "x", block_rows)
+
+    def sums(ids: np.ndarray, a: np.ndarray, b: np.ndarray):
+        distance = np.sqrt((a[:, None, 0] - b[None, :, 0]) ** 2 + (a[:, None, 1] - b[None, :, 1]) ** 2)
+        for which in range(len(labels)):
+            for other in np.unique(b[:, 2 + which]):
+                there = b[:, 2 + which] == other
+                columns = [ids, np.full(len(ids), which), a[:, 2 + which], np.full(len(ids), other), distance[:, there].sum(axis=1), np.full(len(ids), there.sum())]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "which", "l", "l2", "d", "n"])
+
+    def meet(batches):
+        for batch in batches:
+            for (i, a), (j, b), same in zip(unpacked(batch, "ids", "vectors"), unpacked(batch, "ids2", "vectors2"), batch.column("same").to_pylist(), strict=True):
+                yield from sums(i, a, b)
+                if not same:
+                    yield from sums(j, b, a)
+
+    per = block_pairs(blocks, count).mapInArrow(meet, "id long, which long, l double, l2 double, d double, n long").groupBy("id", "which", "l", "l2").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     own = F.max(F.when((F.col("l") == F.col("l2")) & (F.col("n") > 1), F.col("d") / (F.col("n") - 1)))
     nearest = F.min(F.when(F.col("l") != F.col("l2"), F.col("d") / F.col("n")))
-    points = sums.groupBy("id").agg(own.alias("a"), nearest.alias("b"))
+    points = per.groupBy("id", "which").agg(own.alias("a"), nearest.alias("b"))
     score = F.when(F.col("b").isNull(), F.lit(None)).when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)))
-    return points.agg(F.avg(F.coalesce(score, F.when(F.col("b").isNotNull(), 0.0))).alias("silhouette"))
+    value = F.coalesce(score, F.when(F.col("b").isNotNull(), 0.0))
+    return points.agg(*(F.avg(F.when(F.col("which") == i, value)).alias(name) for i, name in enumerate(labels)))
 
 
 def silhouette_squared(df: DataFrame, label: str, features: str = "features") -> float:
@@ -213,16 +232,34 @@ def pairwise_distances(df: DataFrame, key: str = "k", vec: str = "v") -> DataFra
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.sqrt(d).alias("distance"))
 
 
-def compare_given(df: DataFrame, combine_labels: bool = False) -> DataFrame:
-    """One row of three groups of scores for (id, gt, pred, x1, x2): standard_metrics, structural_similarity, continuum_evidence."""
+def compare_given(df: DataFrame, combine_labels: bool = False, folds: int = 5) -> DataFrame:
+    """One row of three groups of scores for (id, gt, pred, x1, x2).
+
+    standard_metrics (ari, nmi) are of the classes that predicted labels are matched with, -1 for labels without one; structural_similarity
+    has disparity and distance_corr of matched centroids, v_measure of the labels as they are, and both silhouettes;
+    continuum_evidence has boundary_uncertainty, the mean entropy of held-out class probabilities (see cv_probabilities).
+    """
+    from lithograph.operators.learning import cv_probabilities
+
+    spark = df.sparkSession
     rows = df.withColumn("gt", combine_states(F.col("gt"))) if combine_labels else df
-    ct = contingency(rows).persist()
-    mapping = align_labels(ct)
-    centroids = matched_centroids(rows, mapping)
-    standard = _side_by_side(adjusted_rand(ct), nmi(ct)).select(F.struct("ari", "nmi").alias("standard_metrics"))
-    structure = _side_by_side(procrustes_disparity(centroids), centroid_distance_corr(centroids)).select(F.struct("disparity", "distance_corr").alias("structural_similarity"))
-    continuum = _side_by_side(v_measure(ct).select("v_measure"), silhouette(rows, "pred").withColumnRenamed("silhouette", "silhouette_pred"), silhouette(rows, "gt").withColumnRenamed("silhouette", "silhouette_true"))
-    continuum = continuum.select(F.struct("v_measure", "silhouette_pred", "silhouette_true").alias("continuum_evidence"))
+    rows = materialize(rows.filter("gt IS NOT NULL AND pred IS NOT NULL"), "compare-rows")
+    counts = contingency(rows).collect()  # one row per pair of labels; all label scores come from it
+    ct = spark.createDataFrame(counts, "gt int, pred int, n long")
+    mapping = align_labels(ct).collect()
+    to = {m["pred"]: m["gt"] for m in mapping}
+    aligned: dict[tuple[int, int], int] = {}
+    for r in counts:
+        aligned[r["gt"], to.get(r["pred"], -1)] = aligned.get((r["gt"], to.get(r["pred"], -1)), 0) + r["n"]
+    aligned_ct = spark.createDataFrame([(*k, n) for k, n in aligned.items()], "gt int, pred int, n long")
+    centroids = spark.createDataFrame(matched_centroids(rows, spark.createDataFrame(mapping, "pred int, gt int, n long")).collect(), "gt int, g1 double, g2 double, p1 double, p2 double")  # one row per class
+    smallest = min((sum(r["n"] for r in counts if r["gt"] == g) for g in {r["gt"] for r in counts}), default=0)
+    probs = cv_probabilities(rows.select("id", "gt", F.array("x1", "x2").alias("embedding")), "gt", folds=folds)
+    standard = _side_by_side(adjusted_rand(aligned_ct), nmi(aligned_ct)).select(F.struct("ari", "nmi").alias("standard_metrics"))
+    both = silhouettes(rows, ["pred", "gt"]).select(F.col("pred").alias("silhouette_pred"), F.col("gt").alias("silhouette_true"))
+    structure = _side_by_side(procrustes_disparity(centroids), centroid_distance_corr(centroids), v_measure(ct).select("v_measure"), both)
+    structure = structure.select(F.struct(*structure.columns).alias("structural_similarity"))
+    continuum = boundary_uncertainty(probs, smallest).select(F.struct(F.col("uncertainty").alias("boundary_uncertainty")).alias("continuum_evidence"))
     return _side_by_side(standard, structure, continuum)
 
 

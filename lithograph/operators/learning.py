@@ -122,8 +122,8 @@ def cv_probabilities(df: DataFrame, label: str, col: str = "embedding", folds: i
     folds = min(folds, smallest)
     if folds < 2:
         return df.limit(0).select("id", F.array().cast("array<double>").alias("prob"))
-    d = df.agg(F.max(F.size(col))).first()[0]
-    spread = df.select(F.explode(col).alias("x")).agg(F.var_pop(F.col("x").cast("double"))).first()[0] or 1.0
+    _, mean, std = moments(df, col)
+    d, spread = len(mean), float((std**2).mean() + mean.var()) or 1.0
     gamma = gamma or 1.0 / (d * spread)
     rng = np.random.default_rng(seed)
     w, b = rng.normal(0, np.sqrt(2 * gamma), (d, features)), rng.uniform(0, 2 * np.pi, features)

@@ -892,13 +892,20 @@ def _(x):
     return found.join(coords, "id")
 
 
-@query("M16_compare_given", f"""WITH {ENTROPY}, s AS (SELECT (SELECT sum(n * (n - 1) / 2.0::DOUBLE) FROM ct) AS ij, (SELECT sum(a * (a - 1) / 2.0::DOUBLE) FROM a) AS i, (SELECT sum(b * (b - 1) / 2.0::DOUBLE) FROM b) AS j, (SELECT t * (t - 1) / 2.0::DOUBLE FROM t) AS q),
+MATCHED = ENTROPY.replace("FROM truth GROUP BY gt, pred", "FROM (SELECT gt, coalesce((SELECT a.gt FROM aligned a WHERE a.pred = t.pred), -1) AS pred FROM truth t) m GROUP BY gt, pred").replace("ct", "mct")
+
+
+@query("M16_compare_given", f"""WITH {ALIGN}, {MATCHED}, s AS (SELECT (SELECT sum(n * (n - 1) / 2.0::DOUBLE) FROM mct) AS ij, (SELECT sum(a * (a - 1) / 2.0::DOUBLE) FROM a) AS i, (SELECT sum(b * (b - 1) / 2.0::DOUBLE) FROM b) AS j, (SELECT t * (t - 1) / 2.0::DOUBLE FROM t) AS q),
+ ra AS (SELECT gt, sum(n)::DOUBLE AS a FROM ct GROUP BY gt), rb AS (SELECT pred, sum(n)::DOUBLE AS b FROM ct GROUP BY pred),
+ v AS (SELECT sum(n / t * ln(n * t / (a * b))) AS mi FROM ct JOIN ra USING (gt) JOIN rb USING (pred), t), vh AS (SELECT mi / (SELECT -sum(a / t * ln(a / t)) FROM ra, t) AS h, mi / (SELECT -sum(b / t * ln(b / t)) FROM rb, t) AS c FROM v),
  {SILHOUETTE.format(l='pred')}
- SELECT round((ij - i * j / q) / ((i + j) / 2 - i * j / q), 6) AS ari, round(mi / ((hg + hp) / 2), 6) AS nmi, round(2 * (mi / hg) * (mi / hp) / (mi / hg + mi / hp), 6) AS v_measure,
- (SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) FROM p) AS silhouette FROM e, s""")
+ SELECT round((ij - i * j / q) / ((i + j) / 2 - i * j / q), 6) AS ari, round(mi / ((hg + hp) / 2), 6) AS nmi, (SELECT round(2 * h * c / (h + c), 6) FROM vh) AS v_measure,
+ (SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) FROM p) AS silhouette, true AS uncertain FROM e, s""")
 def _(x):
     out = evaluation.compare_given(x.truth)
-    return out.select(r6("standard_metrics.ari").alias("ari"), r6("standard_metrics.nmi").alias("nmi"), r6("continuum_evidence.v_measure").alias("v_measure"), r6("continuum_evidence.silhouette_pred").alias("silhouette"))
+    s = "structural_similarity"
+    uncertain = F.col("continuum_evidence.boundary_uncertainty").between(0.0, 1.386295)  # at most ln 4
+    return out.select(r6("standard_metrics.ari").alias("ari"), r6("standard_metrics.nmi").alias("nmi"), r6(f"{s}.v_measure").alias("v_measure"), r6(f"{s}.silhouette_pred").alias("silhouette"), uncertain.alias("uncertain"))
 
 
 @query("M16_compare_clusters")
@@ -933,17 +940,12 @@ def _(x):
 # --- composites --------------------------------------------------------------------------------------------------------
 
 
-def oriented_crops(x: Fixtures) -> DataFrame:
-    """Oriented crops of the catalogue's features within size and latitude: id, h, w, px."""
-    windows = catalog.valid_windows(catalog.pixel_windows(_boxes(x), x.geo)).withColumnRenamed("crater_id", "id")
-    crops = materialize(raster.extract_windows(windows, x.tiles, 8), "crops")  # else pixels are put together anew for each use
-    return materialize(crops.withColumn("px", resample.orient(*_args())), "oriented")
-
-
 @query("pipeline_chip_stats", WINDOWS + f""", {PIXELS}, v AS (SELECT px.v FROM cut JOIN px ON r >= r0 AND r < r1 AND c >= c0 AND c < c1)
  SELECT 0 AS channel, round(avg(cast(v AS double)), 6) AS mean, round(stddev_pop(cast(v AS double)), 6) AS std, count(*) AS n_px FROM v""")
 def _(x):
-    return stats.channel_stats(oriented_crops(x)).select("channel", r6("mean").alias("mean"), r6("std").alias("std"), "n_px")
+    """Statistics of the crops of the catalogue's features within size and latitude; orientation changes none of them."""
+    windows = catalog.valid_windows(catalog.pixel_windows(_boxes(x), x.geo)).withColumnRenamed("crater_id", "id")
+    return raster.window_stats(windows, x.tiles, 8).select("channel", r6("mean").alias("mean"), r6("std").alias("std"), "n_px")
 
 
 @query("pipeline_preprocess")

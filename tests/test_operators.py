@@ -149,6 +149,53 @@ def test_silhouette_takes_all_of_many_rows(spark):
     assert evaluation.silhouette(df, "l").first()[0] == pytest.approx(want, rel=1e-12)
 
 
+def test_silhouettes_by_blocks(spark):
+    rng = np.random.default_rng(3)
+    x, l, m = rng.normal(size=(90, 2)), rng.integers(0, 3, 90), rng.integers(0, 2, 90)
+    df = spark.createDataFrame([(i, int(l[i]), int(m[i]), *map(float, x[i])) for i in range(90)], "id long, l int, m int, x1 double, x2 double")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = []
+    for k in (l, m):
+        a = [d[i][k == k[i]].sum() / ((k == k[i]).sum() - 1) for i in range(90)]
+        b = [min(d[i][k == o].mean() for o in set(k.tolist()) - {k[i]}) for i in range(90)]
+        want.append(np.mean([(q - p) / max(p, q) for p, q in zip(a, b)]))
+    assert evaluation.silhouettes(df, ["l", "m"], block_rows=16).first()[:] == pytest.approx(tuple(want))
+
+
+def test_comparison_with_more_predicted_labels_than_classes(spark):
+    rng = np.random.default_rng(4)
+    gt = rng.integers(1, 3, 200)
+    pred = np.where(rng.random(200) < 0.6, gt, rng.integers(3, 6, 200))
+    rows = [(i, int(gt[i]), int(pred[i]), float(gt[i] * 5 + rng.normal()), float(rng.normal())) for i in range(200)]
+    got = evaluation.compare_given(spark.createDataFrame(rows, "id long, gt int, pred int, x1 double, x2 double")).first()
+    matched = np.where(pred < 3, pred, -1)
+    ct = spark.createDataFrame([(int(a), int(b)) for a, b in zip(gt, matched)], "gt int, pred int")
+    assert got.standard_metrics.ari == pytest.approx(evaluation.adjusted_rand(evaluation.contingency(ct)).first()[0])
+    assert got.standard_metrics.nmi == pytest.approx(evaluation.nmi(evaluation.contingency(ct)).first()[0])
+    raw = evaluation.contingency(spark.createDataFrame([(int(a), int(b)) for a, b in zip(gt, pred)], "gt int, pred int"))
+    assert got.structural_similarity.v_measure == pytest.approx(evaluation.v_measure(raw).first()["v_measure"])
+    assert set(got.structural_similarity.asDict()) == {"disparity", "distance_corr", "v_measure", "silhouette_pred", "silhouette_true"}
+    assert 0 < got.continuum_evidence.boundary_uncertainty < np.log(2)
+
+
+def test_windows_over_absent_tiles_raise(spark, scene):
+    _, tiles = scene
+    windows = spark.createDataFrame([(0, 0, 0, 4, 4), (1, 16, 0, 4, 4)], "id long, r0 long, c0 long, h long, w long")
+    some = tiles.filter("tile_row < 2")
+    for run in (raster.extract_windows, raster.window_stats):
+        with pytest.raises(Exception, match="a tile is missing under window 1"):
+            run(windows, some, 8).collect()
+
+
+def test_window_stats_are_those_of_the_chips(spark, scene):
+    image, tiles = scene
+    windows = spark.createDataFrame([(0, 0, 0, 1, 1), (1, 5, 6, 10, 20), (2, 0, 0, 24, 32)], "id long, r0 long, c0 long, h long, w long")
+    px = np.concatenate([image[:1, :1].ravel(), image[5:15, 6:26].ravel(), image.ravel()])
+    got = raster.window_stats(windows, tiles, 8).first()
+    assert got.n_px == len(px) and got.mean == pytest.approx(px.mean()) and got.std == pytest.approx(px.std())
+    assert raster.window_stats(windows.limit(0), tiles, 8).count() == 0
+
+
 def test_sinkhorn_sums(spark):
     rng = np.random.default_rng(3)
     rows = [(i, k, float(rng.normal())) for i in range(20) for k in range(4)]
