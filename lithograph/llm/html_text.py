@@ -9,7 +9,9 @@ finds the labelling of least total cost; what stays on the content side is the t
 among the paragraphs around it, and a line of a few words goes with the menus around it, though each by itself would not.
 
 Names count by whole words: a class or id says boilerplate if all its parts do or are neutral ("site-footer", "share-buttons"),
-not if one of many does ("tag-news", "no-sidebar").
+not if one of many does ("tag-news", "no-sidebar"). Attributes are read one by one, name and value, so that nothing in a title or in data
+says anything. Inline elements that are hidden or named as boilerplate lose their text before blocks are judged, and what stands under a heading such as
+"Comments" counts as named so.
 
 The text of scripts, styles, templates, titles and comments of the markup is never a block.
 
@@ -41,7 +43,16 @@ _MARKUP = re.compile(
 # Elements that are skipped with all that they hold, if they have an end.
 SKIPPED = frozenset("template svg math object canvas select".split())
 _CLOSED = re.compile(r"<[a-z]+(?=[\s/>])" + _ATTRS + r"(?<=/)>", re.I)  # a raw element inside such an element may be closed at once
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|aria-label|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# one attribute after the other, each with its whole name and its whole value; quoted text without a name is skipped
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
+# Elements without an end.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# What stands over readers' comments and links to other pages, with or without a number.
+_HEADS_BOILERPLATE = re.compile(
+    r"(?:\d+ )?(?:(?:reader |user |all |latest )?comments?|repl(?:y|ies)|responses?|leave a (?:comment|reply)|post a comment|join the (?:discussion|conversation)|discussion|"
+    r"related(?: (?:articles?|posts?|stories|links|reading))?|you (?:may|might) also like|read (?:more|next)|more (?:from|in|like) .{1,40}|most (?:read|popular|shared)|popular (?:posts|articles|stories)|"
+    r"share this(?: (?:article|post|story))?|follow us|advertisement|sponsored|newsletter|sign up|kommentare?|commentaires?|comentarios?)(?: ?\(\d+\)| \d+)?:?"
+)
 # Elements that end a block.
 BLOCKS = frozenset(
     "html body article main section div nav aside header footer form ul ol dl dt dd li table thead tbody tfoot tr td th caption p h1 h2 h3 h4 h5 h6 "
@@ -93,8 +104,12 @@ def element_says(name: str, attrs: str, in_article: bool) -> int:
     if name in AGAINST or (name == "header" and not in_article):
         return -1
     found = int(name in ("article", "main"))
+    seen: set[str] = set()
     for m in _ATTRIBUTE.finditer(attrs) if attrs else ():
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        key, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
+        if key in seen:  # the first one of a name counts
+            continue
+        seen.add(key)
         if key in ("class", "id", "role"):
             each = [says(x) for x in value.split()]
             if -1 in each and not (name in ("body", "html", "article", "main") or (name == "header" and in_article)):
@@ -136,6 +151,7 @@ def page_blocks(page: str) -> list[Block]:
     found: list[tuple[str, int, float, str, int, tuple[int, ...], int]] = []
     pieces: list[str] = []
     linked, links, count, articles = 0, 0, 0, 0
+    skip: list | None = None  # an inline element named as boilerplate: its name, how many of that name are open, the depth it stands in
 
     def end_block() -> None:
         nonlocal linked
@@ -149,6 +165,8 @@ def page_blocks(page: str) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal linked
+        if skip and len(stack) == skip[2]:
+            return
         pieces.append(text)
         if links:
             linked += len(text.strip())
@@ -164,6 +182,12 @@ def page_blocks(page: str) -> list[Block]:
                 pieces.append(" ")
             continue
         name, closing = name.lower(), bool(m["close"])
+        if name not in BLOCKS and name not in SKIPPED and name not in VOID and not m["attrs"].endswith("/"):
+            if skip and name == skip[0]:
+                skip[1] += -1 if closing else 1
+                skip = skip if skip[1] else None
+            elif not skip and not closing and m["attrs"] and element_says(name, m["attrs"], False) < 0:
+                skip = [name, 1, len(stack)]
         if name in SKIPPED:
             if not closing:
                 spans = skipped_spans(page) if spans is None else spans
@@ -181,22 +205,38 @@ def page_blocks(page: str) -> list[Block]:
                 if depth:
                     articles -= sum(e[0] in ("article", "main") for e in stack[depth:])
                     del stack[depth:]
+                    skip = skip if skip and len(stack) >= skip[2] else None
             elif name != "hr":
                 links = 0
                 while len(stack) > 1 and (stack[-1][0] == "p" or re.fullmatch("h[1-6]", stack[-1][0]) or (stack[-1][0] == name and name in ("li", "td", "th", "tr", "dt", "dd", "option"))):
                     stack.pop()
+                skip = skip if skip and len(stack) >= skip[2] else None
                 count += 1
-                said = element_says(name, m["attrs"], articles > 0)
+                said = -1 if skip else element_says(name, m["attrs"], articles > 0)
                 zone = stack[-1][3] or (count if said < 0 else 0)
                 stack.append((name, -1 if zone else max(said, stack[-1][1]), count, zone))
                 articles += name in ("article", "main")
     if at < len(page):
         add(page[at:])
     end_block()
+    found = under_headings(found)
     longest = max((x[1] for x in found if x[4] >= 0), default=1)  # of what is not named as boilerplate
     return [Block(text, block_score(words, longest, linked, name, said), path, zone) for text, words, linked, name, said, path, zone in found]
 
 
+def under_headings(found: list[tuple[str, int, float, str, int, tuple[int, ...], int]]) -> list[tuple[str, int, float, str, int, tuple[int, ...], int]]:
+    """The blocks, those under a heading that says boilerplate marked as such: to the next heading of its rank or the end of what holds it."""
+    out, holder, rank, zone = [], None, "", 0
+    for text, words, linked, tag, said, path, own in found:
+        heading = re.fullmatch("h[1-6]", tag) is not None
+        if holder is not None and (path[: len(holder)] != holder or (heading and tag <= rank and path[:-1] == holder)):
+            holder = None
+        if heading and holder is None and _HEADS_BOILERPLATE.fullmatch(text.lower()):
+            holder, rank, zone = path[:-1], tag, own or path[-1]
+        out.append((text, words, linked, tag, said, path, own) if holder is None else (text, words, linked, tag, -1, path, own or zone))
+    return out
+
+
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Edges (i, j, weight) by adjacency and by nearness in the tree."""
     edges = []
