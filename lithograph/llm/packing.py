@@ -1,7 +1,7 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Documents are cut into pieces of at most the longest permitted length. Pieces are dealt by a hash of their id into
-groups of about `group_rows` pieces; each group is packed by itself, so that no task holds more than its group. Inside a
+Documents are cut into pieces of at most the longest permitted length. Pieces are written, and dealt by a hash of their place there (not of
+what they are, so that equal ones spread as well) into groups of about `group_rows` pieces; each group is packed by itself, so that no task holds more than its group. Inside a
 group, pieces go in falling length to the open bin with the least room that holds them. Where none does, a bin opens: each
 permitted size that holds the piece is filled on trial with the largest of the pieces left that fit, and the size of least
 cost per token wins. A bin costs its length plus a fixed charge. The group is packed by this and, for comparison, by
@@ -90,10 +90,10 @@ def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, group_ro
     pieces = sizes.withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / longest).cast("int")))).select(
         "doc_id", "piece", (F.col("piece") * F.lit(longest).cast("long")).alias("start"), F.least(F.lit(longest).cast("long"), F.col("n") - F.col("piece") * longest).alias("n_tokens")
     )
-    pieces = materialize(pieces, "pack-pieces")
+    pieces = materialize(pieces.withColumn("place", F.monotonically_increasing_id()), "pack-pieces")
     groups = max(1, -(-pieces.count() // group_rows))
-    dealt = pieces.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(groups)))
-    return dealt.groupBy("bin_group").applyInPandas(_pack_group, PACKED)
+    dealt = pieces.withColumn("bin_group", F.pmod(F.xxhash64("place"), F.lit(groups)))
+    return dealt.drop("place").groupBy("bin_group").applyInPandas(_pack_group, PACKED)
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:
