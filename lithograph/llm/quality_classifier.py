@@ -7,7 +7,7 @@ expected grade and the tail probability P(grade >= 2) come out for every documen
 Features: presence of each word (lower case, ASCII punctuation removed), of the beginnings of longer words, which inflected
 forms share, and the bucket of each of a few ratios of the whole text. The model is fitted on a bounded sample: the
 `sample_rows` labelled documents that come first by a hash of their id. Every fifth of them is held out of the fit: the cut
-is the highest that leaves all but `spare` of the held-out top grade (0.4 where fewer than 200 of these are there). Its weights have a fixed number of slots, so that they may go to every task. Scoring is a map over all rows.
+is the highest that leaves all but `spare` of the held-out top grade (all of it where that is less than a row; 0 where none is there). Its weights have a fixed number of slots, so that they may go to every task. Scoring is a map over all rows.
 
 Defined cases: a null or empty text is scored by its ratios alone; a document with several label rows takes their
 highest grade, rows with null labels do not count; without any label all documents get the top grade and are kept;
@@ -71,6 +71,9 @@ def text_slots(text: bytes) -> list[int]:
     return [*map(slot, distinct), *map(slot, beginnings(distinct)), *map(slot, ratio_features(text, len(words), len(distinct)))]
 
 
+MOST_EPOCHS = 400
+
+
 @dataclass
 class OrdinalModel:
     weights: np.ndarray
@@ -85,6 +88,7 @@ class OrdinalModel:
 def fit_ordinal(slots: list[np.ndarray], grades: np.ndarray, steps: int = 6000, batch: int = 32, rate: float = 1.0, lasso: float = 0.002, seed: int = 42) -> OrdinalModel:
     """Cumulative-link regression by proximal steps (follow the regularised leader) with an L1 penalty of `lasso` for each row.
 
+    It takes `steps` steps of `batch` rows, or goes MOST_EPOCHS times over the rows if that is less.
     The penalty leaves all but a few features at zero: words of one document would only be learned by heart. Thresholds
     take AdaGrad steps and are kept in order.
     """
@@ -100,7 +104,7 @@ def fit_ordinal(slots: list[np.ndarray], grades: np.ndarray, steps: int = 6000,
         shrunk = push[at] - np.sign(push[at]) * lasso
         return np.where(np.abs(push[at]) <= lasso, 0.0, -shrunk / ((1 + np.sqrt(squares[at])) / rate + 1))
 
-    for _ in range(-(-steps * batch // len(slots))):
+    for _ in range(min(MOST_EPOCHS, -(-steps * batch // len(slots)))):
         order = rng.permutation(len(slots))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
@@ -128,22 +132,24 @@ def _sample_slots(batches):
         yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array(packed, pa.binary())], ["grade", "slots"])
 
 
-def fit_with_cut(slots: list[np.ndarray], grades: np.ndarray, spare: float = 0.005, least: int = 200) -> OrdinalModel:
-    """The model of four fifths of the rows, with the cut that spares the top grade of the rest."""
+def fit_with_cut(slots: list[np.ndarray], grades: np.ndarray, spare: float = 0.005) -> OrdinalModel:
+    """The model of four fifths of the rows, with the cut that spares the top grade of the rest: all but a share `spare` of its rows pass,
+    all of them if they are few, and all documents if there are none."""
     test = np.arange(len(slots)) % 5 == 4
     model = fit_ordinal([s for s, t in zip(slots, test, strict=True) if not t], grades[~test])
     scores = np.array([model.weights[slots[i]].sum() for i in np.flatnonzero(test & (grades == GRADES - 1))])
-    if len(scores) >= least:
-        model.cut = float(np.sort(model.tails(scores)[:, -1])[int(spare * len(scores))])
+    model.cut = float(np.sort(model.tails(scores)[:, -1])[int(spare * len(scores))]) if len(scores) else 0.0
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20000) -> OrdinalModel:
-    """The model of the first sample_rows labelled documents by hash."""
+    """The model of the first sample_rows labelled documents by hash: a row for each id, of texts that share one the least by hash, of labels
+    that differ the greatest grade."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     graded = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(grade).alias("grade"))
     sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "grade").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
     got = rows.mapInArrow(_sample_slots, "grade int, slots binary").toArrow()
     slots = [np.frombuffer(s, dtype=np.int32) for s in got.column("slots").to_pylist()]
     order = sorted(range(len(slots)), key=lambda i: zlib.crc32(slots[i].tobytes()))  # not the order of arrival

@@ -181,6 +181,28 @@ def test_cut_spares_the_top_grade():
     assert (tails[grades == 2] >= model.cut).mean() > 0.98 and (tails[grades < 2] >= model.cut).mean() < 0.2
 
 
+def test_the_sample_of_labelled_rows_is_bounded(spark, monkeypatch):
+    texts = spark.range(3000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("word "), (F.col("id") % 50).cast("string")).alias("text"))
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (0, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit_with_cut", lambda slots, grades: seen.append((len(slots), sorted(grades.tolist()))))
+    quality_classifier.train(texts, labels)
+    quality_classifier.train(texts.unionByName(texts), labels)
+    assert seen == [(2, [0, 2])] * 2  # a row for each id, and of labels that differ the greatest grade
+
+
+def test_one_rule_for_the_cut_at_every_size():
+    rng = np.random.default_rng(3)
+    for n in (60, 400, 2000):
+        grades = rng.integers(0, 3, n)
+        slots = [np.array([int(g), 3 + int(rng.integers(0, 40))], dtype=np.int32) for g in grades]
+        model = quality_classifier.fit_with_cut(slots, grades)
+        test = np.arange(n) % 5 == 4
+        tails = np.sort(model.tails(np.array([model.weights[slots[i]].sum() for i in np.flatnonzero(test & (grades == 2))]))[:, -1])
+        assert model.cut == tails[int(0.005 * len(tails))]
+    assert quality_classifier.fit_with_cut([np.array([1], dtype=np.int32)], np.array([2])).cut == 0
+
+
 def test_classifier_without_labels(docs, none, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     kept = quality_classifier.keep_good(docs, labels)
@@ -540,6 +562,58 @@ def test_markup_takes_no_text_and_leaves_none():
     assert text("<svg>" * 20000 + "<p>a</p>") == ["a"]
 
 
+LONG = "A whole article of many words is told here, and none of it is lost. " * 9
+
+
+@pytest.mark.parametrize("tag", ['article title="The hidden life of trees"', 'div data-headline="A hidden id"', 'article data-hidden="false"', 'div data-id="nav"', 'div data-component-class="sidebar"',
+                                 "div title='class=nav id=sidebar hidden'", 'div data-x=hidden', 'div class="story" class="nav"', 'div "hidden" class=post', "div aria-hidden=false", 'div alt="a > b" title="x hidden y"'])
+def test_words_in_other_attributes_say_nothing(tag):
+    assert html_text.main_text(f"<body title='hidden'><{tag}><p>{LONG}</p></{tag.split()[0]}></body>") == LONG.strip()
+
+
+def test_unknown_attributes_never_change_the_text():
+    rng = random.Random(7)
+    said = ["hidden", "class", "id", "nav", "sidebar", "style", "display:none", "role", "=", "&quot;", "footer", "ad", "x", ">"]
+    for _ in range(300):
+        made = []
+        for k in range(rng.randrange(1, 4)):
+            quote = rng.choice("\"'")
+            made.append(f"data-{rng.choice(['hidden', 'class', 'id', 'k'])}{k}={quote}{' '.join(rng.choices(said, k=rng.randrange(5)))}{quote}")
+        rng.shuffle(made)
+        more = " ".join(made)
+        page = f'<div {more} class="post" {more}><p {more}>{LONG}</p></div><div class="sidebar" {more}><p>Buy now</p></div>'
+        assert html_text.main_text(page) == LONG.strip(), page
+
+
+def test_inline_boilerplate_is_cut_from_its_block():
+    text = lambda page: html_text.main_text(f"<article><p>{LONG}</p>{page}<p>{LONG}</p></article>").split("\n")[1:-1]
+    words = "The boats come home in the evening with all that the men have caught"
+    for inner in ('<span class="advert">BUY NOW</span>', "<span hidden>not seen</span>", '<b style="display: none">not <b>seen</b> here</b>', '<a class="share-button" href=x>Share</a>', '<span class=ad>BUY <img src=x> <span>NOW</span></span>'):
+        assert text(f"<p>{words} {inner} today.</p>") == [f"{words} today."], inner
+    assert text(f"<p>{words} <span class=ad>BUY NOW</p><p>{words}.</p>") == [words, f"{words}."]  # it ends with its block
+    assert text(f"<div>{words} <span class=ad><div>{words} and now buy</div></span></div><p>{words}.</p>") == [words, f"{words}."]
+    assert text(f'<p>{words} <em class="term">today</em> <input hidden> <a href=x title="hidden">here</a>.</p>') == [f"{words} today here."]
+
+
+def test_comments_by_their_heading():
+    said = "".join(f"<p>I have read this {w} with great care and I do not agree with it at all, as anyone may see.</p>" for w in ("text", "story", "piece"))
+    for head in ("Comments", "3 Comments", "Comments (3)", "Leave a reply", "Related articles", "Kommentare"):
+        page = f"<body><article><h1>Title of it</h1><p>{LONG}</p></article><section><h2>{head}</h2>{said}</section></body>"
+        assert html_text.main_text(page) == f"Title of it\n{LONG.strip()}", head
+    page = f"<body><h1>Title of it</h1><p>{LONG}</p><h3>Comments</h3>{said}<h2>Chapter two</h2><p>{LONG}</p></body>"
+    assert html_text.main_text(page) == f"Title of it\n{LONG.strip()}\nChapter two\n{LONG.strip()}"
+    page = f"<body><h1>Comments on the theory of light</h1><p>{LONG}</p><h2>Newton comments</h2><p>{LONG}</p></body>"
+    assert html_text.main_text(page).count(LONG.strip()) == 2
+
+
+def test_pages_that_repeat_and_none(spark):
+    rows = [(1, "u", PAGE, "x", 1), (1, "u", PAGE, "x", 1), (None, "u", PAGE, None, 2)]
+    shape = "page_id long, url string, html string, text string, n_chars int"
+    got = html_text.extract_text(spark.createDataFrame(rows, shape)).collect()
+    assert len(got) == 3 and len({r.text for r in got}) == 1 and got[0].n_chars == len(got[0].text)
+    assert html_text.extract_text(spark.createDataFrame([], shape)).count() == 0
+
+
 def test_names_count_by_whole_words():
     for name in ("nav", "main-nav", "site-footer", "sideBar", "side-bar", "sidebar-left", "cookie_notice", "ad", "ad-slot", "adsbygoogle", "share-buttons", "related-posts", "comment-list", "post-comments", "newsletter-signup", "tags", "tag-cloud", "widget", "breadcrumbs"):
         assert html_text.says(name) == -1, name
@@ -627,6 +701,16 @@ def test_packing_is_whole(docs, rows, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_deals_equal_pieces_over_groups(spark):
+    n = 3000
+    same_rows = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("w " * 600).alias("text")).unionByName(spark.range(50).select(F.lit(7).cast("long").alias("doc_id"), F.lit("w " * 5000).alias("text")))
+    got = packing.pack_documents(same_rows, group_rows=100)
+    sizes = [r.n for r in got.groupBy("bin_group").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == n + 100 and max(sizes) <= 200
+    held = got.groupBy("bin_group", "bin").agg(F.sum("n_tokens").alias("n"), F.max("bin_length").alias("length")).collect()
+    assert all(r.n <= r.length for r in held)
+
+
 def cheapest(sizes, lengths, charge):
     """Least cost of all ways to part the pieces among bins."""
     best = math.inf
