@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
 
-from lithograph.sources.raw_f32 import file_system
+from lithograph.sources.raw_f32 import StagedWriter
 
 CATALOG = "crater_id string, lat double, lon double, diam_km double"
 METADATA = "id string, lat double, lon double, x double, y double, diam double"
@@ -96,21 +98,36 @@ def write_tiles(tiles: DataFrame, geo: DataFrame, path: str) -> None:
     geo.coalesce(1).write.mode("overwrite").parquet(f"{path}/geo")
 
 
-def write_npy_dir(chips: DataFrame, path: str, key: str = "id") -> None:
-    """Each chip as key.npy of shape (h, w), in a folder that all executors reach."""
+class NpyWriter(StagedWriter):
+    """Each row (key, h, w, px) as key.npy of shape (h, w)."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, folder = file_system(path)
-        system.create_dir(folder)
-        for pdf in batches:
-            for name, h, w, px in zip(pdf[key], pdf["h"], pdf["w"], pdf["px"], strict=True):
+    def write_files(self, system, folder: str, part: int, batches: Iterator[pa.RecordBatch]) -> int:
+        n = 0
+        for batch in batches:
+            for name, h, w, px in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 held = bytesio.BytesIO()
-                np.save(held, np.asarray(px, dtype=np.float32).reshape(h, w))
+                np.save(held, px.values.to_numpy().astype(np.float32).reshape(h, w))
                 with system.open_output_stream(f"{folder}/{name}.npy") as f:
                     f.write(held.getvalue())
-            yield pd.DataFrame({"n": [len(pdf)]})
+            n += batch.num_rows
+        return n
+
+
+class NpySource(DataSource):
+    """A sink of .npy files; read_npy_dir reads them."""
 
-    chips.select(key, "h", "w", "px").mapInPandas(write, "n long").agg(F.sum("n")).collect()  # one row
+    @classmethod
+    def name(cls) -> str:
+        return "npy_dir"
+
+    def writer(self, schema, overwrite: bool) -> NpyWriter:
+        return NpyWriter(self.options["path"])
+
+
+def write_npy_dir(chips: DataFrame, path: str, key: str = "id") -> None:
+    """Each chip as key.npy of shape (h, w), in a folder that all executors reach. It takes the place of what was there."""
+    chips.sparkSession.dataSource.register(NpySource)
+    chips.select(F.col(key).cast("string").alias("key"), "h", "w", F.col("px").cast("array<float>").alias("px")).write.format("npy_dir").mode("overwrite").save(path)
 
 
 def read_npy_dir(spark: SparkSession, path: str) -> DataFrame:

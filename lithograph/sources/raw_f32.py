@@ -6,7 +6,9 @@ file system that Arrow knows (hdfs://, s3://, gs://, file://).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -43,7 +45,7 @@ class RawF32Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         system, path = file_system(self.path)
         found = system.get_file_info(path)
-        files = [found] if found.is_file else sorted((f for f in system.get_file_info(fs.FileSelector(path)) if f.is_file), key=lambda f: f.base_name)
+        files = [found] if found.is_file else sorted((f for f in system.get_file_info(fs.FileSelector(path)) if f.is_file and not f.base_name.startswith(("_", "."))), key=lambda f: f.base_name)
         out, before = [], 0
         for f in files:
             n = f.size // self.record  # what is left of a cut record is ignored
@@ -63,6 +65,72 @@ class RawF32Reader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(columns, ["id", "c", "h", "w", "px"])
 
 
+@dataclass
+class Staged(WriterCommitMessage):
+    """The folder of a task's files, and how many records they hold."""
+
+    folder: str
+    records: int
+
+
+class StagedWriter(DataSourceArrowWriter):
+    """Files that become visible when the whole job is done.
+
+    Each attempt of a task writes to a folder of its own below a hidden one. The commit takes the files of the attempts that count to their final
+    names and removes all others, those of earlier runs as well; an abort leaves the folder as it was.
+    """
+
+    def __init__(self, path: str):
+        self.path, self.job = path, uuid.uuid4().hex
+
+    def hidden(self) -> tuple[fs.FileSystem, str, str]:
+        system, folder = file_system(self.path)
+        folder = folder.rstrip("/")
+        return system, folder, f"{folder}/_temporary-{self.job}"
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Staged:
+        system, _, hidden = self.hidden()
+        task = TaskContext.get()
+        own = f"{hidden}/{task.partitionId():06d}-{task.taskAttemptId()}"
+        system.create_dir(own, recursive=True)
+        return Staged(own, self.write_files(system, own, task.partitionId(), batches))
+
+    def write_files(self, system: fs.FileSystem, folder: str, part: int, batches: Iterator[pa.RecordBatch]) -> int:
+        raise NotImplementedError
+
+    def commit(self, messages: list[Staged | None]) -> None:
+        system, folder, hidden = self.hidden()
+        system.create_dir(folder, recursive=True)
+        before = {f.base_name for f in system.get_file_info(fs.FileSelector(folder)) if f.is_file}
+        for message in messages:
+            for f in system.get_file_info(fs.FileSelector(message.folder)) if message else ():
+                system.move(f.path, f"{folder}/{f.base_name}")
+                before.discard(f.base_name)
+        for name in before:
+            system.delete_file(f"{folder}/{name}")
+        self._clear()
+
+    def abort(self, messages: list[Staged | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        system, _, hidden = self.hidden()
+        if system.get_file_info(hidden).type == fs.FileType.Directory:
+            system.delete_dir(hidden)
+
+
+class RawF32Writer(StagedWriter):
+    """Column px as little-endian float32, one file for each task that has rows."""
+
+    def write_files(self, system: fs.FileSystem, folder: str, part: int, batches: Iterator[pa.RecordBatch]) -> int:
+        n = 0
+        with system.open_output_stream(f"{folder}/part-{part:06d}.f32") as f:
+            for batch in batches:
+                f.write(batch.column("px").flatten().to_numpy().astype("<f4").tobytes())
+                n += batch.num_rows
+        return n
+
+
 class RawF32Source(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -74,6 +142,9 @@ class RawF32Source(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return RawF32Reader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return RawF32Writer(self.options["path"])
+
 
 def read_f32_records(spark: SparkSession, path: str, c: int, h: int, w: int, split_records: int = 1024) -> DataFrame:
     """Records of a raw file or a folder of them; id is the position among all."""
@@ -82,17 +153,7 @@ def read_f32_records(spark: SparkSession, path: str, c: int, h: int, w: int, spl
 
 
 def write_f32_records(chips: DataFrame, path: str, key: str = "id") -> None:
-    """Pixels of chips as a folder of raw files, in the order of key: a file for each range of keys."""
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = file_system(path)
-        system.create_dir(folder)
-        part, n = TaskContext.get().partitionId(), 0
-        with system.open_output_stream(f"{folder}/part-{part:06d}.f32") as f:
-            for batch in batches:
-                f.write(batch.column("px").flatten().to_numpy().astype("<f4").tobytes())
-                n += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
-
+    """Pixels of chips as a folder of raw files, in the order of key: a file for each range of keys. It takes the place of what was there."""
+    chips.sparkSession.dataSource.register(RawF32Source)
     ordered = chips.repartitionByRange(key).sortWithinPartitions(key).select(F.col("px").cast("array<float>").alias("px"))
-    ordered.mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one row
+    ordered.write.format("raw_f32").mode("overwrite").save(path)

@@ -61,6 +61,33 @@ def test_roll_and_highpass(spark, scene):
             assert out[r // 8, c // 8][(r % 8) * 8 + c % 8] == int(np.floor(np.clip(image[r, c] - box.mean() + 128 + 1e-9, 0, 255)))
 
 
+@pytest.mark.parametrize("sigma, tile", [(2.0, 8), (5.0, 4)])
+def test_gaussian_highpass_around_an_absent_tile(spark, scene, sigma, tile):
+    image, _ = scene
+    rows = [(r, c, image[r * tile : (r + 1) * tile, c * tile : (c + 1) * tile].ravel().tolist()) for r in range(24 // tile) for c in range(32 // tile) if (r, c) != (1, 1)]
+    got = {(r.tile_row, r.tile_col): r.px for r in raster.highpass(spark.createDataFrame(rows, "tile_row long, tile_col long, px array<int>"), tile, sigma=sigma).collect()}
+    assert set(got) == {(r, c) for r, c, _ in rows}
+    reach = int(np.ceil(3 * sigma))
+    there = np.ones(image.shape)
+    there[tile : 2 * tile, tile : 2 * tile] = 0
+    for y, x in ((0, 0), (tile - 1, tile - 1), (13, 17), (23, 31), (2 * tile, 2 * tile)):
+        box = np.s_[max(0, y - reach) : y + reach + 1, max(0, x - reach) : x + reach + 1]
+        yy, xx = (axis[box] for axis in np.indices(image.shape))
+        k = np.exp(-((yy - y) ** 2 + (xx - x) ** 2) / (2 * sigma**2)) * there[box]
+        assert got[y // tile, x // tile][(y % tile) * tile + x % tile] == int(np.floor(np.clip(image[y, x] - (k * image[box]).sum() / k.sum() + 128, 0, 255)))
+
+
+def test_highpass_sends_strips(spark):
+    tile, reach = 32, 75  # as sigma 100 is to tiles of 128
+    rows = spark.range(25).select(F.floor(F.col("id") / 5).alias("tile_row"), (F.col("id") % 5).alias("tile_col"), F.array_repeat(F.lit(1.0), tile * tile).alias("px"))
+    rows = rows.withColumn("sums", F.col("px")).withColumn("weight", F.array_repeat(F.lit(1.0), tile))
+    for axis in ("tile_row", "tile_col"):
+        sent = raster.strips(rows, tile, reach, axis).select("step", F.size("sums").alias("n"), F.size("px").alias("px")).collect()
+        assert len(sent) == 25 * 7  # 2 * rings + 1 a tile, where squares of neighbours would be 49
+        assert {(abs(r.step), r.n) for r in sent} == {(0, 1024), (1, 1024), (2, 1024), (3, (75 - 64) * 32)}
+        assert all((r.px == 1024) == (r.step == 0) for r in sent)
+
+
 @pytest.mark.parametrize("parts", [1, 4, 17])
 def test_samples_do_not_depend_on_partitions(spark, parts):
     df = spark.range(100).repartition(parts)

@@ -3,10 +3,12 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lithograph.sources import io
-from lithograph.sources.raw_f32 import read_f32_records
+from lithograph.sources.raw_f32 import RawF32Writer, Staged, StagedWriter, read_f32_records, write_f32_records
 
 
 def test_raw_records_ignore_a_cut_one(spark, tmp_path):
@@ -52,3 +54,55 @@ def test_geojson_collection(spark, tmp_path):
     assert made["type"] == "FeatureCollection" and len(made["features"]) == 2
     with pytest.raises(ValueError):
         io.write_geojson(df, str(tmp_path / "h"), collection=True, most=1)
+
+
+def chips(spark, n, parts=3):
+    return spark.range(n).select("id", F.lit(1).alias("c"), F.lit(2).alias("h"), F.lit(3).alias("w"), F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: (F.col("id") * 10 + i).cast("float")).alias("px")).repartition(parts)
+
+
+def test_a_smaller_second_run_leaves_its_own_records_only(spark, tmp_path):
+    for n in (900, 7):
+        write_f32_records(chips(spark, n), str(tmp_path / "f32"))
+        rows = read_f32_records(spark, str(tmp_path / "f32"), 1, 2, 3).orderBy("id").collect()
+        assert [r.px[0] for r in rows] == [10.0 * i for i in range(n)]
+        io.write_npy_dir(chips(spark, n), str(tmp_path / "npy"))
+        assert sorted(int(r.name) for r in io.read_npy_dir(spark, str(tmp_path / "npy")).collect()) == list(range(n))
+    assert {r.name: r.px for r in io.read_npy_dir(spark, str(tmp_path / "npy")).collect()}["6"] == [60.0 + i for i in range(6)]
+    assert not [f for f in [*(tmp_path / "f32").iterdir(), *(tmp_path / "npy").iterdir()] if f.name.startswith("_")]
+
+
+def test_a_task_that_fails_once_writes_its_records_once(spark, tmp_path):
+    """Attempts write aside, and only those that count are taken over."""
+    writer = RawF32Writer(str(tmp_path / "out"))
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "part-000009.f32").write_bytes(b"old")
+    batch = pa.RecordBatch.from_arrays([pa.array([[1.0, 2.0], [3.0, 4.0]], pa.list_(pa.float32()))], ["px"])
+    system, _, hidden = writer.hidden()
+
+    def attempt(number, batches):
+        folder = f"{hidden}/000000-{number}"
+        system.create_dir(folder, recursive=True)
+        return Staged(folder, writer.write_files(system, folder, 0, batches))
+
+    def broken():
+        yield batch
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        attempt(0, broken())
+    done = attempt(1, iter([batch]))
+    attempt(2, iter([batch, batch]))  # a copy of the task that came too late
+    assert [f.name for f in (tmp_path / "out").iterdir() if f.is_file()] == ["part-000009.f32"]
+    writer.commit([done, None])
+    assert [f.name for f in (tmp_path / "out").iterdir()] == ["part-000000.f32"]
+    assert np.fromfile(tmp_path / "out" / "part-000000.f32", dtype="<f4").tolist() == [1, 2, 3, 4]
+
+
+def test_a_job_that_fails_leaves_what_was_there(spark, tmp_path):
+    write_f32_records(chips(spark, 5), str(tmp_path / "f32"))
+    bad = chips(spark, 50).withColumn("px", F.when(F.col("id") == 33, F.raise_error(F.lit("no"))).otherwise(F.col("px")))
+    with pytest.raises(Exception):
+        write_f32_records(bad, str(tmp_path / "f32"))
+    assert read_f32_records(spark, str(tmp_path / "f32"), 1, 2, 3).count() == 5
+    assert not [f for f in (tmp_path / "f32").iterdir() if f.name.startswith("_")]
+    assert issubclass(RawF32Writer, StagedWriter)
