@@ -15,6 +15,9 @@ from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_a
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithograph.functions import chips as chips_of
+from lithograph.functions import resample
+from lithograph.functions.geo import file_stem
 from lithograph.operators.graph import connected_components
 from lithograph.operators.hierarchy import density_hierarchy
 from lithograph.operators.neighbours import best_of, exact_pairs, knn_edges, lsh_pairs, pairs_within
@@ -153,6 +156,19 @@ def encode(chips: DataFrame, encoder: PcaModel | Callable[[], Callable], col: st
     return chips.select("id", run(F.transform(col, lambda x: x.cast("float"))).alias("embedding"))
 
 
+def encode_labelled(images: DataFrame, listing: DataFrame, components: int = 8, size: int = 224) -> DataFrame:
+    """(id, state, embedding) of labelled images: (name, shape, px) with rows of bytes, and (name, state) of the listing.
+
+    Images are brought to size x size pixels and to 0 .. 1, turned so that their darker half is on the right, and encoded by their own components.
+    """
+    h, w = F.element_at("shape", -2), F.element_at("shape", -1)
+    resized = images.select("name", resample.resize(F.col("px"), h, w, size, size, "bilinear", True).alias("px"))
+    ready = resized.select(F.col("name").alias("id"), chips_of.orient(chips_of.to_unit(F.col("px")), F.lit(size), F.lit(size)).alias("px"))
+    ready = materialize(ready, "labelled")
+    states = listing.select(file_stem(F.col("name")).alias("id"), "state")
+    return encode(ready, fit_pca(ready, "px", components)).join(states, "id").select("id", "state", "embedding")
+
+
 def reconstruct(chips: DataFrame, model: PcaModel, col: str = "px") -> DataFrame:
     """(id, x, xhat): chips beside what a PCA model makes of them."""
     scores = transform_pca(chips, col, model)

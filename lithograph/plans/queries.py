@@ -79,6 +79,29 @@ def _(x):
     return catalog.labelled_listing(x.files)
 
 
+def _labelled_folder(x: Fixtures) -> str:
+    """Chips written one file each, named after their id and state."""
+    named = x.chips.join(x.states, "id").withColumn("key", F.concat(F.lit("img"), F.col("id").cast("string"), F.lit("_"), F.col("state").cast("string")))
+    io.write_npy_dir(named, path := _path(x, "labelled"), "key")
+    return path
+
+
+@query("S5_labelled_folder", "SELECT concat('img', id, '_', state, '.npy') AS name, state, CSV(px) AS px FROM chips JOIN states USING (id)")
+def _(x):
+    """A folder of files listed with the states in their names, and read."""
+    path = _labelled_folder(x)
+    read = io.read_npy_dir(x.spark, path).select(F.concat("name", F.lit(".npy")).alias("name"), csv(F.transform("px", lambda v: v.cast("int"))).alias("px"))
+    return io.list_labelled(x.spark, path, "*.npy").join(read, "name").select("name", "state", "px")
+
+
+@query("pipeline_labelled_set", "SELECT state, count(*) AS n, 8 AS n_latents FROM states GROUP BY state")
+def _(x):
+    """Labelled image files to latents: list, read, resize, scale, orient, encode."""
+    path = _labelled_folder(x)
+    latents = learning.encode_labelled(io.read_npy_dir(x.spark, path), io.list_labelled(x.spark, path, "*.npy"), 8, 64)
+    return latents.groupBy("state").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("n_latents"))
+
+
 METADATA = "SELECT crater_id AS id, lat, CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS lon, round({r} * radians(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END), 4) AS x, round({r} * radians(lat), 4) AS y, diam_km * 1000 AS diam FROM catalog"
 
 

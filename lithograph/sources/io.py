@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 
+from lithograph.operators.catalog import labelled_listing
 from lithograph.sources.raw_f32 import StagedWriter
 
 CATALOG = "crater_id string, lat double, lon double, diam_km double"
@@ -143,6 +144,11 @@ def read_npy_dir(spark: SparkSession, path: str) -> DataFrame:
     return files.select(stem, "content").mapInPandas(load, "name string, shape array<int>, px array<float>")
 
 
+def list_labelled(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path, name, state of the files in a folder, the state taken from the name (see labelled_listing); nothing of the files is read."""
+    return labelled_listing(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path"))
+
+
 def save_model(model, path: str) -> None:
     """A fitted Spark ML model, for later stages."""
     model.write().overwrite().save(path)

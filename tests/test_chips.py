@@ -104,6 +104,42 @@ def test_sql_names(spark):
     assert round(row.a, 2) == -179.99 and row.b == 180 and row.c == "y.tar" and row.d == [2.0, 1.0, 4.0, 3.0]
 
 
+def test_sql_names_give_what_the_functions_give(spark):
+    """Each function by its name in SQL text and as a column, over the same chips."""
+    import math
+    import random
+
+    from lithograph.functions import geo as G
+    from lithograph.functions import resample as R
+
+    register_all(spark)
+    rng = random.Random(2)
+    rows = [(i, 8, w, [float(rng.randrange(256)) for _ in range(8 * w)], [float(rng.randrange(256)) for _ in range(8 * w)], [float(rng.random() < 0.5) for _ in range(8 * w)], [1.0, 0.0, 0.0, 1.0], rng.uniform(-89, 89), rng.uniform(0, 360), rng.randrange(1, 5), f"/a/b/c{i}_{i % 4}.x.png") for i, w in enumerate([8, 8, 3, 12, 1, 8] * 6)]
+    rows.append((99, 1, 2, [math.nan, 1.0], [1.0, 2.0], [0.0, 1.0], [1.0, 0.0, 0.0, 1.0], 90.0, 180.0, 3, "n"))
+    df = spark.createDataFrame(rows, "id int, h int, w int, px array<double>, other array<double>, mask array<double>, patches array<double>, lat double, lon double, state int, path string")
+    px, h, w, other, mask, lat, lon, key = (F.col(c) for c in ("px", "h", "w", "other", "mask", "lat", "lon", "id"))
+    left, right = E.half_means(px, h, w)
+    box = G.crop_box(lon, lat, lat, F.lit(4.0), 0.5)
+    pairs = {
+        "chip_mirror(px, h, w)": E.mirror(px, h, w), "chip_left_mean(px, h, w)": left, "chip_right_mean(px, h, w)": right, "chip_orient(px, h, w)": E.orient(px, h, w),
+        "chip_to_unit(px)": E.to_unit(px), "chip_to_gray(px, 2)": E.to_gray(px, 2), "chip_replicate(px, 3)": E.replicate(px, 3), "chip_standardize(px, 9D, 2D)": E.standardize(px, F.lit(9.0), F.lit(2.0)),
+        "chip_destandardize(px, 9D, 2D)": E.destandardize(px, F.lit(9.0), F.lit(2.0)), "chip_clamp(px, 20D, 90D)": E.clamp(px, 20, 90), "chip_display_scale(chip_standardize(px, 127D, 40D))": E.display_scale(E.standardize(px, F.lit(127.0), F.lit(40.0))),
+        "chip_expand_mask(patches, 4, 8)": E.expand_mask(F.col("patches"), 4, 8), "chip_masked_only(px, mask, 0.5D)": E.masked_only(px, mask), "chip_composite(px, other, mask)": E.composite(px, other, mask),
+        "chip_abs_diff(px, other)": E.abs_diff(px, other), "chip_vflip_random(px, h, w, cast(id AS STRING), '42', 0.5D)": E.vflip_random(px, h, w, key), "chip_erase_random(px, h, w, cast(id AS STRING), '42', 0.7D)": E.erase_random(px, h, w, key, p=0.7),
+        "has_nan(px)": E.has_nan(px), "wrap_lon(lon)": G.wrap_lon(lon), "project_x(lon, 10D)": G.project_equirect(lon, lat, 10.0)[0], "project_y(lat, 10D)": G.project_equirect(lon, lat, 10.0)[1],
+        "combine_states(state)": G.combine_states(F.col("state")), "state_name(state, map(1, 'new'))": G.state_name(F.col("state"), {1: "new"}), "file_stem(path)": G.file_stem(F.col("path")),
+        "crop_box(lon, lat, lat, 4D, 0.5D).min_x": box[0], "crop_box(lon, lat, lat, 4D, 0.5D).max_y": box[3], "aspect_height(h, lat * 0.9)": R.aspect_height(h, lat * 0.9),
+        "chip_resize(px, h, w, 5, 7)": R.resize(px, h, w, 5, 7), "chip_resize_bicubic(px, h, w, 5, 7)": R.resize(px, h, w, 5, 7, "bicubic", True), "chip_add_noise(px, cast(id AS STRING))": R.add_noise(px, key),
+        "shape_differs(px, other)": F.size(px) != F.size(other), "km_to_m(lat)": lat * 1000,
+    }
+    columns = [c for i, (sql, column) in enumerate(pairs.items()) for c in (F.expr(sql).alias(f"s{i}"), column.alias(f"c{i}"))]
+    same = lambda a, b: a == b or (isinstance(a, list) and len(a) == len(b) and all(same(x, y) for x, y in zip(a, b))) or (isinstance(a, float) and (math.isclose(a, b, rel_tol=1e-12) or (math.isnan(a) and math.isnan(b))))
+    for row in df.select(*columns).collect():
+        for i, sql in enumerate(pairs):
+            assert same(row[f"s{i}"], row[f"c{i}"]), (sql, row[f"s{i}"], row[f"c{i}"])
+    assert spark.sql("SELECT in_catalog_bounds(5D, 10D, 1D, 10D, -60D, 60D) a, in_catalog_bounds(double('nan'), 0D, 1D, 10D, -60D, 60D) b, in_catalog_bounds(NULL, 0D, 1D, 10D, -60D, 60D) c, label_of_file('/a/x_3.png') d").first()[:] == (True, False, False, 3)
+
+
 def test_orient_by_batches_is_orient(spark):
     import random
 
