@@ -2,7 +2,9 @@
 
 A text is lower-cased (A-Z) and cut into runs of letters, digits and non-ASCII characters. One Aho-Corasick automaton
 finds every notice phrase and identifier tag as consecutive words. Behind an identifier tag the raw text is parsed as an
-expression of identifiers with OR, AND, WITH and parentheses; the parser stops where the expression ends.
+expression of identifiers with OR, AND, WITH and parentheses; the parser stops where the expression ends. A tag counts where a colon or an
+equals sign follows it and the expression starts with a licence (a name that has a rank here, a LicenseRef, a name with a version); other words
+give no label.
 
 score: how freely the document may be used, from 0 to 1. A licence scores by PERMISSION (unknown ones 0.3), OR takes the
 better side, AND the worse, WITH adds 0.1 for the exception; the document takes the least of all it states, and 0 if it
@@ -67,7 +69,8 @@ RANK = {"or": 1, "and": 2, "with": 3}
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 # a tag as its words, however they are joined; the expression may be quoted or stand on the next line
 _TAG = re.compile(rb"(?:spdx[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+license[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+identifier|license[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+expression)"
-                  rb"[\"'`]?[ \t]*[:=]*[ \t]*(?:\r?\n[ \t#*/;-]*)?[\"'`<\[]*([^\r\n]*)", re.I)
+                  rb"[\"'`]?[ \t]*[:=]+[ \t]*(?:\r?\n[ \t#*/;-]*)?[\"'`<\[]*([^\r\n]*)", re.I)
+_NAMED = re.compile(r"licenseref-.+|[a-z][a-z0-9.]*(?:-[a-z0-9.]+)*-v?\d[\d.]*(?:-[a-z-]+)?", re.I)  # a licence that has no rank here, but the form of an identifier
 _TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 
 
@@ -79,6 +82,11 @@ def label_of(identifier: str) -> str:
     return re.sub(r"\.0$", "", name)
 
 
+def is_licence(identifier: str) -> bool:
+    """Whether a word names a licence: one that has a rank here, a LicenseRef, or a name with a version."""
+    return label_of(identifier) in PERMISSION or _NAMED.fullmatch(identifier) is not None
+
+
 def to_postfix(text: str) -> list[str]:
     """The longest expression at the start of text, in postfix order (shunting-yard); [] if there is none."""
     out: list[str] = []
@@ -164,8 +172,10 @@ def scan_text(text: bytes, finder: ahocorasick.Automaton) -> tuple[int, int, int
     scores = [PERMISSION.get(x, UNKNOWN) for x in labels]
     if tagged:
         for m in _TAG.finditer(text):
-            named, score = evaluate(to_postfix(m[1].decode("utf-8", "replace")))
-            if named:
+            postfix = to_postfix(m[1].decode("utf-8", "replace"))
+            named, score = evaluate(postfix)
+            if postfix and is_licence(postfix[0]):
+                named = {label_of(x) for x in postfix if x not in RANK and is_licence(x)} & named
                 labels |= named
                 scores.append(score)
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), min(scores, default=0.0)

@@ -528,6 +528,10 @@ def test_expressions():
     assert licenses.scan_text(b"cc by nc", finder)[1:6] == (1, 0, 0, "cc-by-nc", "cc-by-nc")
     for text in (b'license_expression = "MIT AND BSD-3-Clause"', b"# SPDX-License-Identifier:\n#  MIT AND BSD-3-Clause", b"license-expression: 'MIT AND BSD-3-Clause'", b"SPDX License Identifier: MIT AND BSD-3-Clause"):
         assert licenses.scan_text(text, finder)[5] == "bsd-3-clause,mit", text
+    for text in (b"License expression is a term we use in this paper", b"SPDX-License-Identifier: see the file", b"A license expression: that is what we mean", b"license expression MIT", b"SPDX-License-Identifier: (see OR MIT)"):
+        assert licenses.scan_text(text, finder)[5:] == ("", 0.0), text
+    assert licenses.scan_text(b"SPDX-License-Identifier: EPL-2.0 OR LicenseRef-Own", finder)[5:] == ("epl-2,licenseref-own", 0.3)
+    assert licenses.scan_text(b"SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", finder)[5:] == ("gpl-2", 0.6)
     many = b"cc by nc, under the MIT license. " * 20000
     found = licenses.scan_text(many, finder)
     assert found[:6] == (140000, 40000, 0, 139996, "cc-by-nc,mit", "cc-by-nc,mit")
