@@ -8,20 +8,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithograph.functions import chips as chips_of
 from lithograph.functions import resample
 from lithograph.functions.geo import file_stem
+from lithograph.operators.folds import fit_folds, held_out
 from lithograph.operators.graph import connected_components
 from lithograph.operators.hierarchy import density_hierarchy
 from lithograph.operators.neighbours import best_of, exact_pairs, knn_edges, lsh_pairs, pairs_within
-from lithograph.operators.pca import PcaModel, fit_pca, moments, pca_reconstruct, transform_pca
+from lithograph.operators.pca import PcaModel, as_matrix, fit_pca, moments, pca_reconstruct, transform_pca
 from lithograph.operators.sampling import dense_index
 from lithograph.operators.spectral import spectral_clusters
 from lithograph.operators.ward import ward_clusters
@@ -115,37 +115,39 @@ def density_cut(df: DataFrame, col: str = "embedding", min_size: int = 10, min_s
     return df.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
-def cv_probabilities(df: DataFrame, label: str, col: str = "embedding", folds: int = 5, features: int = 100, gamma: float | None = None, seed: int = 42) -> DataFrame:
+def cv_probabilities(df: DataFrame, label: str, col: str = "embedding", folds: int = 5, features: int = 100, gamma: float | None = None, cost: float = 1.0, seed: int = 42) -> DataFrame:
     """(id, prob): held-out class probabilities of a multinomial regression on random Fourier features, k-fold by class.
 
-    folds is cut to the size of the smallest class; with fewer than two rows there, no row comes out.
+    folds is cut to the size of the smallest class; with fewer than two rows there, no row comes out, nor does one for a row without label
+    or vector. Classes are in the order of their labels. All folds are fitted together, one pass over the rows a step.
     """
-    sizes = df.groupBy(label).agg(F.count("*").alias("n"))
-    smallest = sizes.agg(F.min("n")).first()[0] or 0
+    rows = df.select("id", F.col(label).alias("label"), F.col(col).alias("x")).filter("label IS NOT NULL AND x IS NOT NULL")
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
+    classes, smallest = sizes.agg(F.count("*"), F.coalesce(F.min("n"), F.lit(0))).first()
     folds = min(folds, smallest)
     if folds < 2:
         return df.limit(0).select("id", F.array().cast("array<double>").alias("prob"))
-    _, mean, std = moments(df, col)
+    _, mean, std = moments(rows, "x")
     d, spread = len(mean), float((std**2).mean() + mean.var()) or 1.0
     gamma = gamma or 1.0 / (d * spread)
     rng = np.random.default_rng(seed)
     w, b = rng.normal(0, np.sqrt(2 * gamma), (d, features)), rng.uniform(0, 2 * np.pi, features)
 
-    @F.pandas_udf("array<double>")
-    def lift(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.sqrt(2 / features) * np.cos(np.stack(x.to_numpy()).astype(float) @ w + b))) if len(x) else pd.Series([], dtype=object)
+    def lift(batches):
+        for batch in batches:
+            x = as_matrix(batch.column("x"))
+            if len(x):
+                seen = [batch.column(c).to_numpy()[:, None].astype(np.float64) for c in ("y", "fold")]
+                numbers = np.concatenate([*seen, np.sqrt(2 / features) * np.cos(x.astype(np.float64) @ w + b)], axis=1)
+                lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * numbers.shape[1], numbers.ravel())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "numbers"])
 
     # places by class and draw: rows of one class follow each other, so that folds share each class evenly
-    drawn = dense_index(df.select("id", label, F.col(col).alias("x"), F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(seed)))).alias("draw")), label, "draw", "id")
-    rows = drawn.select("id", label, array_to_vector(lift("x")).alias("features"), (F.col("idx") % folds).alias("fold"))
-    indexed = sizes.select(label, (F.row_number().over(Window.orderBy(label)) - 1).cast("double").alias("y"))  # one row per class
-    rows = materialize(rows.join(F.broadcast(indexed), label), "cv-rows")
-    out = None
-    for k in range(folds):
-        model = LogisticRegression(labelCol="y", family="multinomial", maxIter=50).fit(rows.filter(F.col("fold") != k))
-        held = model.transform(rows.filter(F.col("fold") == k)).select("id", vector_to_array("probability").alias("prob"))
-        out = held if out is None else out.unionByName(held)
-    return out
+    drawn = dense_index(rows.withColumn("draw", F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(seed))))), "label", "draw", "id")
+    indexed = sizes.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("y"))  # one row per class
+    placed = drawn.join(F.broadcast(indexed), "label").select("id", "y", (F.col("idx") % folds).alias("fold"), "x")
+    lifted = materialize(placed.mapInArrow(lift, f"id {df.schema['id'].dataType.simpleString()}, numbers array<double>"), "cv-rows")
+    return held_out(lifted, "numbers", fit_folds(lifted, "numbers", classes, folds, cost))
 
 
 def encode(chips: DataFrame, encoder: PcaModel | Callable[[], Callable], col: str = "px", batch_size: int = 400) -> DataFrame:

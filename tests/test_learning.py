@@ -253,3 +253,34 @@ def test_leading_directions_against_a_whole_decomposition(spark):
     got = np.array([rows[i * 7 + 3] for i in range(120)])
     top = vectors[:, ::-1][:, :3]
     assert np.abs(got @ got.T - top @ top.T).max() < 1e-3
+
+def test_folds_fitted_together_are_those_fitted_one_by_one(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    from lithograph.operators.folds import fit_folds, held_out
+
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(240, 4)), rng.integers(0, 3, 240)
+    x[:, 0] += y
+    x[:, 1] = 50 * x[:, 1] + 7  # badly scaled
+    rows = spark.createDataFrame([(i, [float(y[i]), float(i % 4), *map(float, x[i])]) for i in range(240)], "id long, numbers array<double>").repartition(3)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("folds", "folds")
+    weights = fit_folds(rows, "numbers", 3, 4, cost=2.0, tolerance=1e-8)
+    ran = len(jobs.getJobIdsForGroup("folds"))
+    spark.sparkContext.setJobGroup("", "")
+    got = {r.id: r.prob for r in held_out(rows, "numbers", weights).collect()}
+    assert len(got) == 240 and ran < 160  # each step is one job or two, for all folds
+    flat = rows.select("id", F.col("numbers")[0].alias("y"), F.col("numbers")[1].alias("fold"), array_to_vector(F.slice("numbers", 3, 4)).alias("features"))
+    for f in range(4):
+        model = LogisticRegression(labelCol="y", family="multinomial", maxIter=500, tol=1e-12, regParam=1 / (2.0 * 180), standardization=False).fit(flat.filter(F.col("fold") != f))
+        for r in model.transform(flat.filter(F.col("fold") == f)).collect():
+            assert np.allclose(got[r.id], r.probability.toArray(), atol=1e-5)
+
+
+def test_held_out_probabilities_of_rows_without_label_or_vector(spark):
+    rows = [(i, i % 2, [float(i % 2) * 3 + i / 50, 1.0]) for i in range(40)] + [(40, None, [1.0, 1.0]), (41, 1, None)]
+    got = learning.cv_probabilities(spark.createDataFrame(rows, "id long, label int, embedding array<double>"), "label")
+    assert sorted(r.id for r in got.collect()) == list(range(40))
+    assert all(r.prob[r.id % 2] > 0.6 for r in got.collect())
