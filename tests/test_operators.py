@@ -303,3 +303,22 @@ def test_channel_stats_edges(spark):
     assert stats.orientation_report(flat.limit(0)).first().n_checked == 0
     big = spark.createDataFrame([(0, [1e8 + v for v in (0.0, 1.0, 2.0, 3.0)])], "id int, px array<double>")
     assert stats.channel_stats(big, two_pass=True).first().std == pytest.approx(np.std([0, 1, 2, 3]))
+
+
+def test_silhouette_by_cells_is_near_and_its_bounds_hold(spark):
+    from lithograph.operators.cells import silhouette_by_cells
+
+    rng = np.random.default_rng(12)
+    k = rng.integers(0, 4, 1500)
+    x = rng.normal(size=(1500, 2)) * np.array([0.05, 1.0, 2.0, 0.5])[k][:, None] + np.array([[0, 0], [3, 1], [-40, 2], [3, 3]])[k]
+    x[:300] = x[0]  # many at one place, of all labels
+    rows = [(i, f"c{k[i]}", float(x[i, 0]), float(x[i, 1])) for i in range(1500)]
+    df = spark.createDataFrame([*rows, (1500, "alone", 9.0, 9.0), (1501, None, 0.0, 0.0), (1502, "c1", None, 1.0)], "id long, l string, x1 double, x2 double").repartition(3)
+    clean = df.filter("l IS NOT NULL AND x1 IS NOT NULL").withColumn("k", F.ascii(F.substring("l", 2, 1)))
+    exact = evaluation.silhouette(clean, "k").first()[0]
+    wide, fine = silhouette_by_cells(df, "l", cells=100).first(), silhouette_by_cells(df, "l", cells=1000).first()
+    assert wide.low <= exact <= wide.high and fine.low <= exact <= fine.high
+    assert fine.high - fine.low < (wide.high - wide.low) / 2
+    assert abs(wide.silhouette - exact) < 0.01 and abs(fine.silhouette - exact) < 0.001
+    assert silhouette_by_cells(df.filter("l = 'c1'"), "l").first()[:] == (None, None, None)
+    assert silhouette_by_cells(df.limit(0), "l").first()[:] == (None, None, None)
