@@ -11,7 +11,7 @@ from lithograph.llm.periodic_runs import op12_periodic_runs
 from lithograph.llm.ppm import op5_language_model
 from lithograph.llm.quality_classifier import op9_quality_classifier
 from lithograph.llm.quality_rules import op2_quality_rules
-from lithograph.llm.repeats import op10_suffix_array_dedup
+from lithograph.llm.repeats import OP10_SQL, op10_suffix_array_dedup
 from lithograph.llm.sharding import OP11_SQL, op11_sharding
 from lithograph.llm.simhash import op4_simhash
 from lithograph.llm.topk import OP1_SQL, op1_topk
@@ -32,4 +32,4 @@ QUERIES = {
     "op13_filter_audit": op13_filter_audit,
 }
 
-SQL = {"op1_topk": OP1_SQL, "op3_mixing": OP3_SQL, "op11_sharding": OP11_SQL, "op13_filter_audit": OP13_SQL}
+SQL = {"op1_topk": OP1_SQL, "op3_mixing": OP3_SQL, "op10_suffix_array_dedup": OP10_SQL, "op11_sharding": OP11_SQL, "op13_filter_audit": OP13_SQL}

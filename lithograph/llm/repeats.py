@@ -463,3 +463,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def op10_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+# all windows of 100 bytes by their hash, in place of the suffix order
+OP10_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+ p AS (SELECT doc_id, c, substr(h, 2 * c + 1, 710) AS part FROM (SELECT doc_id, h, unnest(range(0, n, 256)) AS c FROM n)),
+ w AS (SELECT doc_id, c + j AS s, md5(substr(part, 2 * j + 1, 200)) AS v FROM (SELECT doc_id, c, part, unnest(range(least(256, length(part) // 2 - 99))) AS j FROM p)),
+ r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY v ORDER BY doc_id, s) AS nth FROM w) WHERE nth > 1),
+ i AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM r)),
+ x AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY doc_id, run),
+ k AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS b FROM x UNION ALL SELECT n.doc_id, coalesce(max(x.b), 0), max(n.n) FROM n LEFT JOIN x USING (doc_id) GROUP BY n.doc_id),
+ t AS (SELECT k.doc_id, string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (b - a))::BIGINT), '' ORDER BY a) AS kept FROM k JOIN n USING (doc_id) GROUP BY k.doc_id)
+ SELECT n.doc_id, n.n::BIGINT AS n_bytes, (n.n - length(kept) // 2)::BIGINT AS n_removed, (SELECT count(*) FROM x WHERE x.doc_id = n.doc_id) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM n JOIN t USING (doc_id)"""
