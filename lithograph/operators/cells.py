@@ -78,15 +78,22 @@ def _centre(place: np.ndarray, level: np.ndarray | int, corner: np.ndarray, side
     return corner + (place + 0.5) * (side / 2.0 ** np.asarray(level, dtype=np.float64)).reshape(-1, 1)
 
 
-def _cut(rows: DataFrame, labels: int, corner: np.ndarray, side: float, most: int) -> Cells:
-    """At most `most` cells and 16 a label: those are cut first whose points can add most to the error of a mean distance to their label."""
+def _cut(rows: DataFrame, labels: int, corner: np.ndarray, side: float, most: int, precision: float) -> Cells:
+    """At most `most` cells and 16 a label: those are cut first whose points can add most to the error of a mean distance to their label.
+
+    A label is done when its points are within `precision` of its own spread of the means of their cells, on average.
+    """
     cells = _measure(rows, np.array([[i, 0, 0, 0] for i in range(labels)]), corner, side)
     while True:
-        sizes = np.bincount(cells.key[:, 0], weights=cells.moments[:, 0])
-        doubt = np.sqrt(cells.moments[:, 0] * cells.spread()) / sizes[cells.key[:, 0]]
+        label, n, mean = cells.key[:, 0], cells.moments[:, 0], cells.moments[:, 1:3]
+        sizes = np.bincount(label, weights=n)
+        centre = np.stack([np.bincount(label, weights=n * m) for m in mean.T], axis=1) / sizes[:, None]
+        wide = np.sqrt(np.bincount(label, weights=cells.spread() + n * ((mean - centre[label]) ** 2).sum(axis=1)) / sizes)
+        doubt = np.sqrt(n * cells.spread()) / (sizes * np.where(wide > 0, wide, 1.0))[label]
+        doubt[np.bincount(label, weights=doubt)[label] <= precision] = 0
         doubt[cells.key[:, 1] + 2 > BITS] = 0
         order = np.argsort(-doubt, kind="stable")[: max(0, (most - len(doubt)) // 15)]
-        order = order[(doubt[order] > 0) & (doubt[order] >= doubt.max() / 8)]
+        order = order[(doubt[order] > 0) & (doubt[order] >= doubt.max() / 32)]
         if not len(order):
             return cells
         new, stay = _measure(rows, cells.key[order], corner, side), np.setdiff1d(np.arange(len(doubt)), order)
@@ -113,7 +120,7 @@ def _scores(own: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.divide(other - own, top, out=np.zeros_like(top), where=top > 0)
 
 
-def silhouette_by_cells(df: DataFrame, label: str, coords: tuple[str, str] = ("x1", "x2"), cells: int = 2048) -> DataFrame:
+def silhouette_by_cells(df: DataFrame, label: str, coords: tuple[str, str] = ("x1", "x2"), cells: int = 2048, precision: float = 0.02) -> DataFrame:
     """One row: silhouette, and low and high, between which the exact one is; 0 for a point alone in its cluster, all null for fewer than two clusters.
 
     Rows with null or non-finite coordinates or null label take no part. Each point meets at most `cells` cells, or 16 a label where that
@@ -130,7 +137,7 @@ def silhouette_by_cells(df: DataFrame, label: str, coords: tuple[str, str] = ("x
     numbered = spark.createDataFrame(list(enumerate(kinds)), f"number long, label {rows.schema['label'].dataType.simpleString()}")
     rows = rows.join(F.broadcast(numbered), "label").select("x", "y", "number")  # one row per label
     corner, side = np.array(box[:2]), max(box[2] - box[0], box[3] - box[1]) * (1 + 1e-9) or 1.0
-    found = _cut(rows, len(kinds), corner, side, cells)
+    found = _cut(rows, len(kinds), corner, side, cells, precision)
     order = np.argsort(found.key[:, 0], kind="stable")
     sorted_labels, moments = found.key[order, 0], found.moments[order]
     starts = np.searchsorted(sorted_labels, np.arange(len(kinds)))

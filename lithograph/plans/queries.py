@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lithograph.functions import chips as E
 from lithograph.functions import geo as G
 from lithograph.functions import resample
-from lithograph.operators import catalog, embedding, evaluation, learning, raster, sampling, stats
+from lithograph.operators import catalog, cells, embedding, evaluation, learning, raster, sampling, stats
 from lithograph.operators.pca import Pca
 from lithograph.plans.fixtures import Fixtures, with_fixtures
 from lithograph.session import materialize, shared_dir
@@ -499,6 +499,13 @@ def _(x):
     return evaluation.silhouette(x.truth, "pred").select(r6("silhouette").alias("silhouette"))
 
 
+@query("A14_silhouette_cells", f"WITH {SILHOUETTE.format(l='pred')} SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 3) AS silhouette, true AS narrow FROM p")
+def _(x):
+    """The linear form; its bounds are no more than a tenth apart."""
+    found = cells.silhouette_by_cells(x.truth, "pred")
+    return found.select(F.round("silhouette", 3).alias("silhouette"), ((F.col("high") - F.col("low")).between(0.0, 0.1)).alias("narrow"))
+
+
 SQUARED = SILHOUETTE.format(l="pred").replace("sum(sqrt(", "sum((")
 
 

@@ -316,7 +316,7 @@ def test_silhouette_by_cells_is_near_and_its_bounds_hold(spark):
     df = spark.createDataFrame([*rows, (1500, "alone", 9.0, 9.0), (1501, None, 0.0, 0.0), (1502, "c1", None, 1.0)], "id long, l string, x1 double, x2 double").repartition(3)
     clean = df.filter("l IS NOT NULL AND x1 IS NOT NULL").withColumn("k", F.ascii(F.substring("l", 2, 1)))
     exact = evaluation.silhouette(clean, "k").first()[0]
-    wide, fine = silhouette_by_cells(df, "l", cells=100).first(), silhouette_by_cells(df, "l", cells=1000).first()
+    wide, fine = silhouette_by_cells(df, "l", cells=100).first(), silhouette_by_cells(df, "l", cells=1000, precision=0.005).first()
     assert wide.low <= exact <= wide.high and fine.low <= exact <= fine.high
     assert fine.high - fine.low < (wide.high - wide.low) / 2
     assert abs(wide.silhouette - exact) < 0.01 and abs(fine.silhouette - exact) < 0.001
