@@ -1,6 +1,7 @@
 """Chip functions and resamplers against NumPy, with edge cases."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -150,3 +151,11 @@ def test_orient_by_batches_is_orient(spark):
     df = spark.createDataFrame(rows, "id int, h int, w int, px array<int>")
     args = [F.col(c) for c in ("px", "h", "w")]
     assert df.filter(chips.orient(*args) != resample.orient(*args)).count() == 0
+
+
+def test_resized_chips_go_out_a_bounded_number_of_pixels_at_a_time(spark):
+    chips = [pd.Series([np.arange(64)] * 100), *(pd.Series([n] * 100) for n in (8, 8, 224, 224))]
+    out = list(resample.resize_udf().func(iter([chips])))
+    assert sum(map(len, out)) == 100 and max(sum(map(len, part)) for part in out) < resample.MOST_PIXELS + 224 * 224
+    some = spark.range(300).select("id", resample.resize(F.array(*(F.lit(float(i)) for i in range(63)), F.col("id").cast("double")), F.lit(8), F.lit(8), 224, 224).alias("px"))
+    assert {(r.id, r.last) for r in some.select("id", F.col("px")[50175].alias("last")).collect()} == {(i, i) for i in range(300)}
