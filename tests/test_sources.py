@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lithograph.session import materialize
 from lithograph.sources import io
 from lithograph.sources.raw_f32 import RawF32Writer, Staged, StagedWriter, read_f32_records, write_f32_records
 
@@ -106,3 +107,14 @@ def test_a_job_that_fails_leaves_what_was_there(spark, tmp_path):
     assert read_f32_records(spark, str(tmp_path / "f32"), 1, 2, 3).count() == 5
     assert not [f for f in (tmp_path / "f32").iterdir() if f.name.startswith("_")]
     assert issubclass(RawF32Writer, StagedWriter)
+
+
+def test_wide_rows_are_written_in_small_row_groups(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    made = F.transform(F.sequence(F.lit(0), F.lit(50175)), lambda i: F.sin(i + F.col("id") * 7.0).cast("float"))
+    table = materialize(spark.range(0, 400, 1, 1).select("id", made.alias("px")), "wide", wide=True)
+    groups = [f.metadata.row_group(i).num_rows for f in map(pq.ParquetFile, glob.glob(f"{table._written}/*.parquet")) for i in range(f.metadata.num_row_groups)]
+    assert sum(groups) == 400 and max(groups) <= 200  # a task reads no more than a group at a time, and by default all 400 make one
