@@ -77,6 +77,23 @@ def test_gaussian_highpass_around_an_absent_tile(spark, scene, sigma, tile):
         assert got[y // tile, x // tile][(y % tile) * tile + x % tile] == int(np.floor(np.clip(image[y, x] - (k * image[box]).sum() / k.sum() + 128, 0, 255)))
 
 
+@pytest.mark.parametrize("radius, sigma", [(1, None), (None, 2.0)])
+def test_highpass_beside_an_unfinished_row_of_tiles(spark, scene, radius, sigma):
+    """The last row of tiles ends early: pixels above its end see its last pixel across the corner."""
+    image, _ = scene
+    rows = [(r, c, image[r * 8 : (r + 1) * 8, c * 8 : (c + 1) * 8].ravel().tolist()) for r in range(3) for c in range(4 if r < 2 else 2)]
+    got = {(r.tile_row, r.tile_col): r.px for r in raster.highpass(spark.createDataFrame(rows, "tile_row long, tile_col long, px array<int>"), 8, radius, sigma).collect()}
+    assert set(got) == {(r, c) for r, c, _ in rows}
+    there = np.ones(image.shape)
+    there[16:, 16:] = 0
+    reach = radius or 6
+    for y, x in [*((y, x) for y in range(10, 16) for x in range(12, 22)), (16, 15), (23, 15), (0, 0)]:
+        box = np.s_[max(0, y - reach) : y + reach + 1, max(0, x - reach) : x + reach + 1]
+        yy, xx = (axis[box] for axis in np.indices(image.shape))
+        k = there[box] * (1 if radius else np.exp(-((yy - y) ** 2 + (xx - x) ** 2) / 8))
+        assert got[y // 8, x // 8][(y % 8) * 8 + x % 8] == int(np.floor(np.clip(image[y, x] - (k * image[box]).sum() / k.sum() + 128, 0, 255)))
+
+
 def test_highpass_sends_strips(spark):
     tile, reach = 32, 75  # as sigma 100 is to tiles of 128
     rows = spark.range(25).select(F.floor(F.col("id") / 5).alias("tile_row"), (F.col("id") % 5).alias("tile_col"), F.array_repeat(F.lit(1.0), tile * tile).alias("px"))
