@@ -26,8 +26,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group whose 5-word shingles have a similarity of 0.8 or more."""
-    return keep_one(docs, 5, 0.8)
+    """Keeps one document of each SimHash component and, of those, one of each group whose 5-word shingles have a similarity of 0.8 or more."""
+    return keep_one(materialize(keep_one(docs), "simhash-kept"), 5, 0.8)
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """The corpus pipeline over the smallest tables, stage by stage, and the registered queries with SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from lithograph.llm import simhash
 from lithograph.llm.queries import QUERIES, SQL
 
 
@@ -19,6 +21,29 @@ def test_stages_and_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
 
 
+def test_near_dedup_keeps_one_of_each_simhash_component(spark, sf_dir):
+    """Two texts three bits apart at most whose 5-word shingles are too different to be met by them alone; and two that only shingles show."""
+    rng = np.random.default_rng(0)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    found: dict[bool, tuple[str, str]] = {}
+    while len(found) < 2:
+        a = words(60)
+        b = list(a)
+        alike = len(found) and True in found  # then one change of a long text, which leaves most shingles
+        for i in (30,) if alike else (20, 30, 40):
+            b[i] = f"x{rng.integers(10**6)}"
+        pair = " ".join(a), " ".join(b)
+        near = (simhash.fingerprint(pair[0].encode()) ^ simhash.fingerprint(pair[1].encode())).bit_count() <= 3
+        if near != bool(alike):
+            found[near] = pair
+    rows = [(k, text, "en", "s", len(text)) for k, text in enumerate([*found[True], *found[False]])]
+    sets = [simhash.shingle_set(r[1].encode()) for r in rows]
+    jaccard = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    assert jaccard(sets[0], sets[1]) < 0.8 <= jaccard(sets[2], sets[3])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()) == [0, 2]
+
+
 def test_pipeline_over_nothing(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
