@@ -1,6 +1,7 @@
 """Catalogue, raster, sampling, evaluation and learning operators on small hand-made tables."""
 
 import itertools
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -240,6 +241,23 @@ def test_window_stats_are_those_of_the_chips(spark, scene):
     assert raster.window_stats(windows.limit(0), tiles, 8).count() == 0
 
 
+def test_window_stats_take_corners_not_tiles(spark, scene):
+    """Many windows of all sizes against plain sums, around a hole that none touches; no row for every window and tile is made."""
+    image, tiles = scene
+    rng = np.random.default_rng(5)
+    w = []
+    while len(w) < 300:
+        r, c = rng.integers(0, 24), rng.integers(0, 32)
+        h, wide = rng.integers(1, 25 - r), rng.integers(1, 33 - c)
+        if r >= 16 or r + h <= 8 or c >= 16 or c + wide <= 8:
+            w.append((len(w), int(r), int(c), int(h), int(wide)))
+    windows = spark.createDataFrame(w, "id long, r0 long, c0 long, h long, w long")
+    px = np.concatenate([image[r : r + h, c : c + wide].ravel() for _, r, c, h, wide in w])
+    with mock.patch.object(raster, "_window_parts", side_effect=AssertionError):
+        got = raster.window_stats(windows, tiles.filter("tile_row <> 1 OR tile_col <> 1"), 8).first()
+    assert got.n_px == len(px) and got.mean == pytest.approx(px.mean()) and got.std == pytest.approx(px.std())
+
+
 def test_sinkhorn_sums(spark):
     rng = np.random.default_rng(3)
     rows = [(i, k, float(rng.normal())) for i in range(20) for k in range(4)]
