@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lithograph.functions import chips, resample
 from lithograph.functions import geo as G
 from lithograph.operators import catalog, embedding, evaluation, learning, raster, sampling, stats
 from lithograph.operators.graph import connected_components
@@ -258,6 +259,24 @@ def test_window_stats_take_corners_not_tiles(spark, scene):
     assert got.n_px == len(px) and got.mean == pytest.approx(px.mean()) and got.std == pytest.approx(px.std())
 
 
+def test_windows_become_chips_where_their_tiles_are(spark, scene):
+    """map_windows with squared_chip against the crop, aspect, orientation and size one after the other; no part of a window travels."""
+    image, tiles = scene
+    rng = np.random.default_rng(6)
+    starts = [(int(rng.integers(0, 24)), int(rng.integers(0, 32))) for _ in range(60)]
+    w = [(i, r, c, int(rng.integers(1, 25 - r)), int(rng.integers(1, 33 - c)), float(rng.integers(-60, 61))) for i, (r, c) in enumerate(starts)]
+    windows = spark.createDataFrame(w, "id long, r0 long, c0 long, h long, w long, lat double")
+    crops = raster.extract_windows(windows, tiles, 8).join(windows.select("id", "lat"), "id")
+    fixed = crops.select("id", "w", resample.aspect_height(F.col("h"), F.col("lat")).alias("h"), resample.aspect_fix(F.col("px"), F.col("h"), F.col("w"), F.col("lat")).alias("px"))
+    want = {r.id: r.px for r in fixed.select("id", resample.resize(chips.orient(F.col("px"), F.col("h"), F.col("w")), F.col("h"), F.col("w"), 16, 16, "bicubic", True).alias("px")).collect()}
+    with mock.patch.object(raster, "_window_parts", side_effect=AssertionError):
+        for most in (1 << 28, 300):
+            got = {r.id: r.px for r in raster.map_windows(windows, tiles, 8, lambda image, lat: resample.squared_chip(image, lat, 16), "lat", most).collect()}
+            assert set(got) == set(want) == set(range(60)) and all(np.abs(np.array(got[i]) - want[i]).max() < 1e-3 for i in got)
+        with pytest.raises(Exception, match="a tile is missing under window"):
+            raster.map_windows(windows, tiles.filter("tile_row <> 1"), 8, lambda image, lat: resample.squared_chip(image, lat, 16), "lat").collect()
+
+
 def test_sinkhorn_sums(spark):
     rng = np.random.default_rng(3)
     rows = [(i, k, float(rng.normal())) for i in range(20) for k in range(4)]
