@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithograph.functions.geo import combine_states
-from lithograph.operators.neighbours import BLOCK_ROWS, block_pairs, packed_blocks, unpacked
+from lithograph.operators.neighbours import block_pairs, packed_blocks, unpacked
 from lithograph.session import materialize
 
 
@@ -130,12 +130,12 @@ def v_measure(ct: DataFrame) -> DataFrame:
     return out.withColumn("v_measure", F.when(both > 0, 2 * F.col("homogeneity") * F.col("completeness") / both).otherwise(0.0))
 
 
-def silhouette(df: DataFrame, label: str, coords: tuple[str, str] = ("x1", "x2"), most: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def silhouette(df: DataFrame, label: str, coords: tuple[str, str] = ("x1", "x2"), most: int | None = None, block_rows: int | None = None) -> DataFrame:
     """One row: the mean exact Euclidean silhouette; 0 for a point alone in its cluster, null for fewer than two clusters."""
     return silhouettes(df, [label], coords, most, block_rows).withColumnRenamed(label, "silhouette")
 
 
-def silhouettes(df: DataFrame, labels: list[str], coords: tuple[str, str] = ("x1", "x2"), most: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def silhouettes(df: DataFrame, labels: list[str], coords: tuple[str, str] = ("x1", "x2"), most: int | None = None, block_rows: int | None = None) -> DataFrame:
     """One row: silhouette by each of several labels (whole numbers), from one pass over the distances.
 
     Points meet by pairs of blocks, in which a task sums distances by point and label. The work is the square of the rows. Only if asked
@@ -149,6 +149,10 @@ def silhouettes(df: DataFrame, labels: list[str], coords: tuple[str, str] = ("x1
     blocks, count = packed_blocks(rows, "x", block_rows)
 
     def sums(ids: np.ndarray, a: np.ndarray, b: np.ndarray):
+        for at in range(0, len(ids), 512):
+            yield from part_sums(ids[at : at + 512], a[at : at + 512], b)
+
+    def part_sums(ids: np.ndarray, a: np.ndarray, b: np.ndarray):
         distance = np.sqrt((a[:, None, 0] - b[None, :, 0]) ** 2 + (a[:, None, 1] - b[None, :, 1]) ** 2)
         for which in range(len(labels)):
             for other in np.unique(b[:, 2 + which]):

@@ -18,7 +18,8 @@ from lithograph.operators.pca import as_matrix
 from lithograph.operators.sampling import dense_index
 from lithograph.session import discard, materialize
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS, MOST_BLOCK_ROWS, BLOCK_NUMBERS = 2048, 16384, 1 << 21  # rows of a block of few and of many rows, and numbers of one
+MOST_PARTS = 2048  # that pairs of blocks are dealt to
 PAIRS = "id long, neighbour long, distance double"
 
 
@@ -50,10 +51,16 @@ def nearest(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, k
     return tuple(np.concatenate(x) for x in zip(*found)) if found else empty
 
 
-def packed_blocks(df: DataFrame, col: str, block_rows: int = BLOCK_ROWS, by: str = "xxhash64(id)") -> tuple[DataFrame, int]:
-    """(block, ids, vectors): about block_rows rows to a block, vectors end to end; and the number of blocks."""
+def packed_blocks(df: DataFrame, col: str, block_rows: int | None = None, by: str = "xxhash64(id)") -> tuple[DataFrame, int]:
+    """(block, ids, vectors): about block_rows rows to a block, vectors end to end; and the number of blocks.
+
+    By default blocks grow with the rows up to a bound, since what pairs of blocks shuffle is the square of their number times their size.
+    """
     rows = df.select("id", F.col(col).cast("array<double>").alias("v"))
-    blocks = max(1, -(-rows.count() // block_rows))
+    n, wide = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    if block_rows is None:
+        block_rows = min(max(BLOCK_ROWS, n // 32), MOST_BLOCK_ROWS, max(1, BLOCK_NUMBERS // max(1, wide or 1)))
+    blocks, most = max(1, -(-n // block_rows)), block_rows + block_rows // 4  # blocks dealt by a hash are not all of one size
     dealt = rows.withColumn("block", F.pmod(F.expr(by), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,8 +71,8 @@ def packed_blocks(df: DataFrame, col: str, block_rows: int = BLOCK_ROWS, by: str
                 held.setdefault(int(b), []).append((ids[own == b], vectors[own == b]))
         for b, parts in held.items():
             ids, vectors = (np.concatenate(x) for x in zip(*parts))
-            for at in range(0, len(ids), block_rows):  # ids that repeat may fill a block more than once
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([ids[at : at + block_rows]], pa.list_(pa.int64())), pa.array([vectors[at : at + block_rows].ravel()], pa.list_(pa.float64()))], ["block", "ids", "vectors"])
+            for at in range(0, len(ids), most):  # ids that repeat may fill a block more than once
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([ids[at : at + most]], pa.list_(pa.int64())), pa.array([vectors[at : at + most].ravel()], pa.list_(pa.float64()))], ["block", "ids", "vectors"])
 
     return materialize(dealt.filter("v IS NOT NULL").mapInArrow(pack, "block int, ids array<long>, vectors array<double>"), "blocks"), blocks
 
@@ -77,13 +84,17 @@ def unpacked(batch: pa.RecordBatch, ids: str, vectors: str) -> Iterator[tuple[np
 
 
 def block_pairs(blocks: DataFrame, count: int) -> DataFrame:
-    """(ids, vectors, ids2, vectors2) for every pair of blocks, each unordered pair once (a block with itself as well)."""
+    """(ids, vectors, ids2, vectors2) for every pair of blocks, each unordered pair once (a block with itself as well).
+
+    Pairs are dealt out by themselves: the join alone would give one task all pairs of a block, and small partitions of long work to one task.
+    """
     right = blocks.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("vectors").alias("vectors2"))
     left = blocks.withColumn("other", F.explode(F.sequence("block", F.lit(count - 1))))
-    return left.join(right, "other").select("ids", "vectors", "ids2", "vectors2", (F.col("block") == F.col("other")).alias("same"))
+    dealt = left.join(right, "other").repartition(min(max(1, count * (count + 1) // 2), MOST_PARTS), "block", "other")
+    return dealt.select("ids", "vectors", "ids2", "vectors2", (F.col("block") == F.col("other")).alias("same"))
 
 
-def exact_pairs(df: DataFrame, col: str, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def exact_pairs(df: DataFrame, col: str, k: int, block_rows: int | None = None) -> DataFrame:
     """Candidates for the k nearest: the k nearest within each pair of blocks. The work is the square of the rows."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +107,7 @@ def exact_pairs(df: DataFrame, col: str, k: int, block_rows: int = BLOCK_ROWS) -
     return block_pairs(blocks, count).mapInArrow(meet, PAIRS).distinct() if count else df.sparkSession.createDataFrame([], PAIRS)
 
 
-def pairs_within(df: DataFrame, col: str, radius: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pairs_within(df: DataFrame, col: str, radius: float, block_rows: int | None = None) -> DataFrame:
     """All ordered pairs of different rows within radius."""
 
     def near(i: np.ndarray, a: np.ndarray, j: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -226,7 +237,7 @@ def descend(df: DataFrame, col: str = "embedding", size: int = 40, sample: int =
     return lists.select(*(c.split()[0] for c in PAIRS.split(", "))), done
 
 
-def knn_edges(df: DataFrame, k: int, mode: str = "exact", col: str = "embedding", block_rows: int = BLOCK_ROWS, bucket: float = 1.0, tables: int = 5, radius: float = 2.0, seed: int = 42, **descent) -> DataFrame:
+def knn_edges(df: DataFrame, k: int, mode: str = "exact", col: str = "embedding", block_rows: int | None = None, bucket: float = 1.0, tables: int = 5, radius: float = 2.0, seed: int = 42, **descent) -> DataFrame:
     """id, neighbour, distance, rank of the k nearest neighbours (ties to the smaller id).
 
     exact compares all pairs, block by block; descent finds nearly all of them in work about in proportion to the rows (see descend); lsh

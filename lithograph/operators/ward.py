@@ -82,7 +82,7 @@ def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["a", "b", "height", "n"]).astype({"a": "int64", "b": "int64", "height": "float64", "n": "int64"})
 
 
-def ward_merges(clusters: DataFrame, limit: int = 2000, block_rows: int = 2048) -> DataFrame:
+def ward_merges(clusters: DataFrame, limit: int = 2000, block_rows: int | None = None) -> DataFrame:
     """(a, b, height, n): all merges of clusters (id, n, v) of n rows with centre v, a merged cluster having the smaller name of the two."""
     live = materialize(clusters.select("id", F.col("n").cast("long").alias("n"), F.col("v").cast("array<double>").alias("v")), "ward")
     done = live.sparkSession.createDataFrame([], MERGES)
@@ -117,7 +117,7 @@ def cut_merges(merges: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return found.join(order, "component").select("id", F.col("number").cast("int").alias("cluster"))
 
 
-def ward_clusters(df: DataFrame, k: int, col: str = "embedding", micro: int | None = None, seed: int = 42, limit: int = 2000, block_rows: int = 2048) -> DataFrame:
+def ward_clusters(df: DataFrame, k: int, col: str = "embedding", micro: int | None = None, seed: int = 42, limit: int = 2000, block_rows: int | None = None) -> DataFrame:
     """(id, cluster): Ward's clusters of all rows or, with micro, of the cells of a KMeans with that many.
 
     Rows at one place are together from the start, so that fewer than k places make fewer than k clusters.

@@ -86,6 +86,16 @@ def test_exact_neighbours_and_ties(spark):
     assert within == {(i * 7 + 3, j * 7 + 3) for i in range(100) for j in range(100) if i != j and ((x[i] - x[j]) ** 2).sum() <= 1}
 
 
+def test_pairs_of_blocks_are_dealt_evenly_and_blocks_grow_to_a_bound(spark):
+    df = spark.range(4000).select("id", F.array(F.col("id") * 1.0).alias("embedding"))
+    blocks, count = neighbours.packed_blocks(df, "embedding", 200)
+    tasks = [r.n for r in neighbours.block_pairs(blocks, count).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()]
+    assert sum(tasks) == 210 and max(tasks) <= 10  # by the join alone one task has all 20 pairs of a block at least
+    assert neighbours.packed_blocks(df, "embedding")[1] == 2
+    wide = spark.range(40).select("id", F.array_repeat(F.col("id") * 1.0, 1 << 18).alias("embedding"))
+    assert neighbours.packed_blocks(wide, "embedding")[1] == 5  # of 8 rows, as a block's numbers are bounded
+
+
 def test_descent_finds_nine_of_ten_in_less_than_all_pairs(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(40, 16))[rng.integers(0, 40, 2500)] * 4 + rng.normal(size=(2500, 16))
