@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 
+MOVERS = 16  # files that a commit moves at once
+
+
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path, and the path in it."""
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
@@ -102,12 +106,10 @@ class StagedWriter(DataSourceArrowWriter):
         system, folder, hidden = self.hidden()
         system.create_dir(folder, recursive=True)
         before = {f.base_name for f in system.get_file_info(fs.FileSelector(folder)) if f.is_file}
-        for message in messages:
-            for f in system.get_file_info(fs.FileSelector(message.folder)) if message else ():
-                system.move(f.path, f"{folder}/{f.base_name}")
-                before.discard(f.base_name)
-        for name in before:
-            system.delete_file(f"{folder}/{name}")
+        staged = [f for message in messages if message for f in system.get_file_info(fs.FileSelector(message.folder))]
+        with ThreadPoolExecutor(MOVERS) as movers:  # a move is a call to the store that mostly waits
+            list(movers.map(lambda f: system.move(f.path, f"{folder}/{f.base_name}"), staged))
+            list(movers.map(lambda name: system.delete_file(f"{folder}/{name}"), before - {f.base_name for f in staged}))
         self._clear()
 
     def abort(self, messages: list[Staged | None]) -> None:

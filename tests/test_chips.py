@@ -159,3 +159,11 @@ def test_resized_chips_go_out_a_bounded_number_of_pixels_at_a_time(spark):
     assert sum(map(len, out)) == 100 and max(sum(map(len, part)) for part in out) < resample.MOST_PIXELS + 224 * 224
     some = spark.range(300).select("id", resample.resize(F.array(*(F.lit(float(i)) for i in range(63)), F.col("id").cast("double")), F.lit(8), F.lit(8), 224, 224).alias("px"))
     assert {(r.id, r.last) for r in some.select("id", F.col("px")[50175].alias("last")).collect()} == {(i, i) for i in range(300)}
+
+
+def test_orienting_by_the_batch_gives_the_very_pixels_of_the_columns(spark, images):
+    rng = np.random.default_rng(1)
+    df = frame(spark, [*images, *(rng.integers(0, 3, (4, 8)) for _ in range(40))]).withColumn("px", F.col("px").cast("array<float>"))
+    unit = df.withColumn("px", E.to_unit(F.col("px")))
+    for a, b in zip(run(unit, E.orient(*args())), run(df, resample.oriented_unit(*args())), strict=True):
+        assert (a == b).all()

@@ -118,3 +118,17 @@ def test_wide_rows_are_written_in_small_row_groups(spark):
     table = materialize(spark.range(0, 400, 1, 1).select("id", made.alias("px")), "wide", wide=True)
     groups = [f.metadata.row_group(i).num_rows for f in map(pq.ParquetFile, glob.glob(f"{table._written}/*.parquet")) for i in range(f.metadata.num_row_groups)]
     assert sum(groups) == 400 and max(groups) <= 200  # a task reads no more than a group at a time, and by default all 400 make one
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    """A table of many small files has a task for about 32 of them; reading takes less than starting so many."""
+    monkeypatch.setattr(io, "FILES_MERGED", 4)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4194304")
+    try:
+        for i in range(96):
+            np.save(tmp_path / f"{i}.npy", np.full((1, 1), i, dtype=np.float32))
+        read = io.read_npy_dir(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() <= 24
+        assert sorted(r.px[0] for r in read.collect()) == list(range(96))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
