@@ -116,6 +116,33 @@ def test_descent_of_copies_few_rows_and_none(spark):
     assert neighbours.knn_edges(table(spark, np.zeros((0, 2))), 5).count() == 0
 
 
+def test_descent_makes_up_for_what_it_does_not_find(spark):
+    """Nearly isotropic vectors and lists that are far too small: without the pass over all pairs, less than nine of ten."""
+    x = np.random.default_rng(3).normal(size=(1200, 48))
+    df = table(spark, x)
+    few = neighbours.best_of(neighbours.descend(df, size=6, sample=2, block_rows=16, tables=1, rounds=1)[0], 5)
+    assert neighbours.recall_of(few, df, "embedding", 5) < 0.8
+    found = neighbours.knn_edges(df, 5, "descent", size=6, sample=2, block_rows=16, tables=1, rounds=1)
+    want = {(r.id, r.neighbour) for r in neighbours.knn_edges(df, 5).collect()}
+    got = {(r.id, r.neighbour) for r in found.collect()}
+    assert len(got) == 6000 and got == want
+
+
+@pytest.mark.parametrize("kind", ["normal", "grid", "far", "copies"])
+def test_nearest_is_exact_where_single_precision_is_not(kind):
+    rng = np.random.default_rng(5)
+    make = {"normal": lambda n: rng.normal(size=(n, 6)), "grid": lambda n: rng.integers(0, 3, (n, 3)).astype(float), "far": lambda n: 1e3 + 100.0 * rng.integers(0, 2, (n, 1)) + 1e-4 * rng.normal(size=(n, 4)), "copies": lambda n: np.ones((n, 2))}[kind]
+    a, b = make(600), make(5000 if kind in ("normal", "far") else 300)
+    ids, others = rng.permutation(6000)[: len(a)], rng.permutation(6000)[: len(b)]
+    i, j, d = neighbours.nearest(ids, a, others, b, 7)
+    whole = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    whole[ids[:, None] == others[None, :]] = np.inf
+    for row in range(0, len(a), 37):
+        order = np.lexsort((others, whole[row]))[:7]
+        assert j[i == ids[row]].tolist() == others[order].tolist()
+        assert np.allclose(d[i == ids[row]], whole[row][order], rtol=1e-12, atol=0)
+
+
 # --- density
 
 
