@@ -255,6 +255,25 @@ def test_ward_against_one_merge_at_a_time(spark, options):
     assert same(labels(ward.ward_clusters(table(spark, x), 7, **options), 500), slow_ward(x, 7))
 
 
+def test_ward_looks_anew_only_for_clusters_whose_nearest_merged(spark, monkeypatch):
+    """After the first round, far fewer rows are looked for than there are clusters; the merges stay the same."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 6))
+    clusters = table(spark, x).select("id", F.lit(1).alias("n"), F.col("embedding").alias("v"))
+    packed, plain = [], ward.packed_blocks
+
+    def counted(df, *args):
+        packed.append(df.count())
+        return plain(df, *args)
+
+    monkeypatch.setattr(ward, "packed_blocks", counted)
+    got = {(r.a, r.b): r.height for r in ward.ward_merges(clusters, 150, 64).collect()}
+    whole, asked = packed[1::2], packed[2::2]  # the first round packs all clusters, each other one all and those asked for
+    assert packed[0] == 400 and len(asked) >= 2 and all(a < n for n, a in zip(whole, asked))
+    want = {(r.a, r.b): r.height for r in ward.ward_merges(clusters, 400).collect()}
+    assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-9 * want[e] for e in got)
+
+
 def test_ward_of_copies_and_few_rows(spark):
     assert len(set(labels(ward.ward_clusters(table(spark, np.ones((30, 2))), 4), 30))) == 1
     few = np.repeat([[0.0, 0.0], [1.0, 0.0], [9.0, 9.0]], [20, 5, 5], axis=0)
