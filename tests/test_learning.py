@@ -211,6 +211,25 @@ def test_density_hierarchy_against_a_plain_one(spark, seed, options):
         assert not same(labels(learning.density_cut(table(spark, x)), len(x)), want)  # no one cut finds clusters of unequal density
 
 
+def test_a_block_takes_its_distances_once(monkeypatch):
+    """The tree has the least weight, also far from 0, and all distances come from one product."""
+    rng = np.random.default_rng(11)
+    calls, plain = [], hierarchy.distances
+    monkeypatch.setattr(hierarchy, "distances", lambda a, b: calls.append(a.shape) or plain(a, b))
+    x = 1e4 + rng.normal(size=(150, 5))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    core = np.sort(d, axis=1)[:, 4]
+    i, j, w = hierarchy._tree_of(x, core)
+    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    part, total = list(range(150)), 0.0
+    for a, b in zip(*np.unravel_index(np.argsort(reach, axis=None), reach.shape)):
+        if part[a] != part[b]:
+            total += reach[a, b]
+            part = [part[a] if p == part[b] else p for p in part]
+    assert calls == [(150, 5)] and len(w) == 149 and abs(w.sum() - total) < 1e-9 * total
+    assert np.allclose(w, reach[i, j], rtol=1e-12)
+
+
 def test_density_hierarchy_on_a_neighbour_graph(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal([0, 0], 0.3, (70, 2)), rng.normal([9, 0], 0.3, (70, 2)), rng.normal([0, 9], 1.2, (70, 2))])
