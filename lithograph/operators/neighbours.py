@@ -19,6 +19,7 @@ from lithograph.operators.sampling import dense_index
 from lithograph.session import discard, materialize
 
 BLOCK_ROWS, MOST_BLOCK_ROWS, BLOCK_NUMBERS = 2048, 16384, 1 << 21  # rows of a block of few and of many rows, and numbers of one
+SHARE, KNN_SHARE = 32, 16  # blocks that rows beyond the least size are dealt to; fewer where each block sends k rows for each row to each pair
 MOST_PARTS = 2048  # that pairs of blocks are dealt to
 TILE_ROWS, TILE_COLS = 512, 4096  # of distances that are looked at together
 MANY = 16  # times as many candidates as are asked for: then distances are taken in double precision
@@ -117,7 +118,7 @@ def nearest(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, k
     return tuple(np.concatenate(x) for x in zip(*found)) if found else empty
 
 
-def packed_blocks(df: DataFrame, col: str, block_rows: int | None = None, by: str = "xxhash64(id)") -> tuple[DataFrame, int]:
+def packed_blocks(df: DataFrame, col: str, block_rows: int | None = None, by: str = "xxhash64(id)", share: int = SHARE) -> tuple[DataFrame, int]:
     """(block, ids, vectors): about block_rows rows to a block, vectors end to end; and the number of blocks.
 
     By default blocks grow with the rows up to a bound, since what pairs of blocks shuffle is the square of their number times their size.
@@ -125,7 +126,7 @@ def packed_blocks(df: DataFrame, col: str, block_rows: int | None = None, by: st
     rows = df.select("id", F.col(col).cast("array<double>").alias("v"))
     n, wide = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     if block_rows is None:
-        block_rows = min(max(BLOCK_ROWS, n // 32), MOST_BLOCK_ROWS, max(1, BLOCK_NUMBERS // max(1, wide or 1)))
+        block_rows = min(max(BLOCK_ROWS, n // share), MOST_BLOCK_ROWS, max(1, BLOCK_NUMBERS // max(1, wide or 1)))
     blocks, most = max(1, -(-n // block_rows)), block_rows + block_rows // 4  # blocks dealt by a hash are not all of one size
     dealt = rows.withColumn("block", F.pmod(F.expr(by), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
@@ -152,12 +153,13 @@ def unpacked(batch: pa.RecordBatch, ids: str, vectors: str) -> Iterator[tuple[np
 def block_pairs(blocks: DataFrame, count: int) -> DataFrame:
     """(ids, vectors, ids2, vectors2) for every pair of blocks, each unordered pair once (a block with itself as well).
 
-    Pairs are dealt out by themselves: the join alone would give one task all pairs of a block, and small partitions of long work to one task.
+    Pairs are dealt out by themselves: a join by one block would give one task all pairs of a block. Each block goes once to each of its pairs.
     """
-    right = blocks.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("vectors").alias("vectors2"))
     left = blocks.withColumn("other", F.explode(F.sequence("block", F.lit(count - 1))))
-    dealt = left.join(right, "other").repartition(min(max(1, count * (count + 1) // 2), MOST_PARTS), "block", "other")
-    return dealt.select("ids", "vectors", "ids2", "vectors2", (F.col("block") == F.col("other")).alias("same"))
+    right = blocks.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("vectors").alias("vectors2")).withColumn("block", F.explode(F.sequence(F.lit(0), "other")))
+    parts = min(max(1, count * (count + 1) // 2), MOST_PARTS)
+    met = left.repartition(parts, "block", "other").join(right.repartition(parts, "block", "other").hint("merge"), ["block", "other"])
+    return met.select("ids", "vectors", "ids2", "vectors2", (F.col("block") == F.col("other")).alias("same"))
 
 
 def exact_pairs(df: DataFrame, col: str, k: int, block_rows: int | None = None, reach: DataFrame | None = None) -> DataFrame:
@@ -178,8 +180,8 @@ def exact_pairs(df: DataFrame, col: str, k: int, block_rows: int | None = None,
     if bounded:
         known = df.select("id", F.col(col).cast("array<double>").alias("v")).join(reach, "id", "left")
         df, col = known.select("id", F.concat("v", F.array(F.coalesce("reach", F.lit(float("inf"))))).alias("v")), "v"
-    blocks, count = packed_blocks(df, col, block_rows)
-    return block_pairs(blocks, count).mapInArrow(meet, PAIRS).distinct() if count else df.sparkSession.createDataFrame([], PAIRS)
+    blocks, count = packed_blocks(df, col, block_rows, share=KNN_SHARE)
+    return block_pairs(blocks, count).mapInArrow(meet, PAIRS).repartition("id").distinct() if count else df.sparkSession.createDataFrame([], PAIRS)
 
 
 def recall_of(found: DataFrame, df: DataFrame, col: str, k: int, rows: int = 1000) -> float:

@@ -300,6 +300,17 @@ def test_ward_of_copies_and_few_rows(spark):
     assert labels(ward.ward_clusters(table(spark, np.ones((1, 2))), 1), 1) == [0]
 
 
+def test_neighbours_shuffle_each_pair_of_blocks_and_each_candidate_once(spark):
+    x = np.random.default_rng(11).normal(size=(400, 4))
+    df = table(spark, x)
+    plan = neighbours.knn_edges(df, 3, block_rows=100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(id#") == 1 and "Broadcast" not in plan, plan  # candidates go to their id once; no vectors through the driver
+    found = {(r.id, r.rank): r.neighbour for r in neighbours.knn_edges(df, 3, block_rows=100).collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert found == {(i * 7 + 3, r + 1): int(j) * 7 + 3 for i in range(400) for r, j in enumerate(np.argsort(d[i])[:3])}
+
+
 # --- spectral
 
 
@@ -329,6 +340,39 @@ def test_leading_directions_against_a_whole_decomposition(spark):
     top = vectors[:, ::-1][:, :3]
     assert np.abs(got @ got.T - top @ top.T).max() < 1e-3
 
+
+def test_a_step_of_leading_directions_shuffles_packed_sums_not_edges(spark):
+    rng = np.random.default_rng(10)
+    edges = spark.createDataFrame([(i, int(j)) for i in range(600) for j in {*rng.integers(0, 600, 8).tolist(), (i + 1) % 600} - {i}], "id long, neighbour long")
+    s = spectral.affinity(edges)
+    n_edges = s.count()
+    dense = np.zeros((600, 600))
+    for r in s.collect():
+        dense[r.a, r.b] = r.s
+    values, vectors = np.linalg.eigh(dense)
+    top = vectors[:, ::-1][:, :3]
+
+    def stages():
+        sc, jvm = spark.sparkContext, spark._jvm
+        listed = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        found = (listed.apply(i) for i in range(listed.size()))
+        return {x.stageId(): x.shuffleWriteRecords() for x in found}
+
+    for block_rows in (150, 10**6):
+        before = stages()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # joins as of large tables
+        try:
+            y, found = spectral.leading_directions(s, 3, degree=6, cycles=3, tolerance=0.0, block_rows=block_rows)
+            rows = {r.id: r[1:] for r in y.collect()}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        shuffled = sum(n for k, n in stages().items() if k not in before)
+        assert shuffled < 4 * n_edges  # for 15 products with S; edges are dealt to blocks once, by one end and the other
+        got = np.array([rows[i] for i in range(600)])
+        assert sorted(rows) == list(range(600)) and np.abs(got.T @ got - np.eye(3)).max() < 1e-9
+        assert np.abs(np.diag(got.T @ dense @ got) - found).max() < 1e-9 and abs(found[0] - 1) < 1e-6 and np.abs(top[:, 0] @ got[:, 0]) > 1 - 1e-6
+
+
 def test_folds_fitted_together_are_those_fitted_one_by_one(spark):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
