@@ -82,11 +82,23 @@ def _kth_at_most(d: np.ndarray, k: int) -> np.ndarray:
     return np.partition(least, k - 1, axis=1)[:, k - 1].astype(np.float64) if k <= groups else np.full(len(d), np.inf)
 
 
-def nearest(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, k: int, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def rounded(x: np.ndarray, digits: int | None) -> np.ndarray:
+    """Distances to so many digits, halves up; those too large for that stay as they are."""
+    if digits is None:
+        return x
+    with np.errstate(over="ignore", invalid="ignore"):
+        scaled = x * 10.0**digits
+        whole = np.floor(scaled)
+        whole += scaled - whole >= 0.5
+    return np.where(np.isfinite(scaled), whole / 10.0**digits, x)
+
+
+def nearest(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, k: int, reach: np.ndarray | None = None, digits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, neighbour, distance) of the k nearest other rows to each row, ties to the smaller id; distances of those are exact.
 
-    With reach, of those that are no farther than each row's reach.
+    With reach, of those that are no farther than each row's reach. With digits, distances are rounded first, so that rounding makes ties.
     """
+    unit = 0.0 if digits is None else 10.0**-digits
     found = []
     screen, (own, same) = Screen(a, b), places_of(ids, others)
     for at in range(0, len(ids), TILE_ROWS) if k > 0 else ():
@@ -100,13 +112,13 @@ def nearest(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, k
                 here = (same[mine] >= cols.start) & (same[mine] < cols.stop)
                 d[own[mine][here] - at, same[mine][here] - cols.start] = np.inf
                 least = np.minimum(bound, _kth_at_most(d, k) + slack)
-                i, j = within(d, least + slack)
+                i, j = within(d, (np.sqrt(np.maximum(least, 0)) + unit) ** 2 * (1 + 1e-15) + slack if unit else least + slack)
                 if len(i) <= MANY * k * len(d) or not screen.single:  # else rounding hides which are near
                     break
             bound = least
             held.append((i, j + cols.start))
         i, j = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        exact = np.sqrt(((a[at + i] - b[j]) ** 2).sum(axis=1))
+        exact = rounded(np.sqrt(((a[at + i] - b[j]) ** 2).sum(axis=1)), digits)
         if reach is not None:
             near = exact <= reach[at + i] * (1 + 1e-12)
             i, j, exact = i[near], j[near], exact[near]
@@ -162,10 +174,11 @@ def block_pairs(blocks: DataFrame, count: int) -> DataFrame:
     return met.select("ids", "vectors", "ids2", "vectors2", (F.col("block") == F.col("other")).alias("same"))
 
 
-def exact_pairs(df: DataFrame, col: str, k: int, block_rows: int | None = None, reach: DataFrame | None = None) -> DataFrame:
+def exact_pairs(df: DataFrame, col: str, k: int, block_rows: int | None = None, reach: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """Candidates for the k nearest: the k nearest within each pair of blocks. The work is the square of the rows.
 
-    reach (id, reach) names distances that the kth nearest is known not to exceed, so that few pairs beyond the k nearest come out.
+    reach (id, reach) names distances that the kth nearest is known not to exceed, so that few pairs beyond the k nearest come out. With digits
+    distances are rounded, here and in reach.
     """
     bounded = reach is not None
 
@@ -174,7 +187,7 @@ def exact_pairs(df: DataFrame, col: str, k: int, block_rows: int | None = None,
             for (i, a), (j, b), same in zip(unpacked(batch, "ids", "vectors"), unpacked(batch, "ids2", "vectors2"), batch.column("same").to_pylist()):
                 far, far2 = (a[:, -1], b[:, -1]) if bounded else (None, None)
                 a, b = (a[:, :-1], b[:, :-1]) if bounded else (a, b)
-                for found in [nearest(i, a, j, b, k, far)] if same else [nearest(i, a, j, b, k, far), nearest(j, b, i, a, k, far2)]:
+                for found in [nearest(i, a, j, b, k, far, digits)] if same else [nearest(i, a, j, b, k, far, digits), nearest(j, b, i, a, k, far2, digits)]:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["id", "neighbour", "distance"])
 
     if bounded:
@@ -184,7 +197,7 @@ def exact_pairs(df: DataFrame, col: str, k: int, block_rows: int | None = None,
     return block_pairs(blocks, count).mapInArrow(meet, PAIRS).repartition("id").distinct() if count else df.sparkSession.createDataFrame([], PAIRS)
 
 
-def recall_of(found: DataFrame, df: DataFrame, col: str, k: int, rows: int = 1000) -> float:
+def recall_of(found: DataFrame, df: DataFrame, col: str, k: int, rows: int = 1000, digits: int | None = None) -> float:
     """The share of the k nearest of some rows, drawn by a hash of their id, that is in found (id, neighbour), by comparing those with all rows."""
     every = df.select("id", F.col(col).cast("array<double>").alias("v")).filter("v IS NOT NULL")
     wide = every.agg(F.max(F.size("v"))).first()[0] or 1
@@ -197,7 +210,7 @@ def recall_of(found: DataFrame, df: DataFrame, col: str, k: int, rows: int = 100
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in nearest(*sent.value, batch.column("id").to_numpy(), as_matrix(batch.column("v")), k)], ["id", "neighbour", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in nearest(*sent.value, batch.column("id").to_numpy(), as_matrix(batch.column("v")), k, digits=digits)], ["id", "neighbour", "distance"])
 
     right = materialize(best_of(every.mapInArrow(meet, PAIRS), k).select("id", "neighbour"), "drawn-nearest")
     all_, there = right.count(), right.join(found.select("id", "neighbour").distinct(), ["id", "neighbour"], "left_semi").count()
@@ -334,8 +347,8 @@ def descend(df: DataFrame, col: str = "embedding", size: int = 40, sample: int =
     return lists.select(*(c.split()[0] for c in PAIRS.split(", "))), done
 
 
-def knn_edges(df: DataFrame, k: int, mode: str = "exact", col: str = "embedding", block_rows: int | None = None, bucket: float = 1.0, tables: int = 5, radius: float = 2.0, seed: int = 42, recall: float = 0.9, **descent) -> DataFrame:
-    """id, neighbour, distance, rank of the k nearest neighbours (ties to the smaller id).
+def knn_edges(df: DataFrame, k: int, mode: str = "exact", col: str = "embedding", block_rows: int | None = None, bucket: float = 1.0, tables: int = 5, radius: float = 2.0, seed: int = 42, recall: float = 0.9, digits: int | None = None, **descent) -> DataFrame:
+    """id, neighbour, distance, rank of the k nearest neighbours (ties to the smaller id; with digits, by distances rounded to so many).
 
     exact compares all pairs, block by block; descent finds nearly all of them in work about in proportion to the rows (see descend); lsh
     joins by random projections within `radius`, and may miss some. What descent finds is measured on rows drawn by a hash; where that is not
@@ -343,12 +356,13 @@ def knn_edges(df: DataFrame, k: int, mode: str = "exact", col: str = "embedding"
     """
     if mode not in ("exact", "descent", "lsh"):
         raise ValueError(f"mode is exact, descent or lsh, not {mode!r}")
+    near = F.col("distance") if digits is None else F.round("distance", digits)
     if mode == "lsh":
-        return best_of(lsh_pairs(df, col, radius, bucket, tables, seed), k)
+        return best_of(lsh_pairs(df, col, radius, bucket, tables, seed).withColumn("distance", near), k)
     if mode == "descent":
-        found = materialize(best_of(descend(df, col, seed=seed, **({"size": max(40, 4 * k)} | descent))[0], k), "descended")
-        if recall_of(found, df, col, k) >= recall + SPARE * (1 - recall):
+        found = materialize(best_of(descend(df, col, seed=seed, **({"size": max(40, 4 * k)} | descent))[0].withColumn("distance", near), k), "descended")
+        if recall_of(found, df, col, k, digits=digits) >= recall + SPARE * (1 - recall):
             return found
         reach = found.groupBy("id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("reach"))
-        return best_of(exact_pairs(df, col, k, block_rows, reach), k)
-    return best_of(exact_pairs(df, col, k, block_rows), k)
+        return best_of(exact_pairs(df, col, k, block_rows, reach, digits), k)
+    return best_of(exact_pairs(df, col, k, block_rows, digits=digits), k)

@@ -86,6 +86,23 @@ def test_exact_neighbours_and_ties(spark):
     assert within == {(i * 7 + 3, j * 7 + 3) for i in range(100) for j in range(100) if i != j and ((x[i] - x[j]) ** 2).sum() <= 1}
 
 
+def test_neighbours_rank_by_rounded_distances_as_the_sql_does(spark, tmp_path):
+    import duckdb
+
+    from lithograph.plans.queries import QUERIES, SQL
+
+    at = {0: 0.0, 5: 1.0000001, 3: 1.0000004, 4: -1.0000002, 9: 0.9999999, 8: 7.0, 7: -7.0000005, 6: 3.0000003, 2: 3.0000001}
+    spark.createDataFrame([(i, [x, 0.0], 0) for i, x in at.items()], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in QUERIES["M8_knn_edges"](spark, str(tmp_path)).select("id", "neighbour", "distance", "rank").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert got == sorted(con.execute(SQL["M8_knn_edges"]).fetchall())
+    df = spark.createDataFrame([(i, [x]) for i, x in at.items()], "id long, embedding array<double>")
+    for options in ({"mode": "descent"}, {"block_rows": 2}, {"mode": "descent", "size": 1, "rounds": 0, "tables": 1, "block_rows": 2}):
+        rows = learning.knn_edges(df, 2, digits=6, **options).filter("id = 0").orderBy("rank").collect()
+        assert [(r["neighbour"], r["distance"]) for r in rows] == [(3, 1.0), (4, 1.0)], options
+
+
 def test_pairs_of_blocks_are_dealt_evenly_and_blocks_grow_to_a_bound(spark):
     df = spark.range(4000).select("id", F.array(F.col("id") * 1.0).alias("embedding"))
     blocks, count = neighbours.packed_blocks(df, "embedding", 200)
