@@ -174,6 +174,18 @@ def block_pairs(blocks: DataFrame, count: int) -> DataFrame:
     return met.select("ids", "vectors", "ids2", "vectors2", (F.col("block") == F.col("other")).alias("same"))
 
 
+def every_pair(left: DataFrame, lefts: int, right: DataFrame, rights: int) -> DataFrame:
+    """(ids, vectors, ids2, vectors2) for every block of one table with every one of another, dealt out as block_pairs does.
+
+    The join is by merging: a table that is sent out anew for each block it meets is many times larger than Spark takes it to be, and no broadcast.
+    """
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(rights - 1))))
+    right = right.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("vectors").alias("vectors2")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(lefts - 1))))
+    parts = min(max(1, lefts * rights), MOST_PARTS)
+    met = left.repartition(parts, "block", "other").join(right.repartition(parts, "block", "other").hint("merge"), ["block", "other"])
+    return met.select("ids", "vectors", "ids2", "vectors2")
+
+
 def exact_pairs(df: DataFrame, col: str, k: int, block_rows: int | None = None, reach: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """Candidates for the k nearest: the k nearest within each pair of blocks. The work is the square of the rows.
 

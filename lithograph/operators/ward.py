@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithograph.operators.graph import connected_components
-from lithograph.operators.neighbours import MANY, MOST_PARTS, TILE_ROWS, Screen, packed_blocks, places_of, unpacked, within
+from lithograph.operators.neighbours import MANY, TILE_ROWS, Screen, every_pair, packed_blocks, places_of, unpacked, within
 from lithograph.operators.sampling import dense_index
 from lithograph.session import materialize
 
@@ -114,9 +114,7 @@ def ward_merges(clusters: DataFrame, limit: int = 2000, block_rows: int | None =
         asked, looked = blocks, count
         if known is not None:
             asked, looked = packed_blocks(sized.join(known.select(F.col("a").alias("id")), "id", "left_anti"), "x", block_rows)
-        right = blocks.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("vectors").alias("vectors2"))
-        pairs = asked.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(right, "other")
-        pairs = pairs.repartition(min(max(1, count * looked), MOST_PARTS), "block", "other").mapInArrow(meet, "a long, b long, height double")
+        pairs = every_pair(asked, looked, blocks, count).mapInArrow(meet, "a long, b long, height double")
         near = pairs.groupBy("a").agg(F.min(F.struct("height", "b")).alias("e")).select("a", "e.b", "e.height")
         near = materialize(near if known is None else near.unionByName(known), "ward-near")
         back = near.select(F.col("b").alias("a"), F.col("a").alias("b"))

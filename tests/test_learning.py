@@ -310,6 +310,22 @@ def test_ward_looks_anew_only_for_clusters_whose_nearest_merged(spark, monkeypat
     assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-9 * want[e] for e in got)
 
 
+def test_ward_sends_no_blocks_through_the_driver(spark, monkeypatch):
+    """A table of blocks that is sent out anew for each block it meets looks small to Spark's planner, which would broadcast it."""
+    plans, plain = [], ward.materialize
+
+    def seen(df, name, *args):
+        if name == "ward-near":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name, *args)
+
+    monkeypatch.setattr(ward, "materialize", seen)
+    clusters = table(spark, np.random.default_rng(8).normal(size=(400, 6))).select("id", F.lit(1).alias("n"), F.col("embedding").alias("v"))
+    assert ward.ward_merges(clusters, 150, 64).count() == 399
+    assert len(plans) >= 2 and not any("Broadcast" in p for p in plans), plans
+    assert all(p.count("hashpartitioning(block#") == 2 for p in plans), plans  # each block goes once to each of its pairs
+
+
 def test_ward_of_copies_and_few_rows(spark):
     assert len(set(labels(ward.ward_clusters(table(spark, np.ones((30, 2))), 4), 30))) == 1
     few = np.repeat([[0.0, 0.0], [1.0, 0.0], [9.0, 9.0]], [20, 5, 5], axis=0)
