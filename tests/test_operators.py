@@ -277,6 +277,15 @@ def test_windows_become_chips_where_their_tiles_are(spark, scene):
             raster.map_windows(windows, tiles.filter("tile_row <> 1"), 8, lambda image, lat: resample.squared_chip(image, lat, 16), "lat").collect()
 
 
+def test_tiles_under_windows_do_not_go_through_the_driver(spark, scene):
+    """Pieces times the tiles under them look as small as the pieces to Spark's planner, which would broadcast them."""
+    windows = spark.createDataFrame([(i, 0, 0, 24, 32, 0.0) for i in range(4)], "id long, r0 long, c0 long, h long, w long, lat double")
+    found = raster.map_windows(windows, scene[1], 8, lambda image, lat: resample.squared_chip(image, lat, 16), "lat", 300)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and "Broadcast" not in plan, plan
+    assert {len(r.px) for r in found.collect()} == {256}
+
+
 def test_sinkhorn_sums(spark):
     rng = np.random.default_rng(3)
     rows = [(i, k, float(rng.normal())) for i in range(20) for k in range(4)]
