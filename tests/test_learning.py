@@ -6,6 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
+from lithograph.functions import resample
 from lithograph.operators import hierarchy, learning, neighbours, pca, spectral, ward
 
 
@@ -62,6 +63,34 @@ def test_chips_of_full_size_encode(spark):
     assert all(len(r.embedding) == 3 for r in learning.encode(chips, model).collect())
 
 
+def test_full_size_chips_are_made_by_each_pass_and_not_stored(spark, sf_dir, monkeypatch):
+    from lithograph.plans import queries
+
+    rng = np.random.default_rng(5)
+    sizes = [(8, 8)] * 30 + [(5, 9)] * 3 + [(8, 8)] * 20
+    rows = [(i, rng.integers(0, 255, h * w).tolist(), h, w) for i, (h, w) in enumerate(sizes)]
+    small = spark.createDataFrame(rows, "id long, px array<int>, h int, w int")
+    full = small.select("id", resample.resize(F.col("px"), F.col("h"), F.col("w"), 40, 40, "bilinear", True).alias("px"))
+    chips, rows_of = small.select("id", F.struct("px", "h", "w").alias("chip")), resample.resized_rows(40, 40, "bilinear", True)
+    want, got = pca.fit_pca(full, "px", 4), pca.fit_pca(chips, "chip", 4, rows_of=rows_of)
+    assert np.abs(want.mean - got.mean).max() < 1e-9 and np.abs(want.explained - got.explained).max() < 1e-9
+    plain = {r.id: r.embedding for r in learning.encode(full, want).collect()}
+    gone = chips.unionByName(spark.createDataFrame([(99, None)], "id long, chip struct<px array<int>, h int, w int>"))
+    made = {r.id: r.embedding for r in learning.encode(gone, want, "chip", rows_of=rows_of).collect()}
+    assert made.pop(99) is None and made.keys() == plain.keys() and all(np.abs(np.array(made[i]) - plain[i]).max() < 1e-3 for i in plain)
+
+    kept, write = [], queries.materialize
+
+    def seen(df, *args, **options):
+        table = write(df, *args, **options)
+        kept.append(table.agg(F.max(F.length(F.to_json(F.struct(*table.columns))))).first()[0])
+        return table
+
+    monkeypatch.setattr(queries, "materialize", seen)
+    assert [tuple(r) for r in queries.QUERIES["M13_encode_full_size"](spark, sf_dir).select("n_px", "n_latents", "falls").collect()] == [(50176, 8, True)]
+    assert all(n < 2000 for n in kept), kept  # no row holds a full-size chip
+
+
 def test_a_pipeline_comes_back_as_it_was(spark, tmp_path):
     df = table(spark, np.random.default_rng(2).normal(size=(80, 9)))
     fitted = Pipeline(stages=[pca.Pca(k=3, scale=True), KMeans(k=3, seed=1)]).fit(df)
