@@ -257,6 +257,32 @@ def test_density_hierarchy_against_a_plain_one(spark, seed, options):
         assert not same(labels(learning.density_cut(table(spark, x)), len(x)), want)  # no one cut finds clusters of unequal density
 
 
+def test_a_tree_of_large_blocks_is_put_together_of_small_ones(spark, monkeypatch):
+    """As light as the tree from all distances, with no more edges; blocks grow with the rows, as each goes to every other."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(300, 3))
+    core = np.sort(np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2)), axis=1)[:, 5]
+    whole = np.sort(hierarchy._tree_of(v, core)[2])
+    monkeypatch.setattr(hierarchy, "TREE_ROWS", 40)
+    for most in (1, 500, 1 << 19):
+        monkeypatch.setattr(hierarchy, "MOST_EDGES", most)
+        sides = list(hierarchy.combinations(hierarchy._cut(0, 300), 2))
+        i, j, w = hierarchy._tree_of_blocks(v, core, sides)
+        assert np.abs(np.sort(w) - whole).max() < 1e-12 and len({*i.tolist(), *j.tolist()}) == 300
+    dealt, plain = [], hierarchy.packed_blocks
+
+    def seen(*args, **options):
+        blocks, count = plain(*args, **options)
+        dealt.append(count)
+        return blocks, count
+
+    monkeypatch.setattr(hierarchy, "packed_blocks", seen)
+    x = rng.normal(size=(4096, 2))
+    weights = sorted(r.w for r in hierarchy.spanning_forest(hierarchy.exact_edges(table(spark, x), "embedding", 5)).collect())
+    near = np.sqrt(np.sort(neighbours.distances(x, x), axis=1)[:, 5])
+    assert dealt == [2] and np.abs(weights - np.sort(hierarchy._tree_of(x, near)[2])).max() < 1e-6
+
+
 def test_a_block_takes_its_distances_once(monkeypatch):
     """The tree has the least weight, also far from 0, and all distances come from one product."""
     rng = np.random.default_rng(11)
