@@ -154,6 +154,28 @@ def test_descent_finds_nine_of_ten_in_less_than_all_pairs(spark):
     assert all(r.distance == pytest.approx(np.sqrt(((x[(r.id - 3) // 7] - x[(r.neighbour - 3) // 7]) ** 2).sum())) for r in rows[:200])
 
 
+def test_descent_is_given_up_where_all_pairs_take_less(spark, monkeypatch):
+    """Then all pairs are compared, and all neighbours are right; vectors that are stored in single precision travel so."""
+    df = table(spark, np.random.default_rng(14).normal(size=(1500, 24)))
+    small = df.select("id", F.col("embedding").cast("array<float>").alias("embedding"))
+    options = {"size": 8, "sample": 4, "block_rows": 16, "tables": 2}
+    written, plain = [], neighbours.materialize
+
+    def seen(frame, name, *args):
+        if name == "descent-rows":
+            written.append(frame.schema["v"].dataType.simpleString())
+        return plain(frame, name, *args)
+
+    monkeypatch.setattr(neighbours, "materialize", seen)
+    assert len(neighbours.descend(small, worth=1, **options)[1]) == 1  # lists to start with take more distances than 1500 * 1500 / 200
+    free = neighbours.descend(small, rounds=2, **options)
+    held = neighbours.descend(small.withColumn("embedding", F.col("embedding").cast("array<double>")), rounds=2, worth=neighbours.WORTH, **options)
+    assert written == ["array<float>", "array<float>", "array<double>"] and free[1] == held[1] and len(free[1]) == 3
+    assert sorted(map(tuple, free[0].collect())) == sorted(map(tuple, held[0].collect()))
+    got = {(r.id, r.neighbour, r.rank) for r in neighbours.knn_edges(small, 5, "descent", worth=1, **options).collect()}
+    assert got == {(r.id, r.neighbour, r.rank) for r in neighbours.knn_edges(small, 5).collect()}
+
+
 def test_descent_of_copies_few_rows_and_none(spark):
     copies = neighbours.knn_edges(table(spark, np.ones((300, 4))), 3, "descent", size=8, sample=4, block_rows=32)
     assert copies.count() == 900 and copies.agg(F.max("distance")).first()[0] == 0
